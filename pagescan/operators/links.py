@@ -63,6 +63,9 @@ _NEEDLES = {
     "import_call": ("import",),
 }
 
+# Characters a match can start with; tested before the word boundary, which costs more.
+_STARTS = {"link_attribute": "(?=[hsa])"}
+
 _PAIRS = [f"{tag} {attribute}" for tag, attribute in catalog.TAG_ATTRIBUTES]
 _TAGS = sorted({tag for tag, _ in catalog.TAG_ATTRIBUTES})
 _ATTRIBUTES = sorted({attribute for _, attribute in catalog.TAG_ATTRIBUTES})
@@ -102,7 +105,7 @@ def path_strings(html: Column, low: Column) -> Column:
     rejects, so those patterns are counted (`pattern_counts`) but not run here.
     """
     found = [
-        guarded(low, _NEEDLES.get(name, ()), _captured(html, pattern))
+        guarded(low, _NEEDLES.get(name, ()), _captured(html, _STARTS.get(name, "") + pattern))
         for name, pattern in catalog.PATH_PATTERNS
         if group_count(pattern) > 0
     ]
@@ -307,16 +310,20 @@ def page_links(pages: DataFrame, options: ScanOptions = ScanOptions(), url: str
         _labelled(F.array_except(full, resolved), "link", "kind", "full"),
         _labelled(F.array_except(resolved, full), "link", "kind", "resolved"),
         _labelled(F.array_intersect(full, resolved), "link", "kind", "both"),
-        _labelled(F.col("chunks"), "link", "kind", "chunk"),
+        _labelled(F.array_except("chunks", F.array_union(full, resolved)), "link", "kind", "chunk"),
     ]
-    rows = found.select(*keys, "inside", F.explode(F.concat(*kinds)).alias("found"))
-    return with_dispositions(rows.select(*keys, "inside", "found.link", "found.kind"), options).select(
-        *keys, "link", "disposition"
+    rows = found.select(*keys, "inside", "chunks", F.explode(F.concat(*kinds)).alias("found")).select(
+        *keys,
+        "inside",
+        "found.link",
+        "found.kind",
+        F.array_contains("chunks", F.col("found.link")).alias("chunk"),
     )
+    return with_dispositions(rows, options).select(*keys, "link", "disposition")
 
 
 def with_dispositions(links: DataFrame, options: ScanOptions) -> DataFrame:
-    """Rows (link, kind, inside) plus what becomes of each link.
+    """Rows (link, kind, inside, chunk) plus what becomes of each link; chunks are always kept.
 
     One found both ways may end in two places and then gives two rows.  The
     parts of the URL that the tests share are computed once per link.
@@ -350,7 +357,7 @@ def with_dispositions(links: DataFrame, options: ScanOptions) -> DataFrame:
     )
     places = F.array_distinct(
         F.array_compact(
-            F.array("as_full", "as_resolved", F.when(kind == "chunk", F.lit("keep")))
+            F.array("as_full", "as_resolved", F.when(F.col("chunk"), F.lit("keep")))
         )
     )
     return routed.select(*links.columns, F.explode(places).alias("disposition"))
