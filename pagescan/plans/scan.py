@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagescan import catalog
+from pagescan.operators import filters
 from pagescan.operators.dedup import content_hash, flag_duplicates, with_signature
 from pagescan.operators.detect import Rule
 from pagescan.operators.links import page_links
 from pagescan.operators.report import batch_summary, danger_report_rows, report_rows
-from pagescan.operators.results import error_status, placeholder_rows, result_records
-from pagescan.operators import filters
+from pagescan.operators.results import RESULT_COLUMNS, placeholder_rows, result_records
+from pagescan.operators.skew import hot_keys, sliced_join
 from pagescan.options import SCOPE_EXTERNAL_ONCE, ScanOptions
 from pagescan.plans import walk
 from pagescan.sources.readers import fetched
@@ -56,16 +57,25 @@ def gated(responses: DataFrame, options: ScanOptions) -> DataFrame:
     )
 
 
+def signed_results(responses: DataFrame, options: ScanOptions = ScanOptions(),
+                   rules: Iterable[Rule] | None = None) -> DataFrame:
+    """Result rows with signature."""
+    if options.signature == "length_status":
+        return with_signature(result_records(responses, rules, options.sample_mode))
+    hashed = responses.withColumn("content_hash", content_hash(F.col("content")))
+    return with_signature(result_records(hashed, rules, options.sample_mode), "content_hash").drop("content_hash")
+
+
 def flagged_results(responses: DataFrame, options: ScanOptions = ScanOptions(),
                     rules: Iterable[Rule] | None = None) -> DataFrame:
-    """Result rows with signature and duplicate flag."""
-    hashed = None
-    if options.signature == "content":
-        responses = responses.withColumn("content_hash", content_hash(F.col("content")))
-        hashed = "content_hash"
-    results = with_signature(result_records(responses, rules, options.sample_mode), hashed)
-    results = results.drop("content_hash")
-    return flag_duplicates(results, dedup_errors=options.dedup_errors)
+    """Result rows with signature and duplicate flag.
+
+    Flagging reads the rows twice, so they are written first: the page text is
+    read and searched once.
+    """
+    space = Workspace(responses.sparkSession, "results")
+    signed = space.write(signed_results(responses, options, rules), "signed")
+    return flag_duplicates(signed, dedup_errors=options.dedup_errors)
 
 
 def scan(targets: DataFrame, responses: DataFrame, options: ScanOptions = ScanOptions(),
@@ -87,13 +97,18 @@ def scan(targets: DataFrame, responses: DataFrame, options: ScanOptions = ScanOp
     )
     walked = walk.reachable(start, walk.with_domain(edges, options), options)
     kept = walk.within_budget(walked, options.max_urls).where("within_budget").select("target", "url", "depth")
-    results = flagged_results(gated(fetched(kept, responses), options), options, rules)
+    kept = space.write(kept, "kept")
+    records = signed_results(gated(fetched(kept.select("url").distinct(), _untargeted(responses)), options), options, rules)
+    signed = space.write(_per_target(kept, records), "results")
+    results = flag_duplicates(signed, dedup_errors=options.dedup_errors)
 
     # External and dangerous URLs count for the targets whose walk read the page that holds them.
-    read = kept.where(F.col("depth") < options.max_depth).select("target", F.col("url").alias("original_url"))
-    side = links.where(F.col("disposition").isin("external", "danger"))
+    read = kept.where(F.col("depth") < options.max_depth).select("target", "url").distinct()
+    side = links.where(F.col("disposition").isin("external", "danger")).select(
+        F.col("original_url").alias("url"), "link", "disposition"
+    )
     found = (
-        side.join(read, "original_url")
+        _balanced(read, side, F.col("target"), F.col("link"))
         .select("target", F.col("link").alias("url"), "disposition")
         .distinct()
     )
@@ -102,9 +117,33 @@ def scan(targets: DataFrame, responses: DataFrame, options: ScanOptions = ScanOp
     outside = outside.join(walked.where("depth > 0").select("url").distinct(), "url", "left_anti")
     if options.scope_mode == SCOPE_EXTERNAL_ONCE:
         visits = outside.select("target", "url", F.lit(0).alias("depth"))
-        external = flagged_results(gated(fetched(visits, responses), options), options, rules)
+        external = flagged_results(gated(fetched(visits, _untargeted(responses)), options), options, rules)
     else:
         external = placeholder_rows(outside, catalog.EXTERNAL).withColumns(
             {"signature": F.lit(None).cast("string"), "is_duplicate_signature": F.lit(False)}
         )
-    return Scan(results, external.select(*results.columns), danger, options)
+    columns = [*RESULT_COLUMNS, "signature", "is_duplicate_signature"]
+    return Scan(results.select(*columns), external.select(*columns), danger, options)
+
+
+def _untargeted(responses: DataFrame) -> DataFrame:
+    """Responses without the columns a walk sets."""
+    none = F.lit(None)
+    return responses.withColumns({"target": none.cast("string"), "depth": none.cast("int")})
+
+
+def _balanced(left: DataFrame, right: DataFrame, left_by: Column, right_by: Column) -> DataFrame:
+    """Join on ``url`` with hot URLs of both sides cut into slices."""
+    return sliced_join(
+        left, right, "url", hot_keys(left, "url", left.count()), hot_keys(right, "url", right.count()),
+        left_by, right_by,
+    )
+
+
+def _per_target(kept: DataFrame, records: DataFrame) -> DataFrame:
+    """Each target's rows: a URL that several targets reach was analysed once."""
+    columns = records.columns
+    slim = records.drop("target", "depth").withColumn("_url", F.col("url")).withColumn("url", F.col("original_url"))
+    none = hot_keys(slim, "url", 0).where(F.lit(False))
+    joined = sliced_join(kept, slim, "url", hot_keys(kept, "url", kept.count()), none, F.col("target"), F.col("_url"))
+    return joined.withColumn("url", F.col("_url")).select(*columns)

@@ -14,7 +14,7 @@ from pagescan.operators.skew import hot_keys, sliced_join
 from pagescan.options import SCOPE_ALL, ScanOptions
 from pagescan.storage import Workspace
 
-_FRONTIER = "target string, url string, depth int"
+_LEVEL = "target string, domain string, url string"
 
 
 def seeds(targets: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOpt
     """URLs each target's walk scans, with the depth of their first discovery.
 
     All targets advance together, one level per round, down to ``max_depth``
-    and until ``max_urls`` rows per target.  A start URL is scanned at depth 0
+    (`within_budget` then cuts what exceeds the URL budget).  A start URL is scanned at depth 0
     and once more if a page links to it.  With ``share_visited`` a URL belongs
     to the first target that finds it (lowest depth, then target).
 
@@ -74,30 +74,26 @@ def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOpt
     edges_hot = space.write(
         hot_keys(edges, "src_url", edges.count(), hot_rows).withColumnRenamed("src_url", "url"), "hot"
     )
-    domains = space.write(
-        start.select("target", urls.target_domain(F.col("target"), options.public_suffixes).alias("domain")).distinct(),
-        "domains",
-    )
     owner = ["url"] if options.share_visited else ["target", "url"]
 
     def level(depth: int) -> str:
         return space.folder(f"levels/depth={depth}")
 
-    def visited() -> DataFrame:
-        return (
-            spark.read.schema(_FRONTIER).option("basePath", space.folder("levels"))
-            .parquet(space.folder("levels")).where(F.col("depth") > 0)
-        )
+    def levels() -> DataFrame:
+        folder = space.folder("levels")
+        return spark.read.schema(f"{_LEVEL}, depth int").option("basePath", folder).parquet(folder)
 
-    start.select("target", "url").write.mode("overwrite").parquet(level(0))
+    first = start.select(
+        "target", urls.target_domain(F.col("target"), options.public_suffixes).alias("domain"), "url"
+    )
+    first.write.mode("overwrite").parquet(level(0))
     for depth in range(1, options.max_depth + 1):
-        frontier = spark.read.schema("target string, url string").parquet(level(depth - 1))
+        frontier = spark.read.schema(_LEVEL).parquet(level(depth - 1))
         size = frontier.count()
         if size == 0:
             break
-        wanted = frontier.join(domains, "target")
         found = sliced_join(
-            wanted,
+            frontier,
             edges.withColumnRenamed("src_url", "url"),
             "url",
             hot_keys(frontier, "url", size, hot_rows),
@@ -105,18 +101,13 @@ def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOpt
             F.col("target"),
             F.col("dst_url"),
         ).where(_inside(options))
-        new = found.select("target", F.col("dst_url").alias("url"))
-        if options.share_visited:
-            new = new.groupBy("url").agg(F.min("target").alias("target"))
-        else:
-            new = new.distinct()
+        new = found.groupBy(*[F.col("dst_url").alias("url") if c == "url" else F.col(c) for c in owner]).agg(
+            F.min(F.struct("target", "domain")).alias("by")
+        )
         if depth > 1:
-            new = new.join(visited().select(*owner), owner, "left_anti")
-        new.select("target", "url").write.mode("overwrite").parquet(level(depth))
-    walked = (
-        spark.read.schema(_FRONTIER).option("basePath", space.folder("levels")).parquet(space.folder("levels"))
-    )
-    return walked.select("target", "url", "depth")
+            new = new.join(levels().where(F.col("depth") > 0).select(*owner), owner, "left_anti")
+        new.select("by.target", "by.domain", "url").write.mode("overwrite").parquet(level(depth))
+    return levels().select("target", "url", "depth")
 
 
 def within_budget(rows: DataFrame, max_urls: int, by: list[str] = ["target"],

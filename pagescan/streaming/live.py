@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from pagescan.operators.dedup import ROW_KEY, flag_duplicates, with_signature
 from pagescan.operators.detect import Rule, findings
@@ -81,6 +81,9 @@ def duplicate_flagger(space: Workspace, table: str = "flagged", key: list[str] =
 
     def flag(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # Written first: flagging reads the rows twice, the pages are searched once.
+        batch.write.mode("overwrite").parquet(f"{space.folder('arrived')}/batch={batch_id}")
+        batch = spark.read.schema(batch.schema).parquet(f"{space.folder('arrived')}/batch={batch_id}")
         flagged = flag_duplicates(batch, key=key)
         if batch_id > 0:
             earlier = (
@@ -116,5 +119,5 @@ def run_flagged(results: DataFrame, space: Workspace, table: str = "flagged", ke
     )
     query.awaitTermination()
     spark = results.sparkSession
-    schema = results.schema.add("is_duplicate_signature", "boolean").add("batch", "bigint")
+    schema = StructType([*results.schema, StructField("is_duplicate_signature", BooleanType()), StructField("batch", LongType())])
     return spark.read.schema(schema).option("basePath", space.folder(table)).parquet(space.folder(table)).drop("batch")
