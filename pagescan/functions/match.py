@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,7 +46,27 @@ def contains_any(text: Column, needles: Iterable[str]) -> Column:
     return test
 
 
-def guarded(text: Column, needles: Iterable[str], matches: Column) -> Column:
+def sql_string(text: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# The functions below return SQL text instead of columns: a scan has some 150
+# patterns, and one parsed expression is built much faster than a tree of
+# thousands of column objects.  Arguments are SQL expressions.
+
+NO_MATCHES = "cast(array() AS array<string>)"
+
+
+def all_matches_sql(text: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({text}, {sql_string(pattern)}, {group})"
+
+
+def contains_any_sql(text: str, needles: Iterable[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {sql_string(needle)})" for needle in needles) + ")"
+
+
+def guarded_sql(text: str, needles: Iterable[str], matches: str) -> str:
     """``matches`` if ``text`` holds one of the needles, else no matches.
 
     Each pattern names substrings that every match must contain, so a page
@@ -55,13 +75,16 @@ def guarded(text: Column, needles: Iterable[str], matches: Column) -> Column:
     needles = tuple(needles)
     if not needles:
         return matches
-    return F.when(contains_any(text, needles), matches).otherwise(empty_strings())
+    return f"CASE WHEN {contains_any_sql(text, needles)} THEN {matches} ELSE {NO_MATCHES} END"
 
 
-def first_filled_group(match: Column, pattern: str, groups: int) -> Column:
-    """First non-empty capture group of an already matched text."""
-    parts = [F.nullif(F.regexp_extract(match, pattern, i), F.lit("")) for i in range(1, groups + 1)]
-    return F.coalesce(*parts, F.lit(""))
+def captured_sql(text: str, pattern: str) -> str:
+    """What each match captured: the first non-empty group, or the match if there is no group."""
+    regex, groups = java_regex(pattern, ignore_case=True), group_count(pattern)
+    if groups <= 1:
+        return all_matches_sql(text, regex, groups)
+    parts = ", ".join(f"nullif(regexp_extract(m, {sql_string(regex)}, {i}), '')" for i in range(1, groups + 1))
+    return f"transform({all_matches_sql(text, regex)}, m -> coalesce({parts}, ''))"
 
 
 def escaped_any(words: Iterable[str]) -> str:
@@ -111,3 +134,13 @@ def prefix_guard(words: Iterable[str]) -> str:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def exploded(rows: DataFrame, keys: Iterable[str], values: Column, name: str) -> DataFrame:
+    """One row per element of a computed array.
+
+    A plain explode lets the optimizer filter out empty arrays ahead of it,
+    which computes the array twice and moves that work below any exchange.
+    The outer form with a test on its output does not.
+    """
+    return rows.select(*keys, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from pagescan import catalog
 from pagescan.functions.match import (
-    all_matches,
-    contains_any,
-    empty_strings,
+    NO_MATCHES,
+    all_matches_sql,
+    contains_any_sql,
+    exploded,
     folded,
     group_count,
     java_regex,
     prefix_guard,
+    sql_string,
 )
 
 FINDING = "struct<ord:int,rule:string,type:string,count:int,samples:array<string>,total:int>"
@@ -190,69 +192,53 @@ def _probe(rule: Rule) -> None:
     SparkSession.active().range(1).select(F.lit("x").rlike(rule.regex)).collect()
 
 
-def _repr(text: Column) -> Column:
-    """Text in single quotes, or in double ones if it holds single ones."""
-    escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for char, code in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        escaped = F.replace(escaped, F.lit(char), F.lit(code))
-    single, double = F.contains(text, F.lit("'")), F.contains(text, F.lit('"'))
-    return F.when(single & ~double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(
-        F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
-    )
+def _repr_sql(text: str) -> str:
+    """SQL for a text in single quotes, or in double ones if it holds single ones."""
+    escaped = text
+    for char, code in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        escaped = f"replace({escaped}, {sql_string(char)}, {sql_string(code)})"
+    single, double = sql_string("'"), sql_string('"')
+    quoted = f"replace({escaped}, {single}, {sql_string(chr(92) + chr(39))})"
+    return f"""CASE WHEN contains({text}, {single}) AND NOT contains({text}, {double})
+        THEN concat({double}, {escaped}, {double}) ELSE concat({single}, {quoted}, {single}) END"""
 
 
-def _samples(text: Column, rule: Rule, mode: str) -> Column:
+def _samples_sql(text: str, rule: Rule, mode: str) -> str:
     """What a rule reports: the whole match, its one group, or its groups as a tuple."""
     if mode == "match" or rule.groups == 0:
-        return all_matches(text, rule.regex, 0)
+        return all_matches_sql(text, rule.regex)
     if rule.groups == 1:
-        return all_matches(text, rule.regex, 1)
-    return F.transform(
-        all_matches(text, rule.regex, 0),
-        lambda m: F.concat(
-            F.lit("("),
-            F.concat_ws(", ", *[_repr(F.regexp_extract(m, rule.regex, i)) for i in range(1, rule.groups + 1)]),
-            F.lit(")"),
-        ),
+        return all_matches_sql(text, rule.regex, 1)
+    groups = ", ".join(
+        _repr_sql(f"regexp_extract(m, {sql_string(rule.regex)}, {i})") for i in range(1, rule.groups + 1)
     )
+    return f"transform({all_matches_sql(text, rule.regex)}, m -> concat('(', concat_ws(', ', {groups}), ')'))"
 
 
-def rule_samples(text: Column, low: Column, rule: Rule, mode: str = "findall", must: Column | None = None) -> Column:
+def rule_samples_sql(text: str, low: str, rule: Rule, mode: str = "findall", must: str | None = None) -> str:
     """Distinct samples of a rule in a text, sorted."""
-    found = F.array_sort(F.array_distinct(_samples(text, rule, mode)))
-    test = None
+    found = f"array_sort(array_distinct({_samples_sql(text, rule, mode)}))"
+    tests = []
     if rule.needles:
-        test = contains_any(low if rule.fold else text, rule.needles)
+        tests.append(contains_any_sql(low if rule.fold else text, rule.needles))
     if rule.must:
-        seen = text.rlike(java_regex(rule.must)) if must is None else must
-        test = seen if test is None else test & seen
-    return found if test is None else F.when(test, found).otherwise(empty_strings())
+        tests.append(must or f"rlike({text}, {sql_string(java_regex(rule.must))})")
+    return f"CASE WHEN {' AND '.join(tests)} THEN {found} ELSE {NO_MATCHES} END" if tests else found
 
 
-def findings_array(text: Column, low: Column, rules: Iterable[Rule], mode: str, musts: Mapping[str, Column]) -> Column:
+def findings_array(text: str, low: str, rules: Iterable[Rule], mode: str, musts: Mapping[str, str]) -> Column:
     """Findings of a text in rule order."""
     found = []
     for ord_, rule in enumerate(rules, 1):
-        samples = rule_samples(text, low, rule, mode, musts.get(rule.must))
+        samples = rule_samples_sql(text, low, rule, mode, musts.get(rule.must))
         found.append(
-            F.struct(
-                F.lit(ord_).alias("ord"),
-                F.lit(rule.key).alias("rule"),
-                F.lit(rule.label).alias("type"),
-                samples.alias("samples"),
-            )
+            f"named_struct('ord', {ord_}, 'rule', {sql_string(rule.key)}, 'type', {sql_string(rule.label)}, "
+            f"'samples', {samples})"
         )
-    hits = F.filter(F.array(*found), lambda f: F.size(f["samples"]) > 0)
-    return F.transform(
-        hits,
-        lambda f: F.struct(
-            f["ord"].alias("ord"),
-            f["rule"].alias("rule"),
-            f["type"].alias("type"),
-            F.size(f["samples"]).alias("count"),
-            f["samples"].alias("samples"),
-            F.size(f["samples"]).alias("total"),
-        ),
+    return F.expr(
+        f"""transform(filter(array({', '.join(found)}), f -> size(f.samples) > 0), f -> named_struct(
+            'ord', f.ord, 'rule', f.rule, 'type', f.type, 'count', size(f.samples), 'samples', f.samples,
+            'total', size(f.samples)))"""
     )
 
 
@@ -271,7 +257,7 @@ def with_findings(texts: DataFrame, text: str = "text", rules: Iterable[Rule] |
     musts = {must: f"must_{i}" for i, must in enumerate(sorted({r.must for r in rules if r.must}))}
     tests = {name: F.col(text).rlike(java_regex(must)) for must, name in musts.items()}
     low = texts.withColumns({"low": folded(F.col(text)), **tests})
-    found = findings_array(F.col(text), F.col("low"), rules, mode, {m: F.col(n) for m, n in musts.items()})
+    found = findings_array(f"`{text}`", "low", rules, mode, musts)
     empty = F.array().cast(f"array<{FINDING}>")
     return low.select(*keys, F.when(F.length(text) > 0, found).otherwise(empty).alias("sensitive_raw"))
 
@@ -281,7 +267,7 @@ def findings(texts: DataFrame, text: str = "text", rules: Iterable[Rule] | None
     """One row per text and rule that hits."""
     wide = with_findings(texts, text, rules, mode)
     keys = [c for c in wide.columns if c != "sensitive_raw"]
-    return wide.select(*keys, F.explode("sensitive_raw").alias("f")).select(*keys, "f.*")
+    return exploded(wide, keys, F.col("sensitive_raw"), "f").select(*keys, "f.*")
 
 
 def finding_types(texts: DataFrame, text: str = "text", rules: Iterable[Rule] | None = None) -> DataFrame:

@@ -16,12 +16,13 @@ from pagescan import catalog
 from pagescan.functions import urls
 from pagescan.functions.match import (
     all_matches,
+    all_matches_sql,
+    captured_sql,
     contains_any,
-    empty_strings,
-    first_filled_group,
+    exploded,
     folded,
     group_count,
-    guarded,
+    guarded_sql,
     java_regex,
     let,
 )
@@ -90,49 +91,41 @@ def tag_patterns() -> list[tuple[str, str, str]]:
     return patterns
 
 
-def _captured(text: Column, pattern: str) -> Column:
-    """What each match of a pattern captured: the first non-empty group, else the match."""
-    regex, groups = java_regex(pattern, ignore_case=True), group_count(pattern)
-    if groups <= 1:
-        return all_matches(text, regex, groups)
-    return F.transform(all_matches(text, regex, 0), lambda m: first_filled_group(m, regex, groups))
-
-
-def path_strings(html: Column, low: Column) -> Column:
+def path_strings(html: str, low: str) -> Column:
     """Raw strings found by the path patterns.
 
     A pattern without a group captures its opening quote, which cleaning
     rejects, so those patterns are counted (`pattern_counts`) but not run here.
     """
     found = [
-        guarded(low, _NEEDLES.get(name, ()), _captured(html, _STARTS.get(name, "") + pattern))
+        guarded_sql(low, _NEEDLES.get(name, ()), captured_sql(html, _STARTS.get(name, "") + pattern))
         for name, pattern in catalog.PATH_PATTERNS
         if group_count(pattern) > 0
     ]
-    return F.concat(*found)
+    return F.expr(f"concat({', '.join(found)})")
 
 
-def tag_strings(html: Column, low: Column) -> Column:
+def tag_strings(html: str, low: str) -> Column:
     """Raw strings found by the bare-value tag patterns.
 
     The quoted forms capture the quote first, which cleaning rejects.
     """
     found = [
-        guarded(low, (needle,), _captured(html, pattern))
+        guarded_sql(low, (needle,), captured_sql(html, pattern))
         for name, needle, pattern in tag_patterns()
         if name.endswith("_bare")
     ]
-    return F.concat(*found)
+    return F.expr(f"concat({', '.join(found)})")
 
 
-def dom_strings(html: Column, low: Column) -> Column:
+def dom_strings(html: str, low: str) -> Column:
     """Attribute values of link-bearing tags, any quoting, entities decoded.
 
     Comments and the bodies of scripts and styles hold no tags.  Of a repeated
     attribute the last one counts.
     """
-    hidden = contains_any(low, ("<!--", "<script", "<style"))
-    visible = F.when(hidden, hide_inactive(html)).otherwise(html)
+    hidden = contains_any(F.expr(low), ("<!--", "<script", "<style"))
+    visible = F.when(hidden, hide_inactive(F.expr(html))).otherwise(F.expr(html))
 
     def attributes(tag: Column) -> Column:
         body = F.regexp_replace(tag, r"(?s)^<[A-Za-z]+|>$", "")
@@ -185,11 +178,11 @@ def is_full(cleaned: Column) -> Column:
     return F.contains(cleaned, F.lit("http"))
 
 
-def webpack_urls(html: Column, low: Column, base: urls.Base) -> Column:
+def webpack_urls(html: str, low: str, base: urls.Base) -> Column:
     """URLs of bundler chunks named in a page."""
     regex = java_regex(catalog.WEBPACK_PATTERN, ignore_case=True)
     names = F.transform(
-        guarded(low, ("chunk-",), all_matches(html, regex, 0)),
+        F.expr(guarded_sql(low, ("chunk-",), all_matches_sql(html, regex))),
         lambda m: F.concat(F.regexp_extract(m, regex, 1), F.lit("."), F.regexp_extract(m, regex, 2), F.lit(".js")),
     )
     found = F.transform(
@@ -220,10 +213,10 @@ def raw_links(pages: DataFrame, sources: Iterable[str] = ("path", "tag", "dom"),
     """
     keys = _keys(pages, text)
     wide = with_folded(pages, text).select(
-        *keys, *[_SOURCES[s](F.col(text), F.col("low")).alias(f"raw_{s}") for s in sources]
+        *keys, *[_SOURCES[s](f"`{text}`", "low").alias(f"raw_{s}") for s in sources]
     )
     tagged = [_labelled(F.array_distinct(F.col(f"raw_{s}")), "raw", "source", s) for s in sources]
-    rows = wide.select(*keys, F.explode(F.concat(*tagged)).alias("found"))
+    rows = exploded(wide, keys, F.concat(*tagged), "found")
     return rows.select(*keys, "found.source", "found.raw", clean(F.col("found.raw")).alias("cleaned"))
 
 
@@ -240,7 +233,7 @@ def resolved_links(raw: DataFrame, options: ScanOptions = ScanOptions(), url: st
             _resolved(base, F.array(prepare(cleaned, base.scheme)), options), "link", "kind", "resolved"
         )
     )
-    return parts.select(*keys, F.explode(targets).alias("found")).select(*keys, "found.link", "found.kind")
+    return exploded(parts, keys, targets, "found").select(*keys, "found.link", "found.kind")
 
 
 def _resolved(base: urls.Base, relative: Column, options: ScanOptions) -> Column:
@@ -283,7 +276,7 @@ def page_links(pages: DataFrame, options: ScanOptions = ScanOptions(), url: str
     with the domain that counts as inside; by default it is the page's own.
     """
     keys = _keys(pages, text)
-    html, low, page = F.col(text), F.col("low"), F.col(url)
+    html, low, page = f"`{text}`", "low", F.col(url)
     strings = with_folded(pages, text).select(
         *keys,
         urls.Base.struct(page).alias("base"),
@@ -312,7 +305,7 @@ def page_links(pages: DataFrame, options: ScanOptions = ScanOptions(), url: str
         _labelled(F.array_intersect(full, resolved), "link", "kind", "both"),
         _labelled(F.array_except("chunks", F.array_union(full, resolved)), "link", "kind", "chunk"),
     ]
-    rows = found.select(*keys, "inside", "chunks", F.explode(F.concat(*kinds)).alias("found")).select(
+    rows = exploded(found, [*keys, "inside", "chunks"], F.concat(*kinds), "found").select(
         *keys,
         "inside",
         "found.link",
@@ -360,7 +353,7 @@ def with_dispositions(links: DataFrame, options: ScanOptions) -> DataFrame:
             F.array("as_full", "as_resolved", F.when(F.col("chunk"), F.lit("keep")))
         )
     )
-    return routed.select(*links.columns, F.explode(places).alias("disposition"))
+    return exploded(routed, links.columns, places, "disposition")
 
 
 def kept_links(links: DataFrame) -> DataFrame:
@@ -391,21 +384,13 @@ def pattern_counts(pages: DataFrame, text: str = "html") -> DataFrame:
     patterns = [(name, _NEEDLES.get(name, ()), p) for name, p in catalog.PATH_PATTERNS]
     patterns += [(name, (needle,), p) for name, needle, p in tag_patterns()]
     patterns.append(("webpack_chunk", ("chunk-",), catalog.WEBPACK_PATTERN))
-    html, low = F.col(text), F.col("low")
-    counts = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("pattern"),
-                F.size(guarded(low, needles, all_matches(html, java_regex(p, ignore_case=True), 0)))
-                .cast("bigint")
-                .alias("matches"),
-            )
-            for name, needles, p in patterns
-        ]
-    )
+    counts = []
+    for name, needles, pattern in patterns:
+        matches = guarded_sql("low", needles, all_matches_sql(f"`{text}`", java_regex(pattern, ignore_case=True)))
+        counts.append(f"named_struct('pattern', '{name}', 'matches', cast(size({matches}) AS bigint))")
+    counts = F.expr(f"array({', '.join(counts)})")
     return (
-        with_folded(pages.select(text), text)
-        .select(F.explode(counts).alias("c"))
+        exploded(with_folded(pages.select(text), text), [], counts, "c")
         .groupBy(F.col("c.pattern").alias("pattern"))
         .agg(F.sum("c.matches").alias("matches"))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagescan import catalog
 from pagescan.functions import text, urls
+from pagescan.functions.match import exploded
 from pagescan.operators import dedup, detect, filters, links, report, results, stats
 from pagescan.options import ScanOptions
 from pagescan.plans import scan, walk
@@ -269,8 +270,8 @@ def dom_links(spark, sf_dir):
 @query
 def webpack_links(spark, sf_dir):
     rows = links.with_folded(rich_pages(pages(spark, sf_dir)))
-    found = links.webpack_urls(F.col("html"), F.col("low"), urls.Base.of(F.col("url")))
-    return rows.select("page_id", F.explode(found).alias("link"))
+    found = links.webpack_urls("html", "low", urls.Base.of(F.col("url")))
+    return exploded(rows, ["page_id"], found, "link")
 
 
 @query
