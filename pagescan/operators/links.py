@@ -64,9 +64,6 @@ _NEEDLES = {
     "import_call": ("import",),
 }
 
-# Characters a match can start with; tested before the word boundary, which costs more.
-_STARTS = {"link_attribute": "(?=[hsa])"}
-
 _PAIRS = [f"{tag} {attribute}" for tag, attribute in catalog.TAG_ATTRIBUTES]
 _TAGS = sorted({tag for tag, _ in catalog.TAG_ATTRIBUTES})
 _ATTRIBUTES = sorted({attribute for _, attribute in catalog.TAG_ATTRIBUTES})
@@ -98,7 +95,7 @@ def path_strings(html: str, low: str) -> Column:
     rejects, so those patterns are counted (`pattern_counts`) but not run here.
     """
     found = [
-        guarded_sql(low, _NEEDLES.get(name, ()), captured_sql(html, _STARTS.get(name, "") + pattern))
+        guarded_sql(low, _NEEDLES.get(name, ()), captured_sql(html, pattern))
         for name, pattern in catalog.PATH_PATTERNS
         if group_count(pattern) > 0
     ]

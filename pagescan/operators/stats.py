@@ -34,6 +34,8 @@ def link_stats(links: DataFrame, visited: DataFrame, page: str = "page_id", link
     it was visited before, else as skipped.  First pages are found by a
     pre-aggregated minimum per URL and marked through (page, URL), so a URL
     that a third of all pages link to does not pile up in one task.
+
+    ``links`` is read three times: pass a written table, not a fresh extraction.
     """
     kept = links.where(F.col("disposition") == "keep").select(page, link)
     first = (

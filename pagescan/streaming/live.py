@@ -17,9 +17,15 @@ from pagescan.options import ScanOptions
 from pagescan.storage import Workspace
 
 
-def page_stream(spark: SparkSession, folder: str, schema: StructType | str, files: str = "*.parquet") -> DataFrame:
-    """Captured pages as they arrive in a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
+def page_stream(spark: SparkSession, folder: str, schema: StructType | str, files: str = "*.parquet",
+                spread_by: str | None = None) -> DataFrame:
+    """Captured pages as they arrive in a folder.
+
+    ``spread_by`` names a key to spread each batch by, for sources whose files
+    are few and large; scanning text costs far more than reading it.
+    """
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
+    return stream if spread_by is None else stream.repartition(spark.sparkContext.defaultParallelism, spread_by)
 
 
 def live_results(responses: DataFrame, rules: Iterable[Rule] | None = None, hashed: str | None = None,

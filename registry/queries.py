@@ -287,7 +287,9 @@ def external_links(spark, sf_dir):
 @query
 def link_stats(spark, sf_dir):
     plain = pages(spark, sf_dir)
-    return stats.link_stats(links.page_links(linked_pages(plain), OPTIONS), plain.select("url"))
+    # Written first: the counts read the links three times, the pages are searched once.
+    found = Workspace(spark, "links").write(links.page_links(linked_pages(plain), OPTIONS), "links")
+    return stats.link_stats(found, plain.select("url"))
 
 
 # Filters
@@ -505,7 +507,7 @@ def batch_summary(spark, sf_dir):
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return live.page_stream(spark, sf_dir, schema, f"{name}.parquet")
+    return live.page_stream(spark, sf_dir, schema, f"{name}.parquet", spread_by=schema.names[0])
 
 
 @query
