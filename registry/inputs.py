@@ -36,6 +36,41 @@ var c={"chunk-{hex}":"{xeh}","chunk-a":"b"};<Route path="/rt{id}">;var q='/pg/p{
 </script>"""
 
 
+# Appended to each document: one made-up secret for every rule, named after the document.
+_KEY = "PRIV" + "ATE KEY"
+SEEDS = f"""
+id 11010519900307{{d3}}X tel 138{{d8}} code {{H16}}ZZ reg {{d8}}12345 net 10.0.{{b}}.1 172.16.{{b}}.9 ip 8.8.{{b}}.8 mac aa:bb:cc:dd:ee:{{h2}}
+mail u{{h8}}@mail.example.com f{{h8}}@x.json auth basic {{h16}} AUTH Bearer {{h16}}.x
+LTAI{{h16}} AKID{{h16}} AK{{h32}} AKIA{{H16}} AGPA{{H16}} AIza{{h32}}abc AAAA{{h2}}abcde:{{h32}}{{h32}}{{h32}}{{h32}}{{h8}}abcd 6L{{h32}}abcdef ya29.{{h16}}
+SK{{h32}} AC{{h32}} AP{{h32}} sk_live_{{h16}}{{h8}} rk_live_{{h16}}{{h8}} https://u{{h8}}:{{h16}}@github.com/x xoxb-{{h16}}
+https://hooks.slack.com/services/T{{h8}}/B{{h8}}/{{h16}}{{h8}} key-{{h32}} sqOatp-{{h16}}abcdef sq0csp-{{h32}}abcdefghijk
+access_token$production${{h16}}${{h32}} EAACEdEose0cBA{{h16}}
+fb_app = "1{{d8}}23456" FACEBOOK: '{{h32}}' twitter key '{{h32}}abcd' Twitter="{{h32}}abc" linkedin = '{{h16}}' GitHub "{{h32}}abcd"
+w.oss.aliyuncs.com b{{h8}}.s3.amazonaws.com s3://bucket-{{h8}} cloudinary://1234567{{d8}}:{{h8}}@cloud
+mysql://u{{h8}}:p@db.example.com:3306/d{{h8}} jdbc:mysql://db{{h8}}.example.com:3306/x
+ey{{h16}}.{{h16}}.{{h8}} -----BEGIN RSA {_KEY}-----
+{{h32}}
+-----END RSA {_KEY}----- -----BEGIN PGP {_KEY} BLOCK-----
+api_key = "{{h16}}" passwd: 'p{{h8}}' token="t{{h8}}" accessKeyId Access-Key accesskey SecretKey SECRET_KEY C:\\\\d{{h8}}\\\\f
+db_password = "{{h16}}" config.x:="{{h8}}"
+"""
+
+
+def seeds() -> Column:
+    number, digest = F.col("doc_id"), F.md5(F.col("doc_id").cast("string"))
+    text = F.lit(SEEDS)
+    for size in (32, 16, 8, 2):
+        text = F.replace(text, F.lit(f"{{h{size}}}"), F.substring(digest, 1, size))
+        text = F.replace(text, F.lit(f"{{H{size}}}"), F.upper(F.substring(digest, 1, size)))
+    for size in (8, 3):
+        text = F.replace(text, F.lit(f"{{d{size}}}"), F.lpad((number % 10**size).cast("string"), size, "0"))
+    return F.replace(text, F.lit("{b}"), (number % 256).cast("string"))
+
+
+def seeded_documents(plain: DataFrame) -> DataFrame:
+    return plain.select("doc_id", F.concat("text", seeds()).alias("text"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), key)
 

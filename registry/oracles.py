@@ -10,7 +10,7 @@ from __future__ import annotations
 from pagescan import catalog
 from pagescan.operators.detect import default_rules
 from pagescan.operators.links import tag_patterns
-from registry.inputs import DANGER, FORMS, OPTIONS, SUFFIXES
+from registry.inputs import DANGER, FORMS, OPTIONS, SEEDS, SUFFIXES
 
 ORACLES: dict[str, str] = {}
 
@@ -365,22 +365,23 @@ def _repr(x: str) -> str:
         ELSE '''' || replace({escaped}, '''', '\\''') || '''' END)"""
 
 
-def rule_matches(rule, text: str) -> str:
+def rule_matches(rule, text: str, mode: str = "findall") -> str:
     pattern = rule.pattern.replace(")*+[", ")*[").replace(r"\_", "_")
     if rule.key == "email":
         endings = pattern[pattern.index("(?!") + 3 : pattern.index(")[a-zA-Z]{2,10}")]
         plain = pattern.replace(f"(?!{endings})", "")
         return f"list_filter({rx_all(text, plain)}, lambda m: NOT {rx_is('m', rf'[.](?:{endings})[a-zA-Z]*$')})"
-    if rule.groups <= 1:
-        return f"list_transform({rx_all(text, pattern, rule.groups)}, lambda m: coalesce(m, ''))"
+    if rule.groups <= 1 or mode == "match":
+        group = 0 if mode == "match" else rule.groups
+        return f"list_transform({rx_all(text, pattern, group)}, lambda m: coalesce(m, ''))"
     groups = " || ', ' || ".join(_repr(f"coalesce({rx('m', pattern, g)}, '')") for g in range(1, rule.groups + 1))
     return f"list_transform({rx_all(text, pattern)}, lambda m: '(' || {groups} || ')')"
 
 
-def hits(source: str, key: str, text: str) -> str:
+def hits(source: str, key: str, text: str, mode: str = "findall") -> str:
     """CTE hits(key, ord, rule, type, samples) over all rules."""
     found = ",\n".join(
-        f"{{'ord': {i}, 'rule': {q(r.key)}, 'type': {q(r.label)}, 'samples': list_sort(list_distinct({rule_matches(r, text)}))}}"
+        f"{{'ord': {i}, 'rule': {q(r.key)}, 'type': {q(r.label)}, 'samples': list_sort(list_distinct({rule_matches(r, text, mode)}))}}"
         for i, r in enumerate(default_rules(), 1)
     )
     return f"""all_hits AS (SELECT {key}, unnest([{found}]) AS h FROM {source}),
@@ -577,6 +578,23 @@ ORACLES["danger_report"] = select(
 
 ORACLES["findings"] = select([hits("documents", "doc_id", "text")], f"SELECT doc_id, {FINDING_COLUMNS} FROM hits")
 ORACLES["page_findings"] = select([hits("pages", "page_id", "html")], f"SELECT page_id, {FINDING_COLUMNS} FROM hits")
+
+
+def seeded() -> str:
+    text = q(SEEDS)
+    for size in (32, 16, 8, 2):
+        text = f"replace({text}, '{{h{size}}}', substr(md5(doc_id::VARCHAR), 1, {size}))"
+        text = f"replace({text}, '{{H{size}}}', upper(substr(md5(doc_id::VARCHAR), 1, {size})))"
+    for size in (8, 3):
+        text = f"replace({text}, '{{d{size}}}', lpad((doc_id % {10**size})::VARCHAR, {size}, '0'))"
+    text = f"replace({text}, '{{b}}', (doc_id % 256)::VARCHAR)"
+    return f"seeded AS (SELECT doc_id, text || {text} AS text FROM documents)"
+
+
+ORACLES["findings_all_rules"] = select([seeded(), hits("seeded", "doc_id", "text")], f"SELECT doc_id, {FINDING_COLUMNS} FROM hits")
+ORACLES["findings_whole_match"] = select(
+    [seeded(), hits("seeded", "doc_id", "text", "match")], f"SELECT doc_id, {FINDING_COLUMNS} FROM hits"
+)
 ORACLES["finding_types"] = select(
     [hits("documents", "doc_id", "text")],
     "SELECT doc_id, count(ord)::INT AS n_types FROM documents LEFT JOIN hits USING (doc_id) GROUP BY doc_id",

@@ -26,6 +26,7 @@ from registry.inputs import (
     pages,
     responses,
     rich_pages,
+    seeded_documents,
     start_urls,
 )
 
@@ -364,6 +365,18 @@ def page_findings(spark, sf_dir):
     return _joined_samples(detect.findings(pages(spark, sf_dir).select("page_id", "html"), "html"), "page_id")
 
 
+@query
+def findings_all_rules(spark, sf_dir):
+    """Documents with a made-up secret for every rule."""
+    return _joined_samples(detect.findings(seeded_documents(documents(spark, sf_dir))), "doc_id")
+
+
+@query
+def findings_whole_match(spark, sf_dir):
+    """The same, reporting whole matches instead of captured groups."""
+    return _joined_samples(detect.findings(seeded_documents(documents(spark, sf_dir)), mode="match"), "doc_id")
+
+
 @query
 def finding_types(spark, sf_dir):
     return detect.finding_types(documents(spark, sf_dir).select("doc_id", "text"))
