@@ -263,38 +263,43 @@ def _variants(base: urls.Base, rel: Column, options: ScanOptions) -> Column:
     return let(F.filter(routed, urls.is_valid), cut)
 
 
-def page_links(pages: DataFrame, options: ScanOptions = ScanOptions(), url: str = "url", text: str = "html",
-               target: str | None = None) -> DataFrame:
-    """Every link of every page, once per page and disposition.
+def link_sets(pages: DataFrame, options: ScanOptions = ScanOptions(), url: str = "url",
+              text: str = "html") -> DataFrame:
+    """Page columns plus the distinct URLs of each page as arrays; the text is dropped.
 
-    Adds ``link`` and ``disposition`` to the page columns (the text is
-    dropped).  Dispositions: ``keep``, ``external``, ``danger``,
-    ``out_of_scope``, ``extension``, ``invalid``.  ``target`` names the column
-    with the domain that counts as inside; by default it is the page's own.
+    ``full`` are URLs written out in the page, ``resolved`` those that a
+    reference leads to, ``chunks`` those of bundler chunks.
     """
     keys = _keys(pages, text)
     html, low, page = f"`{text}`", "low", F.col(url)
     strings = with_folded(pages, text).select(
         *keys,
-        urls.Base.struct(page).alias("base"),
-        filters.target_of(F.col(target) if target else None, page, options).alias("inside"),
-        F.array_distinct(F.concat(*[find(html, low) for find in _SOURCES.values()])).alias("raw"),
+        urls.Base.struct(page).alias("_base"),
+        F.array_distinct(F.concat(*[find(html, low) for find in _SOURCES.values()])).alias("_raw"),
         webpack_urls(html, low, urls.Base.of(page)).alias("chunks"),
     )
     cleaned = strings.withColumn(
-        "cleaned", F.array_distinct(F.filter(F.transform("raw", clean), lambda c: c.isNotNull()))
-    )
-    base = urls.Base.from_struct(F.col("base"))
-    relative = F.transform(
-        F.filter("cleaned", lambda c: ~is_full(c)), lambda c: prepare(c, base.scheme)
+        "_cleaned", F.array_distinct(F.filter(F.transform("_raw", clean), lambda c: c.isNotNull()))
     )
-    found = cleaned.select(
+    base = urls.Base.from_struct(F.col("_base"))
+    relative = F.transform(F.filter("_cleaned", lambda c: ~is_full(c)), lambda c: prepare(c, base.scheme))
+    return cleaned.select(
         *keys,
-        "inside",
-        F.array_distinct(F.flatten(F.transform(F.filter("cleaned", is_full), urls.full_urls))).alias("full"),
+        F.array_distinct(F.flatten(F.transform(F.filter("_cleaned", is_full), urls.full_urls))).alias("full"),
         F.array_distinct(_resolved(base, relative, options)).alias("resolved"),
         "chunks",
     )
+
+
+def routed_links(sets: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """One row per page and URL, with where it goes if it is in scope and if it is not.
+
+    ``inside`` and ``outside`` are arrays: a URL found both written out and by
+    resolution is tested both ways and may end in two places.  ``place`` and
+    ``domain`` are what the scope test looks at, so that it can be made later
+    for each target.  Chunks (``chunk``) are kept in any case.
+    """
+    keys = _keys(sets, "full", "resolved", "chunks")
     full, resolved = F.col("full"), F.col("resolved")
     kinds = [
         _labelled(F.array_except(full, resolved), "link", "kind", "full"),
@@ -302,55 +307,64 @@ def page_links(pages: DataFrame, options: ScanOptions = ScanOptions(), url: str
         _labelled(F.array_intersect(full, resolved), "link", "kind", "both"),
         _labelled(F.array_except("chunks", F.array_union(full, resolved)), "link", "kind", "chunk"),
     ]
-    rows = exploded(found, [*keys, "inside", "chunks"], F.concat(*kinds), "found").select(
-        *keys,
-        "inside",
-        "found.link",
-        "found.kind",
-        F.array_contains("chunks", F.col("found.link")).alias("chunk"),
+    link = F.col("link")
+    rows = exploded(sets, [*keys, "chunks"], F.concat(*kinds), "found").select(
+        *keys, "found.link", "found.kind", F.array_contains("chunks", F.col("found.link")).alias("chunk")
     )
-    return with_dispositions(rows, options).select(*keys, "link", "disposition")
-
-
-def with_dispositions(links: DataFrame, options: ScanOptions) -> DataFrame:
-    """Rows (link, kind, inside, chunk) plus what becomes of each link; chunks are always kept.
-
-    One found both ways may end in two places and then gives two rows.  The
-    parts of the URL that the tests share are computed once per link.
-    """
-    link, kind = F.col("link"), F.col("kind")
     suffixes = options.public_suffixes
-    parts = links.withColumns(
+    tested = rows.withColumns(
         {
             "place": urls.netloc(link),
             "domain": F.lit(None).cast("string") if suffixes is None else urls.registered_domain(link, suffixes),
-        }
-    )
-    tested = parts.withColumns(
-        {
-            "scoped": filters.scope_test(
-                F.col("place"), None if suffixes is None else F.col("domain"), F.col("inside"), options
-            ),
             "ending": filters.has_extension(link, options.extensions),
+            "refused": F.when(~urls.is_valid(link), "invalid").when(
+                filters.is_dangerous(link, options.active_danger_keywords), "danger"
+            ),
         }
     )
-    full = F.when(~F.col("scoped"), "external").when(F.col("ending"), "extension").otherwise("keep")
-    resolved = (
-        F.when(~urls.is_valid(link), "invalid")
-        .when(filters.is_dangerous(link, options.active_danger_keywords), "danger")
-        .when(~F.col("scoped"), "out_of_scope")
-        .when(F.col("ending"), "extension")
-        .otherwise("keep")
-    )
-    routed = tested.withColumns(
-        {"as_full": F.when(kind.isin("full", "both"), full), "as_resolved": F.when(kind.isin("resolved", "both"), resolved)}
-    )
-    places = F.array_distinct(
-        F.array_compact(
-            F.array("as_full", "as_resolved", F.when(F.col("chunk"), F.lit("keep")))
+    allowed = F.when(F.col("ending"), "extension").otherwise("keep")
+    as_full, as_resolved = F.col("kind").isin("full", "both"), F.col("kind").isin("resolved", "both")
+
+    def places(if_full: Column, if_resolved: Column) -> Column:
+        found = F.array(
+            F.when(as_full, if_full),
+            F.when(as_resolved, F.coalesce("refused", if_resolved)),
+            F.when(F.col("chunk"), F.lit("keep")),
         )
+        return F.array_distinct(F.array_compact(found))
+
+    return tested.select(
+        *keys,
+        "link",
+        "chunk",
+        "place",
+        "domain",
+        places(allowed, allowed).alias("inside"),
+        places(F.lit("external"), F.lit("out_of_scope")).alias("outside"),
     )
-    return exploded(routed, links.columns, places, "disposition")
+
+
+def dispositions(target: Column, options: ScanOptions) -> Column:
+    """Where a routed link goes for a target domain."""
+    domain = None if options.public_suffixes is None else F.col("domain")
+    return F.when(filters.scope_test(F.col("place"), domain, target, options), F.col("inside")).otherwise(
+        F.col("outside")
+    )
+
+
+def page_links(pages: DataFrame, options: ScanOptions = ScanOptions(), url: str = "url", text: str = "html",
+               target: str | None = None) -> DataFrame:
+    """Every link of every page, once per page and disposition.
+
+    Adds ``link`` and ``disposition`` to the page columns (the text is
+    dropped).  Dispositions: ``keep``, ``external``, ``danger``,
+    ``out_of_scope``, ``extension``, ``invalid``.  ``target`` names the column
+    with the domain that counts as inside; by default it is the page's own.
+    """
+    keys = _keys(pages, text)
+    inside = filters.target_of(F.col(target) if target else None, F.col(url), options)
+    routed = routed_links(link_sets(pages.withColumn("_target", inside), options, url, text), options)
+    return exploded(routed, [*keys, "link"], dispositions(F.col("_target"), options), "disposition")
 
 
 def kept_links(links: DataFrame) -> DataFrame:

@@ -60,11 +60,12 @@ def header_count(headers: Column) -> Column:
     return F.when(headers.isNull(), 0).otherwise(F.size(headers))
 
 
-def result_records(responses: DataFrame, rules: Iterable[Rule] | None = None, mode: str = "findall") -> DataFrame:
+def result_records(responses: DataFrame, rules: Iterable[Rule] | None = None, mode: str = "findall",
+                   keep_content: bool = False) -> DataFrame:
     """One result per response, failed request or missing capture.
 
-    Every column but the findings is computed before detection, so the page
-    text is dropped in the stage that read it.
+    The page text is dropped in the stage that read it, unless the same stage
+    goes on to look for links in it (``keep_content``).
     """
     code, error = F.col("status_code"), F.col("error_type")
     answered = code.isNotNull()
@@ -94,8 +95,8 @@ def result_records(responses: DataFrame, rules: Iterable[Rule] | None = None, mo
     }
     extra = [c for c in responses.columns if c not in known and c not in _CONSUMED]
     wide = responses.select(*extra, *[column.alias(name) for name, column in known.items()])
-    found = with_findings(wide, "content", rules, mode)
-    return found.select(*extra, *RESULT_COLUMNS)
+    found = with_findings(wide, "content", rules, mode, keep_content)
+    return found.select(*extra, *RESULT_COLUMNS, *(["content"] if keep_content else []))
 
 
 _CONSUMED = {"headers", "elapsed", "error_message", "body", "charset"}

@@ -12,13 +12,15 @@ from pagescan import catalog
 from pagescan.operators import filters
 from pagescan.operators.dedup import content_hash, flag_duplicates, with_signature
 from pagescan.operators.detect import Rule
-from pagescan.operators.links import page_links
+from pagescan.functions import urls
+from pagescan.functions.match import exploded
+from pagescan.operators.links import dispositions, link_sets, routed_links
 from pagescan.operators.report import batch_summary, danger_report_rows, report_rows
 from pagescan.operators.results import RESULT_COLUMNS, placeholder_rows, result_records
 from pagescan.operators.skew import hot_keys, sliced_join
 from pagescan.options import SCOPE_EXTERNAL_ONCE, ScanOptions
 from pagescan.plans import walk
-from pagescan.sources.readers import fetched
+from pagescan.sources.readers import RESPONSES, fetched
 from pagescan.storage import Workspace
 
 
@@ -58,12 +60,13 @@ def gated(responses: DataFrame, options: ScanOptions) -> DataFrame:
 
 
 def signed_results(responses: DataFrame, options: ScanOptions = ScanOptions(),
-                   rules: Iterable[Rule] | None = None) -> DataFrame:
+                   rules: Iterable[Rule] | None = None, keep_content: bool = False) -> DataFrame:
     """Result rows with signature."""
     if options.signature == "length_status":
-        return with_signature(result_records(responses, rules, options.sample_mode))
+        return with_signature(result_records(responses, rules, options.sample_mode, keep_content))
     hashed = responses.withColumn("content_hash", content_hash(F.col("content")))
-    return with_signature(result_records(hashed, rules, options.sample_mode), "content_hash").drop("content_hash")
+    records = result_records(hashed, rules, options.sample_mode, keep_content)
+    return with_signature(records, "content_hash").drop("content_hash")
 
 
 def flagged_results(responses: DataFrame, options: ScanOptions = ScanOptions(),
@@ -78,46 +81,70 @@ def flagged_results(responses: DataFrame, options: ScanOptions = ScanOptions(),
     return flag_duplicates(signed, dedup_errors=options.dedup_errors)
 
 
+def analysed(responses: DataFrame, options: ScanOptions = ScanOptions(),
+             rules: Iterable[Rule] | None = None) -> DataFrame:
+    """Signed result rows plus the link sets of each page, in one pass over the text.
+
+    Links are looked for in ``link_text`` if there is such a column, else in
+    the content.
+    """
+    ready = gated(_untargeted(responses), options)
+    text = "link_text" if "link_text" in ready.columns else "content"
+    records = signed_results(ready, options, rules, keep_content=True)
+    if text == "link_text":
+        records = records.drop("content").withColumn(
+            text, F.when(F.col("status_code").isNotNull(), F.col(text)).otherwise("")
+        )
+    return link_sets(records, options, "url", text)
+
+
 def scan(targets: DataFrame, responses: DataFrame, options: ScanOptions = ScanOptions(),
          rules: Iterable[Rule] | None = None) -> Scan:
     """Scan start URLs against captured responses.
 
-    ``targets`` holds ``url``; ``responses`` one row per requested URL.  Links
-    are extracted once from all captured text, the walk then runs on slim
-    edges, and only the scanned URLs meet their responses again.
+    ``targets`` holds ``url``; ``responses`` one row per requested URL
+    (``original_url``).  All captured text is searched in one narrow pass that
+    writes records and links; it is never shuffled.  The walk and all joins
+    then run on those slim tables.
     """
     space = Workspace(targets.sparkSession, "scan")
     start = walk.seeds(targets)
-    captured = responses.where(F.col("status_code").isNotNull()).select(
-        F.col("original_url"), F.coalesce("url", "original_url").alias("url"), "content"
-    )
-    links = space.write(page_links(captured, options, "url", "content"), "links")
-    edges = links.where(F.col("disposition") == "keep").select(
-        F.col("original_url").alias("src_url"), F.col("link").alias("dst_url")
+    pages = space.write(analysed(responses, options, rules), "pages")
+    records = pages.drop("full", "resolved", "chunks")
+    routed = space.write(
+        routed_links(pages.select("original_url", "full", "resolved", "chunks"), options), "links"
     )
-    walked = walk.reachable(start, walk.with_domain(edges, options), options)
+    walked = walk.reachable(start, walk.edges_of(routed, options, "original_url"), options)
     kept = walk.within_budget(walked, options.max_urls).where("within_budget").select("target", "url", "depth")
     kept = space.write(kept, "kept")
-    records = signed_results(gated(fetched(kept.select("url").distinct(), _untargeted(responses)), options), options, rules)
-    signed = space.write(_per_target(kept, records), "results")
+    signed = space.write(_visited(kept, records, options), "results")
     results = flag_duplicates(signed, dedup_errors=options.dedup_errors)
 
     # External and dangerous URLs count for the targets whose walk read the page that holds them.
     read = kept.where(F.col("depth") < options.max_depth).select("target", "url").distinct()
-    side = links.where(F.col("disposition").isin("external", "danger")).select(
-        F.col("original_url").alias("url"), "link", "disposition"
+    either = F.concat("inside", "outside")
+    side = routed.where(F.array_contains(either, "external") | F.array_contains(either, "danger")).withColumnRenamed(
+        "original_url", "url"
+    )
+    goal = urls.target_domain(F.col("target"), options.public_suffixes)
+    met = sliced_join(
+        read, side, "url", hot_keys(read, "url", read.count()), hot_keys(side, "url", side.count()),
+        F.col("target"), F.col("link"),
     )
     found = (
-        _balanced(read, side, F.col("target"), F.col("link"))
+        exploded(met, ["target", "link"], dispositions(goal, options), "disposition")
+        .where(F.col("disposition").isin("external", "danger"))
         .select("target", F.col("link").alias("url"), "disposition")
         .distinct()
     )
+    found = space.write(found, "found")
     danger = found.where(F.col("disposition") == "danger").select("target", "url")
     outside = found.where(F.col("disposition") == "external").groupBy("url").agg(F.min("target").alias("target"))
     outside = outside.join(walked.where("depth > 0").select("url").distinct(), "url", "left_anti")
     if options.scope_mode == SCOPE_EXTERNAL_ONCE:
-        visits = outside.select("target", "url", F.lit(0).alias("depth"))
-        external = flagged_results(gated(fetched(visits, _untargeted(responses)), options), options, rules)
+        visits = space.write(outside.select("target", "url", F.lit(0).alias("depth")), "visits")
+        outer = space.write(_visited(visits, records, options), "external")
+        external = flag_duplicates(outer, dedup_errors=options.dedup_errors)
     else:
         external = placeholder_rows(outside, catalog.EXTERNAL).withColumns(
             {"signature": F.lit(None).cast("string"), "is_duplicate_signature": F.lit(False)}
@@ -127,23 +154,26 @@ def scan(targets: DataFrame, responses: DataFrame, options: ScanOptions = ScanOp
 
 
 def _untargeted(responses: DataFrame) -> DataFrame:
-    """Responses without the columns a walk sets."""
+    """Responses without the columns that a walk sets."""
     none = F.lit(None)
     return responses.withColumns({"target": none.cast("string"), "depth": none.cast("int")})
 
 
-def _balanced(left: DataFrame, right: DataFrame, left_by: Column, right_by: Column) -> DataFrame:
-    """Join on ``url`` with hot URLs of both sides cut into slices."""
-    return sliced_join(
-        left, right, "url", hot_keys(left, "url", left.count()), hot_keys(right, "url", right.count()),
-        left_by, right_by,
-    )
-
+def _visited(wanted: DataFrame, records: DataFrame, options: ScanOptions) -> DataFrame:
+    """Result rows of the wanted (target, url, depth): the page's record, or that none was captured.
 
-def _per_target(kept: DataFrame, records: DataFrame) -> DataFrame:
-    """Each target's rows: a URL that several targets reach was analysed once."""
-    columns = records.columns
-    slim = records.drop("target", "depth").withColumn("_url", F.col("url")).withColumn("url", F.col("original_url"))
-    none = hot_keys(slim, "url", 0).where(F.lit(False))
-    joined = sliced_join(kept, slim, "url", hot_keys(kept, "url", kept.count()), none, F.col("target"), F.col("_url"))
-    return joined.withColumn("url", F.col("_url")).select(*columns)
+    A URL that several targets reach was analysed once; hot URLs are cut into
+    slices.
+    """
+    columns = [*RESULT_COLUMNS, "signature"]
+    spark = wanted.sparkSession
+    slim = records.drop("target", "depth").withColumnRenamed("url", "_final").withColumnRenamed("original_url", "url")
+    no_hot = spark.createDataFrame([], "url string, slices int")
+    met = sliced_join(
+        wanted, slim, "url", hot_keys(wanted, "url", wanted.count()), no_hot, F.col("target"), F.lit(0)
+    )
+    met = met.withColumnRenamed("url", "original_url").withColumnRenamed("_final", "url").select(*columns)
+    missing = wanted.join(slim.select("url").distinct(), "url", "left_anti")
+    nothing = fetched(missing, spark.createDataFrame([], RESPONSES))
+    unknown = signed_results(gated(nothing, options), options, rules=[]).select(*columns)
+    return met.unionByName(unknown)

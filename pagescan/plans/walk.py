@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagescan.functions import urls
-from pagescan.operators import filters
-from pagescan.operators.links import page_links
+from pagescan.functions.match import contains_any
+from pagescan.operators.links import dispositions, link_sets, routed_links
 from pagescan.operators.ranking import numbered
 from pagescan.operators.results import placeholder_rows
 from pagescan.operators.skew import hot_keys, sliced_join
@@ -23,36 +23,47 @@ def seeds(targets: DataFrame) -> DataFrame:
 
 
 def link_edges(pages: DataFrame, options: ScanOptions, url: str = "url", text: str = "html") -> DataFrame:
-    """Edges (src_url, dst_url, dst_domain) a walk may follow before its scope is known.
+    """Edges of captured pages; their text is scanned once for all targets and levels."""
+    sets = link_sets(pages.select(F.col(url).alias("src_url"), text), options, "src_url", text)
+    return edges_of(routed_links(sets, options), options)
 
-    Page text is scanned once for all targets and levels.  Scope depends on
-    the target, so edges carry the destination's domain and the walk tests it.
+
+def edges_of(routed: DataFrame, options: ScanOptions, src: str = "src_url") -> DataFrame:
+    """Edges (src_url, dst_url, dst_domain, always) that a walk may follow.
+
+    Whether the destination is inside depends on the target in scope modes 0
+    and 1: edges then carry its domain and the walk tests it, except for
+    those that no scope holds back (``always``).
     """
-    wide = ScanOptions(
-        scope_mode=SCOPE_ALL if options.scope_mode < SCOPE_ALL else options.scope_mode,
-        **{
-            name: getattr(options, name)
-            for name in (
-                "blacklist_domains", "whitelist_domains", "extension_blacklist", "danger_filter", "danger_keywords",
-                "fuzz", "custom_base_urls", "path_routes", "api_routes", "public_suffixes",
-            )
-        },
+    if options.scope_mode >= SCOPE_ALL:
+        followed = F.array_contains(dispositions(F.lit(None).cast("string"), options), "keep")
+        always = F.lit(True)
+    else:
+        listed = contains_any(F.col("place"), options.blacklist_domains)
+        followed = F.array_contains("inside", "keep") & (F.col("chunk") | ~listed)
+        always = F.col("chunk")
+    domain = F.col("place") if options.public_suffixes is None else F.col("domain")
+    return routed.where(followed).select(
+        F.col(src).alias("src_url"), F.col("link").alias("dst_url"), domain.alias("dst_domain"), always.alias("always")
     )
-    kept = page_links(pages.select(url, text), wide, url, text).where(F.col("disposition") == "keep")
-    return with_domain(kept.select(F.col(url).alias("src_url"), F.col("link").alias("dst_url")), options)
 
 
 def with_domain(edges: DataFrame, options: ScanOptions) -> DataFrame:
-    return edges.withColumn("dst_domain", urls.target_domain(F.col("dst_url"), options.public_suffixes))
+    """Ready-made edges (src_url, dst_url) with what the scope test needs."""
+    return edges.withColumns(
+        {
+            "dst_domain": urls.target_domain(F.col("dst_url"), options.public_suffixes),
+            "always": F.lit(options.scope_mode >= SCOPE_ALL),
+        }
+    )
 
 
 def _inside(options: ScanOptions) -> Column:
-    if options.scope_mode >= SCOPE_ALL:
-        return F.lit(True)
-    place = F.col("dst_domain")
+    place, domain = F.col("dst_domain"), F.col("domain")
+    same = place == domain
     if options.public_suffixes is None:
-        return (place == F.col("domain")) | F.endswith(place, F.concat(F.lit("."), F.col("domain")))
-    return place == F.col("domain")
+        same = same | F.endswith(place, F.concat(F.lit("."), domain))
+    return F.col("always") | same
 
 
 def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOptions(),
@@ -70,7 +81,7 @@ def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOpt
     """
     spark = start.sparkSession
     space = Workspace(spark, "walk")
-    edges = space.write(edges.select("src_url", "dst_url", "dst_domain"), "edges")
+    edges = space.write(edges.select("src_url", "dst_url", "dst_domain", "always"), "edges")
     edges_hot = space.write(
         hot_keys(edges, "src_url", edges.count(), hot_rows).withColumnRenamed("src_url", "url"), "hot"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
+    BinaryType,
     DoubleType,
     IntegerType,
     MapType,
@@ -14,7 +15,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from pagescan.functions.text import decode_body, strip
+from pagescan.functions.text import decode_body, strip, text_for_links
 
 RESPONSES = StructType(
     [
@@ -83,8 +84,30 @@ def responses_from_pages(captured: DataFrame, target: Column | None = None) -> D
 
 
 def decoded(responses: DataFrame) -> DataFrame:
-    """Responses with a binary ``body`` and ``charset`` turned into ``content``."""
-    return responses.withColumn("content", decode_body(F.col("body"), F.col("charset"))).drop("body", "charset")
+    """Responses with a binary ``body`` and ``charset`` turned into text.
+
+    ``content`` is what detection reads, ``link_text`` what links are looked for in.
+    """
+    texts = {
+        "content": decode_body(F.col("body"), F.col("charset")),
+        "link_text": text_for_links(F.col("body")),
+    }
+    return responses.withColumns(texts).drop("body", "charset")
+
+
+def responses(spark: SparkSession, path: str, source: str = "parquet") -> DataFrame:
+    """Captured responses from any file source Spark reads.
+
+    Files hold the `RESPONSES` columns; a binary ``body`` with its ``charset``
+    may take the place of ``content``.  What a file leaves out is null.
+    """
+    schema = StructType([*RESPONSES, StructField("body", BinaryType()), StructField("charset", StringType())])
+    rows = spark.read.format(source).schema(schema).load(path)
+    rows = rows.withColumn("original_url", F.coalesce("original_url", "url"))
+    given = decoded(rows.withColumnRenamed("content", "_given"))
+    return given.withColumns(
+        {"content": F.coalesce("_given", "content"), "link_text": F.coalesce("_given", "link_text")}
+    ).drop("_given")
 
 
 def fetched(frontier: DataFrame, responses: DataFrame) -> DataFrame:

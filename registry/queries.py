@@ -410,6 +410,8 @@ def signature_counts(spark, sf_dir):
 def dup_flag(spark, sf_dir):
     signed = dedup.with_signature(results.result_records(responses(pages(spark, sf_dir))))
     slim = signed.select("page_id", "target", "depth", "url", "signature", "status_code")
+    # Written first: flagging reads the rows twice, the page text is read once.
+    slim = Workspace(spark, "signed").write(slim, "rows")
     return dedup.flag_duplicates(slim).select("page_id", "signature", "is_duplicate_signature")
 
 
@@ -421,6 +423,7 @@ def dup_content(spark, sf_dir):
         F.col("source").alias("target"),
         dedup.signature(F.length("text"), F.lit("200"), dedup.content_hash(F.col("text"))).alias("signature"),
     )
+    rows = Workspace(spark, "signed").write(rows, "rows")
     return dedup.flag_duplicates(rows, order=["doc_id"], key=["doc_id"])
 
 
@@ -508,10 +511,8 @@ def external_unvisited(spark, sf_dir):
 @query
 def batch_summary(spark, sf_dir):
     plain = linked_pages(pages(spark, sf_dir))
-    # One pass over the join that builds the linked pages; the scan reads them twice.
-    plain = Workspace(spark, "linked").write(plain, "pages")
     options = replace(OPTIONS, max_depth=2, max_urls=5000)
-    done = scan.scan(start_urls(pages(spark, sf_dir)), responses(plain), options)
+    done = scan.scan(start_urls(pages(spark, sf_dir)), responses(plain).drop("page_id"), options)
     return done.summary()
 
 
