@@ -6,51 +6,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot if it holds more than 1/HOT_SHARE of the rows, so there are
-# fewer than HOT_SHARE hot keys and their table may be broadcast.
+# fewer than HOT_SHARE hot keys however large the table is.
 HOT_SHARE = 1000
+HOT_ROWS = 100_000
 
 
-def hot_keys(rows: DataFrame, key: str, total: int, min_rows: int = 100_000) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str, min_rows: int = HOT_ROWS) -> dict[str, int]:
     """Hot keys with the number of slices each is cut into.
 
-    The count is pre-aggregated by the map side, so a hot key costs one
-    partial row per task.
+    ``rows`` should be a written table: it is counted, and, if it is larger
+    than ``min_rows``, counted by key.  That count is pre-aggregated, so a hot
+    key costs one partial row per task; at most `HOT_SHARE` keys are returned.
     """
+    total = rows.count()
     limit = max(min_rows, total // HOT_SHARE)
-    return (
-        rows.groupBy(key)
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > limit)
-        .select(key, F.ceil(F.col("n") / limit).cast("int").alias("slices"))
-    )
+    if total <= limit:
+        return {}
+    hot = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit).collect()
+    return {row[key]: -(-row["n"] // limit) for row in hot}
 
 
-def sliced_join(left: DataFrame, right: DataFrame, key: str, left_hot: DataFrame, right_hot: DataFrame,
-                left_by: Column, right_by: Column) -> DataFrame:
+def balanced_join(left: DataFrame, right: DataFrame, key: str, left_hot: dict[str, int], right_hot: dict[str, int],
+                  left_by: str, right_by: str) -> DataFrame:
     """Inner join on ``key`` in which hot keys of either side are cut up.
 
     Rows of a hot left key go to one of its slices by the hash of ``left_by``
     and the matching right rows are repeated for each slice, and the other way
     round, so each pair still meets exactly once.
     """
-    hot = left_hot.select(key, F.col("slices").alias("left_slices")).join(
-        right_hot.select(key, F.col("slices").alias("right_slices")), key, "full_outer"
+    keys = sorted({k for k in (*left_hot, *right_hot) if k is not None})
+    if not keys:
+        return left.join(right, key)
+    hot = left.sparkSession.createDataFrame(
+        [(k, left_hot.get(k, 1), right_hot.get(k, 1)) for k in keys],
+        f"`{key}` string, left_slices int, right_slices int",
     )
-    hot = F.broadcast(hot)
-    one = F.lit(1)
 
     def slices(name: str) -> Column:
-        return F.coalesce(F.col(name), one)
+        return F.coalesce(F.col(name), F.lit(1))
 
-    def spread(rows: DataFrame, own: str, other: str, by: Column) -> DataFrame:
-        marked = rows.withColumn("_by", by).join(hot, key, "left")
+    def spread(rows: DataFrame, own: str, other: str, by: str) -> DataFrame:
+        # The hot table has at most 2 * HOT_SHARE rows.
+        marked = rows.join(F.broadcast(hot), key, "left")
         return (
-            marked.withColumn(own, F.pmod(F.xxhash64("_by"), slices(f"{own}_slices")).cast("int"))
+            marked.withColumn(own, F.pmod(F.xxhash64(by), slices(f"{own}_slices")).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), slices(f"{other}_slices") - 1)))
-            .drop("_by", "left_slices", "right_slices")
+            .drop("left_slices", "right_slices")
         )
 
-    joined = spread(left, "left", "right", left_by).join(
-        spread(right, "right", "left", right_by), [key, "left", "right"]
-    )
+    joined = spread(left, "left", "right", left_by).join(spread(right, "right", "left", right_by), [key, "left", "right"])
     return joined.drop("left", "right")

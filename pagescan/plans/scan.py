@@ -17,7 +17,7 @@ from pagescan.functions.match import exploded
 from pagescan.operators.links import dispositions, link_sets, routed_links
 from pagescan.operators.report import batch_summary, danger_report_rows, report_rows
 from pagescan.operators.results import RESULT_COLUMNS, placeholder_rows, result_records
-from pagescan.operators.skew import hot_keys, sliced_join
+from pagescan.operators.skew import balanced_join, hot_keys
 from pagescan.options import SCOPE_EXTERNAL_ONCE, ScanOptions
 from pagescan.plans import walk
 from pagescan.sources.readers import RESPONSES, fetched
@@ -122,15 +122,12 @@ def scan(targets: DataFrame, responses: DataFrame, options: ScanOptions = ScanOp
 
     # External and dangerous URLs count for the targets whose walk read the page that holds them.
     read = kept.where(F.col("depth") < options.max_depth).select("target", "url").distinct()
+    read = space.write(read, "read")
     either = F.concat("inside", "outside")
-    side = routed.where(F.array_contains(either, "external") | F.array_contains(either, "danger")).withColumnRenamed(
-        "original_url", "url"
-    )
+    side = routed.where(F.array_contains(either, "external") | F.array_contains(either, "danger"))
+    side = side.withColumnRenamed("original_url", "url")
     goal = urls.target_domain(F.col("target"), options.public_suffixes)
-    met = sliced_join(
-        read, side, "url", hot_keys(read, "url", read.count()), hot_keys(side, "url", side.count()),
-        F.col("target"), F.col("link"),
-    )
+    met = balanced_join(read, side, "url", hot_keys(read, "url"), hot_keys(side, "url"), "target", "link")
     found = (
         exploded(met, ["target", "link"], dispositions(goal, options), "disposition")
         .where(F.col("disposition").isin("external", "danger"))
@@ -168,10 +165,7 @@ def _visited(wanted: DataFrame, records: DataFrame, options: ScanOptions) -> Dat
     columns = [*RESULT_COLUMNS, "signature"]
     spark = wanted.sparkSession
     slim = records.drop("target", "depth").withColumnRenamed("url", "_final").withColumnRenamed("original_url", "url")
-    no_hot = spark.createDataFrame([], "url string, slices int")
-    met = sliced_join(
-        wanted, slim, "url", hot_keys(wanted, "url", wanted.count()), no_hot, F.col("target"), F.lit(0)
-    )
+    met = balanced_join(wanted, slim, "url", hot_keys(wanted, "url"), {}, "target", "_final")
     met = met.withColumnRenamed("url", "original_url").withColumnRenamed("_final", "url").select(*columns)
     missing = wanted.join(slim.select("url").distinct(), "url", "left_anti")
     nothing = fetched(missing, spark.createDataFrame([], RESPONSES))

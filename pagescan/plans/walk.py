@@ -10,7 +10,7 @@ from pagescan.functions.match import contains_any
 from pagescan.operators.links import dispositions, link_sets, routed_links
 from pagescan.operators.ranking import numbered
 from pagescan.operators.results import placeholder_rows
-from pagescan.operators.skew import hot_keys, sliced_join
+from pagescan.operators.skew import HOT_ROWS, balanced_join, hot_keys
 from pagescan.options import SCOPE_ALL, ScanOptions
 from pagescan.storage import Workspace
 
@@ -67,7 +67,7 @@ def _inside(options: ScanOptions) -> Column:
 
 
 def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOptions(),
-              hot_rows: int = 100_000) -> DataFrame:
+              hot_rows: int = HOT_ROWS) -> DataFrame:
     """URLs each target's walk scans, with the depth of their first discovery.
 
     All targets advance together, one level per round, down to ``max_depth``
@@ -82,9 +82,8 @@ def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOpt
     spark = start.sparkSession
     space = Workspace(spark, "walk")
     edges = space.write(edges.select("src_url", "dst_url", "dst_domain", "always"), "edges")
-    edges_hot = space.write(
-        hot_keys(edges, "src_url", edges.count(), hot_rows).withColumnRenamed("src_url", "url"), "hot"
-    )
+    edges = edges.withColumnRenamed("src_url", "url")
+    edges_hot = hot_keys(edges, "url", hot_rows)
     owner = ["url"] if options.share_visited else ["target", "url"]
 
     def level(depth: int) -> str:
@@ -100,18 +99,13 @@ def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOpt
     first.write.mode("overwrite").parquet(level(0))
     for depth in range(1, options.max_depth + 1):
         frontier = spark.read.schema(_LEVEL).parquet(level(depth - 1))
-        size = frontier.count()
-        if size == 0:
+        if frontier.isEmpty():
             break
-        found = sliced_join(
-            frontier,
-            edges.withColumnRenamed("src_url", "url"),
-            "url",
-            hot_keys(frontier, "url", size, hot_rows),
-            edges_hot,
-            F.col("target"),
-            F.col("dst_url"),
-        ).where(_inside(options))
+        # With shared visits a URL is in one frontier once.
+        frontier_hot = {} if options.share_visited else hot_keys(frontier, "url", hot_rows)
+        found = balanced_join(frontier, edges, "url", frontier_hot, edges_hot, "target", "dst_url").where(
+            _inside(options)
+        )
         new = found.groupBy(*[F.col("dst_url").alias("url") if c == "url" else F.col(c) for c in owner]).agg(
             F.min(F.struct("target", "domain")).alias("by")
         )

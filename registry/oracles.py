@@ -210,13 +210,13 @@ def responses(source: str = "pages") -> str:
     FROM {source})"""
 
 
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-            ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+ENTITIES = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("nbsp", "\u00a0"), ("copy", "©"), ("middot", "·"), ("amp", "&")]
 
 
 def unescape(x: str) -> str:
-    for entity, char in ENTITIES:
-        x = f"replace({x}, {q(entity)}, {q(char)})"
+    """Named references count without their semicolon too, as in ``&amp</title>``."""
+    for name, char in ENTITIES:
+        x = rx_sub(x, rf"&{name}(?:;|\b)", char)
     return x
 
 

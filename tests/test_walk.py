@@ -1,10 +1,9 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from pagescan import catalog
-from pagescan.operators.skew import hot_keys, sliced_join
+from pagescan.operators.skew import balanced_join, hot_keys
 from pagescan.options import ScanOptions
 from pagescan.plans import scan, walk
 from pagescan.sources import readers
@@ -77,16 +76,17 @@ def test_budget(spark):
 
 def test_hot_keys(spark):
     rows = spark.createDataFrame([("x",)] * 10 + [("y",)] * 3 + [("z",)], "k string")
-    assert {(r.k, r.slices) for r in hot_keys(rows, "k", 14, 3).collect()} == {("x", 4)}
+    assert hot_keys(rows, "k", 3) == {"x": 4}
+    assert hot_keys(rows, "k") == {}
 
 
-def test_sliced_join_meets_each_pair_once(spark):
-    left = spark.createDataFrame([("x", i) for i in range(50)] + [("y", 1), ("l", 2)], "k string, a int")
+def test_balanced_join_meets_each_pair_once(spark):
+    left = spark.createDataFrame([("x", i) for i in range(50)] + [("y", 1), ("l", 2), (None, 3)], "k string, a int")
     right = spark.createDataFrame([("x", i) for i in range(40)] + [("y", 1), ("y", 2), ("r", 3)], "k string, b int")
-    hot = lambda rows, n: hot_keys(rows, "k", 0, n)
-    got = sliced_join(left, right, "k", hot(left, 7), hot(right, 9), F.col("a"), F.col("b")).collect()
     want = [("x", a, b) for a in range(50) for b in range(40)] + [("y", 1, 1), ("y", 1, 2)]
-    assert sorted((r.k, r.a, r.b) for r in got) == sorted(want)
+    for left_hot, right_hot in ((hot_keys(left, "k", 7), hot_keys(right, "k", 9)), ({}, hot_keys(right, "k", 9)), ({}, {})):
+        got = balanced_join(left, right, "k", left_hot, right_hot, "a", "b").collect()
+        assert sorted((r.k, r.a, r.b) for r in got) == sorted(want)
 
 
 def page(url, html, code=200):
