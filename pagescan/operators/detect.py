@@ -55,7 +55,9 @@ class Rule:
     def regex(self) -> str:
         flags = re.match(r"\(\?i\)", self.pattern)
         body = self.pattern[flags.end():] if flags else self.pattern
-        return java_regex(self.start + body, ignore_case=bool(flags))
+        if self.start:
+            body = f"{self.start}(?:{body})"
+        return java_regex(body, ignore_case=bool(flags))
 
 
 _NEEDLES = {
@@ -123,7 +125,12 @@ _MUST = {
     "secret_field": r"""[:=]\s*['"]""",
     "named_secret": _QUOTED_VALUE,
 }
+# Where a match can start.  A pattern that begins with a repeated class can only
+# start where a run of that class does, or right after the match before (\G).
 _STARTS = {
+    "github_url_token": r"(?:\G|(?<![a-zA-Z0-9_-]))",
+    "aws_s3": r"(?:\G|(?<![a-zA-Z0-9_-])|(?=s3\.))",
+    "aws_s3_url": r"(?:\G|(?<![a-zA-Z0-9._-])|(?=s3[:.-]))",
     "cn_id_card": r"(?=[1-9]\d{5})",
     "cn_mobile": r"(?=1)",
     "cn_credit_code": r"(?=[0-9A-Z]{18})",

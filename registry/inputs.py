@@ -110,7 +110,8 @@ def linked_pages(plain: DataFrame) -> DataFrame:
         .groupBy("page_id")
         .agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit('<a href="'), "link", F.lit('">n</a>')))), "").alias("links"))
     )
-    return plain.join(links, "page_id").select("page_id", "url", F.concat("html", "links").alias("html"))
+    # Merged, so that the text keeps its partitions and the scan that follows its parallelism.
+    return plain.join(links.hint("merge"), "page_id").select("page_id", "url", F.concat("html", "links").alias("html"))
 
 
 def responses(plain: DataFrame) -> DataFrame:

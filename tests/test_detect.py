@@ -94,6 +94,8 @@ def test_near_misses_and_other_scripts_agree_with_the_standard_library(spark):
         base.upper(), base.lower(), base.replace(" ", "é"), base.replace(" ", "中"), base.replace("\n", "\r"),
         base.replace(" ", " "), base.replace(" ", "_"), base.replace("0", "٠"), base.replace("'", '"'), base.replace("s", "ſ").replace("k", "K"),
         base[::-1], base.replace("=", ": "), "", " ", "é1.2.3.4é 1.2.3.4٣",
+        "a:b@github.comc:d@github.com:e@github.com -:x@github.com",
+        "xs3.amazonaws.com//s3.amazonaws.com/b a.s3.amazonaws.comb.s3.amazonaws.com.s3.amazonaws.com/c s3-x s3://y.s3.amazonaws.com as3-z s3.console.aws.amazon.com/s3/buckets/q",
     ]
     same_as_library(spark, texts)
 

@@ -274,3 +274,21 @@ def test_options_from_json():
 def test_targets(spark, tmp_path):
     (tmp_path / "t.txt").write_text("\t http://a \r\n\n  \nhttp://b\nhttp://a\n")
     assert sorted(r.url for r in readers.targets(spark, str(tmp_path)).collect()) == ["http://a", "http://a", "http://b"]
+
+
+def test_responses_from_files(spark, tmp_path):
+    """JSON files with text, and parquet files with bytes and a charset."""
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text('{"url": "http://a/", "status_code": 200, "content": "x", "headers": {"A": "b"}, "redirects": ["r"]}\n')
+    row = readers.responses(spark, str(tmp_path / "j"), "json").first()
+    assert (row.original_url, row.content, row.link_text, row.headers, row.redirects) == ("http://a/", "x", "x", {"A": "b"}, ["r"])
+    rows = spark.createDataFrame([("http://b/", "标".encode("gbk") + b"\xff", "gbk")], "url string, body binary, charset string")
+    rows.write.parquet(str(tmp_path / "p"))
+    row = readers.responses(spark, str(tmp_path / "p")).first()
+    assert row.content.startswith("标") and "标" not in row.link_text and row.status_code is None
+
+
+def test_only_other_charsets_reach_python(spark):
+    rows = spark.createDataFrame([(b"x", None)], "body binary, charset string")
+    plan = readers.decoded(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN NOT" in plan and plan.count("_decode_declared(") >= 1

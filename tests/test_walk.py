@@ -147,3 +147,33 @@ def test_externals(spark):
     assert got == {"http://a.example.org/": 200, "http://b.example.org/": None}
     left = walk.externals_unvisited(external, captured, "外部").collect()
     assert [(r.url, r.status, r.title, r.sensitive_raw) for r in left] == [("http://b.example.org/", "外部", "外部", [])]
+
+
+def test_scope_follows_the_target_after_a_redirect(spark):
+    """The start page moved to another domain: links there are external to the target."""
+    moved = list(page(u(1), "<a href='/own'><a href='https://n.example.org/full'><a href='http://h.example.com/back'>"))
+    moved[0] = "https://n.example.org/start"
+    responses = spark.createDataFrame([tuple(moved), page("http://h.example.com/back", "back")], readers.RESPONSES)
+    done = scan.scan(spark.createDataFrame([(u(1),)], "url string"), responses, ScanOptions(max_depth=2))
+    assert sorted((r.original_url, r.url, r.depth) for r in done.results.collect()) == [
+        (u(1), "https://n.example.org/start", 0), ("http://h.example.com/back", "http://h.example.com/back", 1)
+    ]
+    assert [r.url for r in done.external.collect()] == ["https://n.example.org/full"]
+
+
+def test_refused_pages_are_not_read(spark):
+    responses = spark.createDataFrame([page(u("bad"), "<a href='/x'> 1.2.3.4"), page(u(1), "<a href='/bad'>")], readers.RESPONSES)
+    options = ScanOptions(max_depth=3, scope_mode=3, whitelist_domains=["h.example.com/1", "h.example.com"], blacklist_domains=["/bad"])
+    done = scan.scan(spark.createDataFrame([(u(1),)], "url string"), responses, options)
+    rows = {r.url: (r.status, r.length, r.sensitive_raw) for r in done.results.collect()}
+    assert rows[u("bad")] == ("Error(Exception): 域名在黑名单中: " + u("bad"), 0, [])
+    assert set(rows) == {u(1), u("bad")}
+
+
+def test_bundler_chunks_are_followed(spark):
+    chunk = "http://h.example.com/static/js/chunk-a2d74a98.1ea71fd1.js"
+    responses = spark.createDataFrame(
+        [page(u(1), '{"chunk-a2d74a98":"1ea71fd1"}'), page(chunk, "fetch('/from-chunk')")], readers.RESPONSES
+    )
+    done = scan.scan(spark.createDataFrame([(u(1),)], "url string"), responses, ScanOptions(max_depth=2))
+    assert {(r.url, r.depth) for r in done.results.collect()} == {(u(1), 0), (chunk, 1), (u("from-chunk"), 2)}
