@@ -381,11 +381,6 @@ def danger_links(links: DataFrame) -> DataFrame:
     return links.where(F.col("disposition") == "danger").select(F.col("link").alias("url")).distinct()
 
 
-def without_visited(links: DataFrame, visited: DataFrame, link: str = "link") -> DataFrame:
-    """Links whose URL is not among the visited ones."""
-    return links.join(visited.select(F.col("url").alias(link)).distinct(), link, "left_anti")
-
-
 def pattern_counts(pages: DataFrame, text: str = "html") -> DataFrame:
     """Number of matches of every path, tag and chunk pattern over all pages.
 

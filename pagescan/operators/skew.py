@@ -56,3 +56,14 @@ def balanced_join(left: DataFrame, right: DataFrame, key: str, left_hot: dict[st
 
     joined = spread(left, "left", "right", left_by).join(spread(right, "right", "left", right_by), [key, "left", "right"])
     return joined.drop("left", "right")
+
+
+def absent(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are not among the known ones (null keys never are).
+
+    For aggregated ``rows``: an anti join would be pushed below the aggregate,
+    and all copies of a hot key would be shuffled before they are combined.
+    An outer join with a test stays above it.
+    """
+    marked = known.select(*keys).distinct().withColumn("_known", F.lit(True))
+    return rows.join(marked, keys, "left").where(F.col("_known").isNull()).select(*rows.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagescan.operators.skew import absent
+
 DISPOSITIONS = ["keep", "external", "danger", "out_of_scope", "extension", "invalid"]
 
 
@@ -38,12 +40,8 @@ def link_stats(links: DataFrame, visited: DataFrame, page: str = "page_id", link
     ``links`` is read three times: pass a written table, not a fresh extraction.
     """
     kept = links.where(F.col("disposition") == "keep").select(page, link)
-    first = (
-        kept.groupBy(link)
-        .agg(F.min(page).alias(page))
-        .join(visited.select(F.col("url").alias(link)).distinct(), link, "left_anti")
-        .select(page, link, F.lit(1).alias("added"))
-    )
+    first = kept.groupBy(link).agg(F.min(page).alias(page))
+    first = absent(first, visited.select(F.col("url").alias(link)), [link]).withColumn("added", F.lit(1))
     added = (
         kept.join(first, [page, link], "left")
         .groupBy(page)

@@ -17,7 +17,7 @@ from pagescan.functions.match import exploded
 from pagescan.operators.links import dispositions, link_sets, routed_links
 from pagescan.operators.report import batch_summary, danger_report_rows, report_rows
 from pagescan.operators.results import RESULT_COLUMNS, placeholder_rows, result_records
-from pagescan.operators.skew import balanced_join, hot_keys
+from pagescan.operators.skew import absent, balanced_join, hot_keys
 from pagescan.options import SCOPE_EXTERNAL_ONCE, ScanOptions
 from pagescan.plans import walk
 from pagescan.sources.readers import RESPONSES, fetched
@@ -137,7 +137,7 @@ def scan(targets: DataFrame, responses: DataFrame, options: ScanOptions = ScanOp
     found = space.write(found, "found")
     danger = found.where(F.col("disposition") == "danger").select("target", "url")
     outside = found.where(F.col("disposition") == "external").groupBy("url").agg(F.min("target").alias("target"))
-    outside = outside.join(walked.where("depth > 0").select("url").distinct(), "url", "left_anti")
+    outside = absent(outside, walked.where("depth > 0"), ["url"])
     if options.scope_mode == SCOPE_EXTERNAL_ONCE:
         visits = space.write(outside.select("target", "url", F.lit(0).alias("depth")), "visits")
         outer = space.write(_visited(visits, records, options), "external")
@@ -163,11 +163,12 @@ def _visited(wanted: DataFrame, records: DataFrame, options: ScanOptions) -> Dat
     slices.
     """
     columns = [*RESULT_COLUMNS, "signature"]
-    spark = wanted.sparkSession
     slim = records.drop("target", "depth").withColumnRenamed("url", "_final").withColumnRenamed("original_url", "url")
-    met = balanced_join(wanted, slim, "url", hot_keys(wanted, "url"), {}, "target", "_final")
+    hot = hot_keys(wanted, "url")
+    met = balanced_join(wanted, slim, "url", hot, {}, "target", "_final")
     met = met.withColumnRenamed("url", "original_url").withColumnRenamed("_final", "url").select(*columns)
-    missing = wanted.join(slim.select("url").distinct(), "url", "left_anti")
-    nothing = fetched(missing, spark.createDataFrame([], RESPONSES))
+    unseen = absent(wanted.select("url").distinct(), slim, ["url"])
+    missing = balanced_join(wanted, unseen, "url", hot, {}, "target", "url")
+    nothing = fetched(missing, wanted.sparkSession.createDataFrame([], RESPONSES))
     unknown = signed_results(gated(nothing, options), options, rules=[]).select(*columns)
     return met.unionByName(unknown)

@@ -10,7 +10,7 @@ from pagescan.functions.match import contains_any
 from pagescan.operators.links import dispositions, link_sets, routed_links
 from pagescan.operators.ranking import numbered
 from pagescan.operators.results import placeholder_rows
-from pagescan.operators.skew import HOT_ROWS, balanced_join, hot_keys
+from pagescan.operators.skew import HOT_ROWS, absent, balanced_join, hot_keys
 from pagescan.options import SCOPE_ALL, ScanOptions
 from pagescan.storage import Workspace
 
@@ -110,7 +110,7 @@ def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOpt
             F.min(F.struct("target", "domain")).alias("by")
         )
         if depth > 1:
-            new = new.join(levels().where(F.col("depth") > 0).select(*owner), owner, "left_anti")
+            new = absent(new, levels().where(F.col("depth") > 0), owner)
         new.select("by.target", "by.domain", "url").write.mode("overwrite").parquet(level(depth))
     return levels().select("target", "url", "depth")
 
@@ -131,5 +131,4 @@ def externals_once(external: DataFrame, responses: DataFrame, depth: int = 0) ->
 
 def externals_unvisited(external: DataFrame, visited: DataFrame, label: str) -> DataFrame:
     """Placeholder rows for external URLs that no walk visited."""
-    left = external.select("url").distinct().join(visited.select("url").distinct(), "url", "left_anti")
-    return placeholder_rows(left, label)
+    return placeholder_rows(absent(external.select("url").distinct(), visited, ["url"]), label)

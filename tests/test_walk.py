@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagescan import catalog
-from pagescan.operators.skew import balanced_join, hot_keys
+from pagescan.operators.skew import absent, balanced_join, hot_keys
 from pagescan.options import ScanOptions
 from pagescan.plans import scan, walk
 from pagescan.sources import readers
@@ -89,6 +90,16 @@ def test_balanced_join_meets_each_pair_once(spark):
         assert sorted((r.k, r.a, r.b) for r in got) == sorted(want)
 
 
+def test_absent_rows_are_combined_first(spark):
+    """The known keys are tested after the aggregate, on one row per key."""
+    rows = spark.range(1000).select((F.col("id") % 3).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    known = spark.createDataFrame([(1,), (1,), (7,)], "k long")
+    got = absent(rows, known, ["k"])
+    assert sorted((r.k, r.n) for r in got.collect()) == [(0, 334), (2, 333)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.index("Join LeftOuter") < plan.index("Aggregate [")
+
+
 def page(url, html, code=200):
     return (url, url, code, None, None, html, {}, [], 0.0, None, None)
 
