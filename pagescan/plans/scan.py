@@ -117,7 +117,7 @@ def scan(targets: DataFrame, responses: DataFrame, options: ScanOptions = ScanOp
     walked = walk.reachable(start, walk.edges_of(routed, options, "original_url"), options)
     kept = walk.within_budget(walked, options.max_urls).where("within_budget").select("target", "url", "depth")
     kept = space.write(kept, "kept")
-    signed = space.write(_visited(kept, records, options), "results")
+    signed = space.write(visited_results(kept, records, options), "results")
     results = flag_duplicates(signed, dedup_errors=options.dedup_errors)
 
     # External and dangerous URLs count for the targets whose walk read the page that holds them.
@@ -140,7 +140,7 @@ def scan(targets: DataFrame, responses: DataFrame, options: ScanOptions = ScanOp
     outside = absent(outside, walked.where("depth > 0"), ["url"])
     if options.scope_mode == SCOPE_EXTERNAL_ONCE:
         visits = space.write(outside.select("target", "url", F.lit(0).alias("depth")), "visits")
-        outer = space.write(_visited(visits, records, options), "external")
+        outer = space.write(visited_results(visits, records, options), "external")
         external = flag_duplicates(outer, dedup_errors=options.dedup_errors)
     else:
         external = placeholder_rows(outside, catalog.EXTERNAL).withColumns(
@@ -156,11 +156,22 @@ def _untargeted(responses: DataFrame) -> DataFrame:
     return responses.withColumns({"target": none.cast("string"), "depth": none.cast("int")})
 
 
-def _visited(wanted: DataFrame, records: DataFrame, options: ScanOptions) -> DataFrame:
+def externals_once(external: DataFrame, responses: DataFrame, options: ScanOptions = ScanOptions(),
+                   rules: Iterable[Rule] | None = None) -> DataFrame:
+    """Each distinct external URL scanned once and not followed further."""
+    space = Workspace(external.sparkSession, "external")
+    records = space.write(signed_results(gated(_untargeted(responses), options), options, rules), "records")
+    urls_once = external.select("url").distinct()
+    visits = urls_once.select(F.lit(None).cast("string").alias("target"), "url", F.lit(0).alias("depth"))
+    return visited_results(space.write(visits, "visits"), records, options)
+
+
+def visited_results(wanted: DataFrame, records: DataFrame, options: ScanOptions) -> DataFrame:
     """Result rows of the wanted (target, url, depth): the page's record, or that none was captured.
 
-    A URL that several targets reach was analysed once; hot URLs are cut into
-    slices.
+    Page text was analysed before, so only slim rows are joined, and a URL
+    that several targets reach was analysed once.  Hot URLs are cut into
+    slices.  Both inputs should be written tables.
     """
     columns = [*RESULT_COLUMNS, "signature"]
     slim = records.drop("target", "depth").withColumnRenamed("url", "_final").withColumnRenamed("original_url", "url")

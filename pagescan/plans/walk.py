@@ -121,14 +121,6 @@ def within_budget(rows: DataFrame, max_urls: int, by: list[str] = ["target"],
     return numbered(rows, order, by, "request").withColumn("within_budget", F.col("request") <= max_urls)
 
 
-def externals_once(external: DataFrame, responses: DataFrame, depth: int = 0) -> DataFrame:
-    """Each distinct external URL with its captured response, not followed further."""
-    from pagescan.sources.readers import fetched
-
-    wanted = external.select("url").distinct().withColumn("depth", F.lit(depth))
-    return fetched(wanted, responses)
-
-
 def externals_unvisited(external: DataFrame, visited: DataFrame, label: str) -> DataFrame:
     """Placeholder rows for external URLs that no walk visited."""
     return placeholder_rows(absent(external.select("url").distinct(), visited, ["url"]), label)

@@ -114,7 +114,8 @@ def fetched(frontier: DataFrame, responses: DataFrame) -> DataFrame:
     """One row per requested URL with its captured response; columns are null where none was captured.
 
     This takes the place of fetching.  ``responses`` hold one row per
-    requested URL (``original_url``).
+    requested URL (``original_url``).  The join shuffles what it is given:
+    analyse page text first and pass slim rows.
     """
     captured = responses.drop(*[c for c in ("target", "depth") if c in frontier.columns])
     wanted = frontier.withColumnRenamed("url", "_requested")

@@ -91,10 +91,10 @@ def targets(spark, sf_dir):
 
 @query
 def responses_joined(spark, sf_dir):
-    captured = responses(pages(spark, sf_dir))
+    captured = responses(pages(spark, sf_dir)).withColumn("length", F.length("content")).drop("content")
     frontier = captured.select(F.explode(F.array("url", F.concat("url", F.lit("/missing")))).alias("url"))
     got = readers.fetched(frontier, captured)
-    return got.select("original_url", "url", "status_code", "error_type", F.length("content").alias("length"))
+    return got.select("original_url", "url", "status_code", "error_type", "length")
 
 
 QUERIES["responses"] = QUERIES.pop("responses_joined")
@@ -494,8 +494,7 @@ def budget(spark, sf_dir):
 def external_once(spark, sf_dir):
     plain = pages(spark, sf_dir)
     found = links.external_links(links.page_links(linked_pages(plain), replace(OPTIONS, scope_mode=1)))
-    captured = responses(plain).withColumn("target", F.lit(None).cast("string"))
-    rows = results.result_records(walk.externals_once(found, captured))
+    rows = scan.externals_once(found, responses(plain).drop("page_id"), OPTIONS, rules=[])
     return rows.select("original_url", "status", "title", "length", "depth")
 
 

@@ -154,8 +154,8 @@ def test_scan_budget(spark):
 def test_externals(spark):
     external = spark.createDataFrame([("http://a.example.org/",), ("http://b.example.org/",)], "url string")
     captured = spark.createDataFrame([page("http://a.example.org/", "x")], readers.RESPONSES)
-    got = {r.original_url: r.status_code for r in walk.externals_once(external, captured).collect()}
-    assert got == {"http://a.example.org/": 200, "http://b.example.org/": None}
+    got = {r.original_url: (r.status, r.length) for r in scan.externals_once(external, captured).collect()}
+    assert got == {"http://a.example.org/": ("200", 1), "http://b.example.org/": (catalog.NO_RESPONSE, 0)}
     left = walk.externals_unvisited(external, captured, "外部").collect()
     assert [(r.url, r.status, r.title, r.sensitive_raw) for r in left] == [("http://b.example.org/", "外部", "外部", [])]
 
