@@ -117,9 +117,9 @@ _MUST = {
     "cn_mobile": _LONG_NUMBER,
     "cn_company_reg": _LONG_NUMBER,
     "cn_credit_code": r"[0-9A-Z]{18}",
-    "ipv4": r"[0-9]\.[0-9]{1,3}\.",
-    "mac": r"[a-fA-F0-9]{2}[:-][a-fA-F0-9]{2}[:-]",
-    "twitter_oauth": r"[0-9a-zA-Z]{35}",
+    "ipv4": r"\.[0-9]{1,3}\.[0-9]{1,3}\.",
+    "mac": r"[:-][a-fA-F0-9]{2}[:-][a-fA-F0-9]{2}[:-]",
+    "twitter_oauth": r"[w|W][i|I][t|T][t|T][e|E][r|R]",
     "api_key_field": r"""[:=]\s*['"]""",
     "password_field": r"""[:=]\s*['"]""",
     "secret_field": r"""[:=]\s*['"]""",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pagescan import catalog
 from pagescan.functions import urls
 from pagescan.functions.match import (
+    NO_MATCHES,
     all_matches,
     all_matches_sql,
     captured_sql,
@@ -34,6 +35,8 @@ from pagescan.options import ScanOptions
 _NEEDLES = {
     "quoted_escaped": ("\\/",),
     "backquoted_absolute": ("`/",),
+    "quoted_dotted": ("./",),
+    "any_quote_dotted": ("./",),
     "backquoted_dotted": ("`.",),
     "link_attribute": ("href", "src", "action"),
     "assets_file": ("assets/",),
@@ -64,6 +67,20 @@ _NEEDLES = {
     "import_call": ("import",),
 }
 
+# Shared tests, made once per page: a quoted call argument, and a quoted name before a quoted value.
+_FEATURES = {"called": r"""\(\s*['"`]""", "paired": r"""['"`]\s*:\s*['"`]"""}
+_NEEDED = {
+    **dict.fromkeys(
+        (
+            "verb_call", "window_open", "fetch_call", "axios_call", "router_push", "jquery_call", "router_add",
+            "require_call", "import_call",
+        ),
+        "called",
+    ),
+    "json_url": "paired",
+    "json_src_href": "paired",
+}
+
 _PAIRS = [f"{tag} {attribute}" for tag, attribute in catalog.TAG_ATTRIBUTES]
 _TAGS = sorted({tag for tag, _ in catalog.TAG_ATTRIBUTES})
 _ATTRIBUTES = sorted({attribute for _, attribute in catalog.TAG_ATTRIBUTES})
@@ -88,14 +105,21 @@ def tag_patterns() -> list[tuple[str, str, str]]:
     return patterns
 
 
+def _path_matches(name: str, low: str, matches: str) -> str:
+    """SQL for the matches of a path pattern, behind its cheaper tests."""
+    guarded = guarded_sql(low, _NEEDLES.get(name, ()), matches)
+    feature = _NEEDED.get(name)
+    return guarded if feature is None else f"CASE WHEN {feature} THEN {guarded} ELSE {NO_MATCHES} END"
+
+
 def path_strings(html: str, low: str) -> Column:
-    """Raw strings found by the path patterns.
+    """Raw strings found by the path patterns, in pages prepared by `with_features`.
 
     A pattern without a group captures its opening quote, which cleaning
     rejects, so those patterns are counted (`pattern_counts`) but not run here.
     """
     found = [
-        guarded_sql(low, _NEEDLES.get(name, ()), captured_sql(html, pattern))
+        _path_matches(name, low, captured_sql(html, pattern))
         for name, pattern in catalog.PATH_PATTERNS
         if group_count(pattern) > 0
     ]
@@ -189,9 +213,10 @@ def webpack_urls(html: str, low: str, base: urls.Base) -> Column:
     return F.array_distinct(F.filter(found, lambda u: F.contains(u, F.lit("chunk"))))
 
 
-def with_folded(pages: DataFrame, text: str = "html") -> DataFrame:
-    """Pages plus ``low``, the folded text that the pattern guards look at."""
-    return pages.withColumn("low", folded(F.col(text)))
+def with_features(pages: DataFrame, text: str = "html") -> DataFrame:
+    """Pages plus what the pattern guards look at: ``low``, the folded text, and the shared tests."""
+    tests = {name: F.col(text).rlike(java_regex(regex)) for name, regex in _FEATURES.items()}
+    return pages.withColumns({"low": folded(F.col(text)), **tests})
 
 
 def _labelled(values: Column, name: str, label_name: str, label: str) -> Column:
@@ -209,7 +234,7 @@ def raw_links(pages: DataFrame, sources: Iterable[str] = ("path", "tag", "dom"),
     Other columns of ``pages`` are kept, the text is not.
     """
     keys = _keys(pages, text)
-    wide = with_folded(pages, text).select(
+    wide = with_features(pages, text).select(
         *keys, *[_SOURCES[s](f"`{text}`", "low").alias(f"raw_{s}") for s in sources]
     )
     tagged = [_labelled(F.array_distinct(F.col(f"raw_{s}")), "raw", "source", s) for s in sources]
@@ -272,7 +297,7 @@ def link_sets(pages: DataFrame, options: ScanOptions = ScanOptions(), url: str =
     """
     keys = _keys(pages, text)
     html, low, page = f"`{text}`", "low", F.col(url)
-    strings = with_folded(pages, text).select(
+    strings = with_features(pages, text).select(
         *keys,
         urls.Base.struct(page).alias("_base"),
         F.array_distinct(F.concat(*[find(html, low) for find in _SOURCES.values()])).alias("_raw"),
@@ -387,16 +412,18 @@ def pattern_counts(pages: DataFrame, text: str = "html") -> DataFrame:
     Counted per page in one narrow stage, then summed: the shuffle carries one
     partial row per pattern and task.
     """
-    patterns = [(name, _NEEDLES.get(name, ()), p) for name, p in catalog.PATH_PATTERNS]
-    patterns += [(name, (needle,), p) for name, needle, p in tag_patterns()]
-    patterns.append(("webpack_chunk", ("chunk-",), catalog.WEBPACK_PATTERN))
-    counts = []
-    for name, needles, pattern in patterns:
-        matches = guarded_sql("low", needles, all_matches_sql(f"`{text}`", java_regex(pattern, ignore_case=True)))
-        counts.append(f"named_struct('pattern', '{name}', 'matches', cast(size({matches}) AS bigint))")
+    def found(pattern: str) -> str:
+        return all_matches_sql(f"`{text}`", java_regex(pattern, ignore_case=True))
+
+    matches = {name: _path_matches(name, "low", found(p)) for name, p in catalog.PATH_PATTERNS}
+    matches.update({name: guarded_sql("low", (needle,), found(p)) for name, needle, p in tag_patterns()})
+    matches["webpack_chunk"] = guarded_sql("low", ("chunk-",), found(catalog.WEBPACK_PATTERN))
+    counts = [
+        f"named_struct('pattern', '{name}', 'matches', cast(size({sql}) AS bigint))" for name, sql in matches.items()
+    ]
     counts = F.expr(f"array({', '.join(counts)})")
     return (
-        exploded(with_folded(pages.select(text), text), [], counts, "c")
+        exploded(with_features(pages.select(text), text), [], counts, "c")
         .groupBy(F.col("c.pattern").alias("pattern"))
         .agg(F.sum("c.matches").alias("matches"))
     )

@@ -270,7 +270,7 @@ def dom_links(spark, sf_dir):
 
 @query
 def webpack_links(spark, sf_dir):
-    rows = links.with_folded(rich_pages(pages(spark, sf_dir)))
+    rows = links.with_features(rich_pages(pages(spark, sf_dir)))
     found = links.webpack_urls("html", "low", urls.Base.of(F.col("url")))
     return exploded(rows, ["page_id"], found, "link")
 
