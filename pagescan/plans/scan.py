@@ -15,7 +15,7 @@ from pagescan.operators.detect import Rule
 from pagescan.functions import urls
 from pagescan.functions.match import exploded
 from pagescan.operators.links import dispositions, link_sets, routed_links
-from pagescan.operators.report import batch_summary, danger_report_rows, report_rows
+from pagescan.operators.report import batch_summary, danger_report_rows, report_partition, report_rows
 from pagescan.operators.results import RESULT_COLUMNS, placeholder_rows, result_records
 from pagescan.operators.skew import absent, balanced_join, hot_keys
 from pagescan.options import SCOPE_EXTERNAL_ONCE, ScanOptions
@@ -34,13 +34,16 @@ class Scan:
     options: ScanOptions
 
     def report(self) -> DataFrame:
-        """Results, unvisited externals, danger rows: one target's report after the other."""
-        parts = [
+        """Results, unvisited externals and danger rows (``section`` 1 to 3), with the folder
+        that each target's report goes to."""
+        sections = [
             report_rows(self.results, "target"),
             report_rows(self.external, "target"),
             danger_report_rows(self.danger, self.options, "target"),
         ]
-        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        parts = [part.withColumn("section", F.lit(number)) for number, part in enumerate(sections, 1)]
+        union = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        return union.withColumn("folder", report_partition(F.col("target")))
 
     def summary(self) -> DataFrame:
         return batch_summary(self.results, self.external, self.danger, self.options)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagescan import catalog
 from pagescan.functions import urls
 from pagescan.functions.match import contains_any
 from pagescan.operators.links import dispositions, link_sets, routed_links
@@ -117,8 +118,12 @@ def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOpt
 
 def within_budget(rows: DataFrame, max_urls: int, by: list[str] = ["target"],
                   order: list[str] = ["depth", "url"]) -> DataFrame:
-    """Rows with their request number; ``within_budget`` is false past ``max_urls`` per target."""
-    return numbered(rows, order, by, "request").withColumn("within_budget", F.col("request") <= max_urls)
+    """Rows with their request number; past ``max_urls`` per target ``within_budget``
+    is false and ``refused`` says why."""
+    within = F.col("request") <= max_urls
+    return numbered(rows, order, by, "request").withColumns(
+        {"within_budget": within, "refused": F.when(~within, catalog.OVER_BUDGET)}
+    )
 
 
 def externals_unvisited(external: DataFrame, visited: DataFrame, label: str) -> DataFrame:

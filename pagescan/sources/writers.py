@@ -10,14 +10,20 @@ from pagescan import catalog
 _CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "encoding": "UTF-8"}
 
 
-def _titled(report: DataFrame) -> DataFrame:
-    names = dict(zip(catalog.REPORT_COLUMNS, catalog.REPORT_HEADER))
-    return report.select(*[F.col(c).alias(names.get(c, c)) for c in report.columns])
+def _titled(report: DataFrame, *extra: str) -> DataFrame:
+    titles = zip(catalog.REPORT_COLUMNS, catalog.REPORT_HEADER)
+    return report.select(*[F.col(name).alias(title) for name, title in titles], *extra)
 
 
-def write_report(report: DataFrame, path: str, partition: str | None = None) -> None:
-    """Overwrite a report: CSV with a header, one folder per ``partition`` value if named."""
-    writer = _titled(report).write.mode("overwrite").options(**_CSV)
+def write_report(report: DataFrame, path: str, partition: str | None = None, order: list[str] = []) -> None:
+    """Overwrite a report: CSV with a header, the eleven report columns.
+
+    ``partition`` names a column that gives one folder per value, ``order``
+    the columns that rows are sorted by (a range-partitioned sort).
+    """
+    rows = report.orderBy(*order) if order else report
+    extra = [partition] if partition else []
+    writer = _titled(rows, *extra).write.mode("overwrite").options(**_CSV)
     (writer.partitionBy(partition) if partition else writer).csv(path)
 
 
@@ -30,6 +36,5 @@ def write_summary(summary: DataFrame, path: str) -> bool:
     """Write a batch summary in section order; an empty one is not written."""
     if summary.isEmpty():
         return False
-    ordered = summary.orderBy("section", "url").drop("section", "target")
-    write_report(ordered, path)
+    write_report(summary, path, order=["section", "url"])
     return True

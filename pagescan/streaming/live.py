@@ -28,6 +28,25 @@ def page_stream(spark: SparkSession, folder: str, schema: StructType | str, file
     return stream if spread_by is None else stream.repartition(spark.sparkContext.defaultParallelism, spread_by)
 
 
+def combined(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """First row of each key in every Arrow batch.
+
+    A streaming duplicate drop shuffles all rows by key; a key that most rows
+    share would pile up in one task.  This thins it out before the shuffle.
+    """
+
+    def first_rows(batches):
+        for batch in batches:
+            seen, kept = set(), []
+            for place, key in enumerate(zip(*[batch.column(k).to_pylist() for k in keys])):
+                if key not in seen:
+                    seen.add(key)
+                    kept.append(place)
+            yield batch.take(kept)
+
+    return rows.mapInArrow(first_rows, rows.schema)
+
+
 def live_results(responses: DataFrame, rules: Iterable[Rule] | None = None, hashed: str | None = None,
                  event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Results with the first row of each signature per target only.
@@ -35,10 +54,11 @@ def live_results(responses: DataFrame, rules: Iterable[Rule] | None = None, hash
     The state keeps every signature; name an event-time column to keep
     signatures only for ``delay``.
     """
-    results = with_signature(result_records(responses, rules), hashed)
+    keys = ["target", "signature"]
+    results = combined(with_signature(result_records(responses, rules), hashed), keys)
     if event_time is None:
-        return results.dropDuplicates(["target", "signature"])
-    return results.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["target", "signature"])
+        return results.dropDuplicates(keys)
+    return results.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def live_findings(pages: DataFrame, text: str = "html", rules: Iterable[Rule] | None = None) -> DataFrame:
@@ -49,7 +69,7 @@ def live_findings(pages: DataFrame, text: str = "html", rules: Iterable[Rule] |
 def new_links(pages: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """Kept links that no earlier page of the stream held."""
     kept = page_links(pages, options).where(F.col("disposition") == "keep")
-    return kept.select(F.col("link").alias("url")).dropDuplicates(["url"])
+    return combined(kept.select(F.col("link").alias("url")), ["url"]).dropDuplicates(["url"])
 
 
 def run_to(stream: DataFrame, space: Workspace, table: str) -> DataFrame:

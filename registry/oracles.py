@@ -437,6 +437,11 @@ ORACLES["status_class"] = select(
 )
 ORACLES["title"] = select([responses(), RECORDS], "SELECT page_id, title FROM records")
 
+_ASCII = rx_sub("html", r"[^\x00-\x7f]", "?")
+ORACLES["decode_declared"] = f"""SELECT page_id,
+    md5(CASE page_id % 4 WHEN 1 THEN html || '\ufffd(' WHEN 3 THEN {_ASCII} ELSE html END) AS content,
+    CASE page_id % 4 WHEN 0 THEN md5(html) WHEN 1 THEN md5(html || '(') WHEN 3 THEN md5({_ASCII}) END AS link_text FROM pages"""
+
 # URLs
 
 ORACLES["url_valid"] = select(
@@ -678,7 +683,10 @@ ORACLES["reachable_domain"] = select(
 ORACLES["budget"] = select(
     [responses()],
     """SELECT target, depth, url, row_number() OVER (PARTITION BY target ORDER BY depth, url) AS request,
-    row_number() OVER (PARTITION BY target ORDER BY depth, url) <= 100 AS within_budget FROM responses""",
+    row_number() OVER (PARTITION BY target ORDER BY depth, url) <= 100 AS within_budget,
+    CASE WHEN row_number() OVER (PARTITION BY target ORDER BY depth, url) > 100 THEN '"""
+    + catalog.OVER_BUDGET
+    + """' END AS refused FROM responses""",
 )
 ORACLES["external_once"] = select(
     [responses(), RECORDS, LINKED, links("linked"), EXTERNAL_URLS],

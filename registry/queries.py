@@ -167,6 +167,27 @@ def decode_body(spark, sf_dir):
     )
 
 
+@query
+def decode_declared(spark, sf_dir):
+    """Pages as bytes in a declared charset, decoded for detection and for links."""
+    html, slot = F.col("html"), F.col("page_id") % 4
+    names = F.array(F.lit("UTF-8"), F.lit(None), F.lit("utf-16"), F.lit("iso-8859-15"))
+    rows = pages(spark, sf_dir).select(
+        "page_id",
+        F.when(slot == 1, F.concat(F.encode(html, "UTF-8"), F.unhex(F.lit("C328"))))
+        .when(slot == 2, F.encode(html, "UTF-16"))
+        .when(slot == 3, F.encode(F.regexp_replace(html, r"[^\x00-\x7f]", "?"), "US-ASCII"))
+        .otherwise(F.encode(html, "UTF-8"))
+        .alias("body"),
+        F.element_at(names, (slot + 1).cast("int")).alias("charset"),
+    )
+    return readers.decoded(rows).select(
+        "page_id",
+        F.md5("content").alias("content"),
+        F.when(slot != 2, F.md5("link_text")).alias("link_text"),
+    )
+
+
 # URLs
 
 

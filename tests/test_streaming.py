@@ -68,3 +68,14 @@ def test_live_csv(spark, tmp_path):
     live.write_live_csv(rows, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
     read = spark.read.options(header=True, escape='"', multiLine=True).csv(str(tmp_path / "out"))
     assert read.count() == 50 and read.columns[0] == "url"
+
+
+def test_hot_keys_are_thinned_before_the_shuffle(spark):
+    rows = spark.range(0, 20_000, 1, 2).select(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("target"), F.lit(None).cast("string").alias("signature"),
+        F.array(F.struct("id")).alias("more"),
+    )
+    got = live.combined(rows, ["target", "signature"])
+    assert got.where("target = 'hot'").count() <= 4
+    assert got.select("target", "signature").distinct().count() == 10_001
+    assert got.schema == rows.schema

@@ -7,7 +7,7 @@ from pagescan import catalog
 from pagescan.operators.skew import absent, balanced_join, hot_keys
 from pagescan.options import ScanOptions
 from pagescan.plans import scan, walk
-from pagescan.sources import readers
+from pagescan.sources import readers, writers
 
 
 def u(i, host="h.example.com"):
@@ -73,6 +73,7 @@ def test_budget(spark):
     kept = sorted((r.target, r.depth, r.url) for r in got.where("within_budget").collect())
     assert kept == sorted([("a", 0, u(i)) for i in range(5)] + [("a", 1, u(0)), ("a", 1, u(1)), ("b", 0, u(9))])
     assert got.count() == 16
+    assert {r.refused for r in got.where("not within_budget").collect()} == {catalog.OVER_BUDGET}
 
 
 def test_hot_keys(spark):
@@ -104,7 +105,7 @@ def page(url, html, code=200):
     return (url, url, code, None, None, html, {}, [], 0.0, None, None)
 
 
-def test_scan_end_to_end(spark):
+def test_scan_end_to_end(spark, tmp_path):
     pages = [
         page(u(1), "<a href='/2'><a href='/del'><a href='https://o.example.org/x'><a href='/gone'> 1.2.3.4"),
         page(u(2), "<a href='/3'><a href='https://o.example.org/y'>"),
@@ -127,6 +128,11 @@ def test_scan_end_to_end(spark):
     summary = done.summary()
     assert {r.section: r["count"] for r in summary.groupBy("section").count().collect()} == {1: 5, 2: 2, 3: 1}
     assert done.report().count() == 8
+    writers.write_report(done.report(), str(tmp_path / "report"), partition="folder", order=["section", "url"])
+    written = spark.read.options(header=True, escape='"', multiLine=True).csv(str(tmp_path / "report"))
+    assert written.columns == [*catalog.REPORT_HEADER, "folder"] and written.count() == 8
+    assert writers.write_summary(summary, str(tmp_path / "summary")) is True
+    assert spark.read.options(header=True, escape='"').csv(str(tmp_path / "summary")).columns == catalog.REPORT_HEADER
     once = scan.scan(targets, responses, ScanOptions(max_depth=2, scope_mode=1, danger_keywords=["del"]))
     assert sorted((r.url, r.status) for r in once.external.collect()) == [
         ("https://o.example.org/x", "200"), ("https://o.example.org/y", none)
