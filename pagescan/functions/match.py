@@ -1,8 +1,9 @@
 """Regular expressions in Spark with the meaning the patterns were written for.
 
 The fixed patterns assume that ``\\w \\d \\s \\b`` follow Unicode, that ``.``
-stops only at a line feed and that ignoring case follows Unicode.  Java needs
-flags for each of these.
+stops only at a line feed and that ignoring case follows Unicode.  Java has
+other classes (combining marks count as word characters, superscript digits do
+not) and changes some between versions, so the classes are spelled out.
 """
 
 from __future__ import annotations
@@ -14,8 +15,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_CLASSES = {"\\w": r"\p{L}\p{N}_", "\\d": r"\p{Nd}", "\\s": r"\t-\r\x1c-\x1f\x85\p{Z}"}
+_WORD = f"[{_CLASSES[chr(92) + 'w']}]"
+_BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+
+
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
-    return ("(?idU)" if ignore_case else "(?dU)") + pattern
+    """The pattern with its classes spelled out for Java."""
+    tokens = re.findall(r"\\.|.", pattern, re.DOTALL)
+    out, in_class = [], False
+    for place, token in enumerate(tokens):
+        following = tokens[place + 1 : place + 3]
+        if token in _CLASSES:
+            token = _CLASSES[token] if in_class else f"[{_CLASSES[token]}]"
+        elif token == r"\b" and not in_class:
+            # Next to a plain letter or digit one side is known.
+            if following and following[0].isalnum() and following[1:] not in (["?"], ["*"], ["{"]):
+                token = f"(?<!{_WORD})"
+            elif place and tokens[place - 1].isalnum():
+                token = f"(?!{_WORD})"
+            else:
+                token = _BOUNDARY
+        elif token == "[":
+            in_class = True
+        elif token == "]":
+            in_class = False
+        out.append(token)
+    return ("(?idu)" if ignore_case else "(?d)") + "".join(out)
 
 
 def group_count(pattern: str) -> int:

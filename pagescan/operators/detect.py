@@ -199,15 +199,26 @@ def _probe(rule: Rule) -> None:
     SparkSession.active().range(1).select(F.lit("x").rlike(rule.regex)).collect()
 
 
+_UNPRINTABLE = r"[\p{C}\p{Zl}\p{Zp}\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
+
+
 def _repr_sql(text: str) -> str:
-    """SQL for a text in single quotes, or in double ones if it holds single ones."""
+    """SQL for a text in single quotes, or in double ones if it holds single ones;
+    characters that do not print are escaped."""
     escaped = text
     for char, code in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         escaped = f"replace({escaped}, {sql_string(char)}, {sql_string(code)})"
-    single, double = sql_string("'"), sql_string('"')
-    quoted = f"replace({escaped}, {single}, {sql_string(chr(92) + chr(39))})"
-    return f"""CASE WHEN contains({text}, {single}) AND NOT contains({text}, {double})
-        THEN concat({double}, {escaped}, {double}) ELSE concat({single}, {quoted}, {single}) END"""
+    unprintable, single, double = sql_string(_UNPRINTABLE), sql_string("'"), sql_string('"')
+    number = "lower(hex(ascii(c)))"
+    code = f"""CASE WHEN ascii(c) < 256 THEN concat('\\\\x', lpad({number}, 2, '0'))
+        WHEN ascii(c) < 65536 THEN concat('\\\\u', lpad({number}, 4, '0'))
+        ELSE concat('\\\\U', lpad({number}, 8, '0')) END"""
+    shown = f"""CASE WHEN rlike(e, {unprintable}) THEN array_join(transform(regexp_extract_all(e, '(?s).', 0),
+        c -> CASE WHEN rlike(c, {unprintable}) THEN {code} ELSE c END), '') ELSE e END"""
+    quoted = f"replace(e, {single}, {sql_string(chr(92) + chr(39))})"
+    return f"""transform(transform(array({escaped}), e -> {shown}),
+        e -> CASE WHEN contains(e, {single}) AND NOT contains(e, {double})
+            THEN concat({double}, e, {double}) ELSE concat({single}, {quoted}, {single}) END)[0]"""
 
 
 def _samples_sql(text: str, rule: Rule, mode: str) -> str:
@@ -216,10 +227,9 @@ def _samples_sql(text: str, rule: Rule, mode: str) -> str:
         return all_matches_sql(text, rule.regex)
     if rule.groups == 1:
         return all_matches_sql(text, rule.regex, 1)
-    groups = ", ".join(
-        _repr_sql(f"regexp_extract(m, {sql_string(rule.regex)}, {i})") for i in range(1, rule.groups + 1)
-    )
-    return f"transform({all_matches_sql(text, rule.regex)}, m -> concat('(', concat_ws(', ', {groups}), ')'))"
+    groups = ", ".join(f"regexp_extract(m, {sql_string(rule.regex)}, {i})" for i in range(1, rule.groups + 1))
+    shown = f"array_join(transform(array({groups}), g -> {_repr_sql('g')}), ', ')"
+    return f"transform({all_matches_sql(text, rule.regex)}, m -> concat('(', {shown}, ')'))"
 
 
 def rule_samples_sql(text: str, low: str, rule: Rule, mode: str = "findall", must: str | None = None) -> str:

@@ -94,6 +94,8 @@ def test_near_misses_and_other_scripts_agree_with_the_standard_library(spark):
         base.upper(), base.lower(), base.replace(" ", "é"), base.replace(" ", "中"), base.replace("\n", "\r"),
         base.replace(" ", " "), base.replace(" ", "_"), base.replace("0", "٠"), base.replace("'", '"'), base.replace("s", "ſ").replace("k", "K"),
         base[::-1], base.replace("=", ": "), "", " ", "é1.2.3.4é 1.2.3.4٣",
+        base.replace(" ", "\u0e35"), base.replace(" ", "²"), base.replace(" ", "\x1c"), base.replace(" ", "\u0301"), base.replace(" ", "\u200d"),
+        base.replace(" ", "\u2028"), base.replace(" ", "\x85"), base.replace(" ", "½"), base.replace(" ", "Ⅷ"), base.replace(" ", "\u203f"),
         "a:b@github.comc:d@github.com:e@github.com -:x@github.com",
         "xs3.amazonaws.com//s3.amazonaws.com/b a.s3.amazonaws.comb.s3.amazonaws.com.s3.amazonaws.com/c s3-x s3://y.s3.amazonaws.com as3-z s3.console.aws.amazon.com/s3/buckets/q",
     ]
@@ -157,4 +159,4 @@ def test_flat_and_summary(spark):
 def test_detection_runs_once(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     plan = detect.findings(rows)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count(r"\bLTAI") == 1 and "Exchange" not in plan
+    assert plan.count("LTAI[a-zA-Z0-9]{12,20}") == 1 and "Exchange" not in plan

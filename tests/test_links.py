@@ -1,4 +1,6 @@
+import re
 from dataclasses import replace
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from pagescan import catalog
 from pagescan.operators import filters, links, stats
 from pagescan.options import ScanOptions
+from registry.inputs import FORMS
 
 BASE = "https://h.example.com/d/p.html"
 OPEN = ScanOptions(scope_mode=2, danger_filter=False)
@@ -235,6 +238,66 @@ def test_link_stats(spark):
     assert got == {1: (2, 1, 0, 1, 1), 2: (2, 0, 0, 1, 1), 3: (0, 0, 1, 0, 0)}
 
 
+def variations():
+    """The forms of the registered queries, also with other blanks, letters and quotes."""
+    base = FORMS.replace("{id}", "7").replace("{hex}", "a2d74a98").replace("{xeh}", "1ea71fd1")
+    swaps = [
+        ("", ""), (" ", "\u00a0"), (" ", "\x1c"), (" ", "\u0e35"), ('"', "'"), ("'", "`"), ("s", "ſ"), ("k", "K"), ("i", "ı"), ("i", "İ"),
+        ("=", " = "), ("(", "( "), ("/", "//"), ("<", "é<"), (">", " >"), ("\n", "\r"), ("a", "²"),
+    ]
+    return [base.replace(old, new) if old else base for old, new in swaps] + [base.upper(), base[::-1]]
+
+
+def test_patterns_agree_with_the_standard_library(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    htmls = variations() + pages
+    got = {}
+    for row in links.raw_links(frame(spark, *htmls), ["path", "tag"]).collect():
+        got.setdefault((row.page_id, row.source), set()).add(row.raw)
+    sources = {
+        "path": [p for _, p in catalog.PATH_PATTERNS],
+        "tag": [p for _, _, p in links.tag_patterns()],
+    }
+    for number, html in enumerate(htmls):
+        for source, patterns in sources.items():
+            want = set()
+            for pattern in patterns:
+                for match in re.findall(pattern, html, re.IGNORECASE):
+                    want.add(next((m for m in match if m), "") if isinstance(match, tuple) else match)
+            allowed = lambda texts: {t for t in texts if re.match(catalog.ALLOWED_PREFIX, t)}
+            assert allowed(got.get((number, source), set())) == allowed(want), (number, source)
+    counts = {r.pattern: r.matches for r in links.pattern_counts(frame(spark, *htmls)).collect()}
+    for name, pattern in [*catalog.PATH_PATTERNS, *[(n, p) for n, _, p in links.tag_patterns()]]:
+        assert counts[name] == sum(len(re.findall(pattern, html, re.IGNORECASE)) for html in htmls), name
+
+
+class Collector(HTMLParser):
+    """Link attributes as the standard library's tag reader sees them."""
+
+    def __init__(self):
+        super().__init__()
+        self.found = set()
+
+    def handle_starttag(self, tag, attrs):
+        for name, value in dict(attrs).items():
+            if (tag, name) in catalog.TAG_ATTRIBUTES:
+                self.found.add(value or "")
+
+
+def test_dom_agrees_with_the_standard_library(spark):
+    base = variations()[0]
+    texts = [base, base.upper(), base.replace('"', "'"), base.replace(" ", "\n"), base.replace("=", " = ")]
+    htmls = texts + [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    got = {}
+    for row in links.raw_links(frame(spark, *htmls), ["dom"]).collect():
+        got.setdefault(row.page_id, set()).add(row.raw)
+    for number, html in enumerate(htmls):
+        reader = Collector()
+        reader.feed(html)
+        reader.close()
+        assert got.get(number, set()) == reader.found, number
+
+
 def test_pages_are_scanned_once(spark):
     """No filter ahead of the explodes repeats the pattern work, and only needed columns are read."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
