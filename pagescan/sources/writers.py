@@ -10,7 +10,8 @@ from pagescan import catalog
 _CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "encoding": "UTF-8"}
 
 
-def _titled(report: DataFrame, *extra: str) -> DataFrame:
+def titled(report: DataFrame, *extra: str) -> DataFrame:
+    """The eleven report columns under their report names."""
     titles = zip(catalog.REPORT_COLUMNS, catalog.REPORT_HEADER)
     return report.select(*[F.col(name).alias(title) for name, title in titles], *extra)
 
@@ -23,13 +24,13 @@ def write_report(report: DataFrame, path: str, partition: str | None = None, ord
     """
     rows = report.orderBy(*order) if order else report
     extra = [partition] if partition else []
-    writer = _titled(rows, *extra).write.mode("overwrite").options(**_CSV)
+    writer = titled(rows, *extra).write.mode("overwrite").options(**_CSV)
     (writer.partitionBy(partition) if partition else writer).csv(path)
 
 
 def append_report(rows: DataFrame, path: str) -> None:
     """Add rows to a report folder."""
-    _titled(rows).write.mode("append").options(**_CSV).csv(path)
+    titled(rows).write.mode("append").options(**_CSV).csv(path)
 
 
 def write_summary(summary: DataFrame, path: str) -> bool:

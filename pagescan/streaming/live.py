@@ -14,6 +14,7 @@ from pagescan.operators.detect import Rule, findings
 from pagescan.operators.links import page_links
 from pagescan.operators.results import result_records
 from pagescan.options import ScanOptions
+from pagescan.sources.writers import titled
 from pagescan.storage import Workspace
 
 
@@ -87,7 +88,7 @@ def run_to(stream: DataFrame, space: Workspace, table: str) -> DataFrame:
 def write_live_csv(stream: DataFrame, path: str, progress: str) -> StreamingQuery:
     """Append live report rows to CSV files as they come."""
     return (
-        stream.writeStream.format("csv").outputMode("append")
+        titled(stream).writeStream.format("csv").outputMode("append")
         .options(header=True, quote='"', escape='"', emptyValue="")
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)

@@ -51,26 +51,29 @@ def query(function: Query) -> Query:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which pages leak what, and where do they lead?  One row per page."""
-    plain = rich_pages(pages(spark, sf_dir))
-    found = links.page_links(plain, OPTIONS).groupBy("page_id").agg(
-        *[
-            F.sum(F.when(F.col("disposition") == kind, 1).otherwise(0)).cast("bigint").alias(f"n_{kind}")
-            for kind in ("keep", "external", "danger")
-        ]
-    )
-    shown = detect.with_findings(
-        plain.select(
-            "page_id",
-            "url",
-            text.title_of(F.col("html")).alias("title"),
-            F.length("html").alias("length"),
-            urls.link_type(F.col("url")).alias("link_type"),
-            "html",
-        ),
+    """Which pages leak what, and where do they lead?  One row per page.
+
+    One pass over the text writes findings and link sets; the counts come from that table.
+    """
+    plain = rich_pages(pages(spark, sf_dir)).select(
+        "page_id",
+        "url",
+        text.title_of(F.col("html")).alias("title"),
+        F.length("html").alias("length"),
+        urls.link_type(F.col("url")).alias("link_type"),
         "html",
-    ).withColumn("n_finding_types", F.size("sensitive_raw"))
-    return shown.drop("sensitive_raw").join(found, "page_id", "left").na.fill(0, ["n_keep", "n_external", "n_danger"])
+    )
+    found = detect.with_findings(plain, "html", keep_text=True)
+    found = found.withColumn("n_finding_types", F.size("sensitive_raw")).drop("sensitive_raw")
+    sets = Workspace(spark, "flagship").write(links.link_sets(found, OPTIONS), "pages")
+    routed = links.routed_links(sets.select("page_id", "url", "full", "resolved", "chunks"), OPTIONS)
+    placed = exploded(routed, ["page_id"], links.dispositions(own_domain(F.col("url")), OPTIONS), "disposition")
+    kinds = ("keep", "external", "danger")
+    counts = placed.groupBy("page_id").agg(
+        *[F.sum(F.when(F.col("disposition") == k, 1).otherwise(0)).cast("bigint").alias(f"n_{k}") for k in kinds]
+    )
+    shown = sets.drop("full", "resolved", "chunks").join(counts, "page_id", "left")
+    return shown.na.fill(0, [f"n_{k}" for k in kinds])
 
 
 query(flagship)

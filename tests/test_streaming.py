@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from pagescan import catalog
 from pagescan.operators import dedup, links, results
 from pagescan.operators.report import report_rows
 from pagescan.options import ScanOptions
@@ -67,7 +68,7 @@ def test_live_csv(spark, tmp_path):
     rows = report_rows(live.live_results(as_responses(stream), rules=[]))
     live.write_live_csv(rows, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
     read = spark.read.options(header=True, escape='"', multiLine=True).csv(str(tmp_path / "out"))
-    assert read.count() == 50 and read.columns[0] == "url"
+    assert read.count() == 50 and read.columns == catalog.REPORT_HEADER
 
 
 def test_hot_keys_are_thinned_before_the_shuffle(spark):
