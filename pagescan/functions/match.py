@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 _CLASSES = {"\\w": r"\p{L}\p{N}_", "\\d": r"\p{Nd}", "\\s": r"\t-\r\x1c-\x1f\x85\p{Z}"}
 _WORD = f"[{_CLASSES[chr(92) + 'w']}]"
 _BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
+_NO_BOUNDARY = f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"
 
 
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
@@ -28,6 +29,10 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
         following = tokens[place + 1 : place + 3]
         if token in _CLASSES:
             token = _CLASSES[token] if in_class else f"[{_CLASSES[token]}]"
+        elif token in (r"\W", r"\D", r"\S"):
+            token = f"[^{_CLASSES[token.lower()]}]"
+        elif token == r"\B":
+            token = _NO_BOUNDARY
         elif token == r"\b" and not in_class:
             # Next to a plain letter or digit one side is known.
             if following and following[0].isalnum() and following[1:] not in (["?"], ["*"], ["{"]):
@@ -36,10 +41,18 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
                 token = f"(?!{_WORD})"
             else:
                 token = _BOUNDARY
+        elif in_class and token in "[&":
+            # Java would read a nested class or an intersection.
+            token = "\\" + token
         elif token == "[":
             in_class = True
-        elif token == "]":
-            in_class = False
+        elif token == "]" and in_class:
+            if tokens[place - 1] == "[" or tokens[place - 2 : place] == ["[", "^"]:
+                token = r"\]"
+            else:
+                in_class = False
+        elif token == r"\Z":
+            token = r"\z"
         out.append(token)
     return ("(?idu)" if ignore_case else "(?d)") + "".join(out)
 

@@ -140,6 +140,16 @@ def test_custom_rules_skip_bad_ones(spark):
     assert found(spark, ["it's x12"], rules=rules) == {0: {"it's": ["(\"it's\", '')", "('', '12')"]}}
 
 
+def test_custom_rules_read_as_written(spark):
+    """Brackets and ampersands in classes, the end of text, plain boundaries."""
+    patterns = [r"[[&&a]+", r"[^]x]+", r"[]x]+", r"b\Z", r"\bé?x\b", r"[\w&]+\s?", r"\\w", r"a|\Bx", r"\S+", r"[\Wx]+", r"[^\S]", r"\D\W"]
+    texts = ["[&&a]x]b", "é éx x &é² \\w\n", "xab\n", "ax]b"]
+    got = found(spark, texts, rules=detect.custom_rules({p: p for p in patterns}))
+    for number, text in enumerate(texts):
+        want = {p: sorted(set(re.findall(p, text))) for p in patterns}
+        assert got.get(number, {}) == {p: s for p, s in want.items() if s}, text
+
+
 def test_rule_table(spark):
     table = spark.createDataFrame([("digits", r"\d+")], "type string, pattern string")
     assert found(spark, ["a1b22"], rules=detect.custom_rules(table)) == {0: {"digits": ["1", "22"]}}
