@@ -152,108 +152,118 @@ def segments(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return least[begin], row[begin], at[begin], np.diff(np.append(begin, len(at)))
 
 
+def _short(seed: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of a minimizer: enough to find it again in its document and to place it."""
+    return (seed >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """place, doc_id, seed: where each minimizer is compared with other batches, and whose it is.
 
-    A minimizer of one document of the piece is compared at its own place.  One of several is known to be
-    repeated: it leaves one note (no doc_id) at its place, and its rows take no place of their own.
+    A minimizer of one document of the piece is compared at its own place, its upper 48 bits, and needs no seed.  One
+    of several documents is known to be repeated: it leaves one note (no doc_id) at its place, and its rows,
+    with their seed, take no place of their own.
     """
     for batch in batches:
         for piece in slices(batch, "text", 16 << 20):
-            seeds, ids = [], []
+            seeds, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for part in slices(piece, "text"):
                 seed, row, _, _ = segments(words(part.column("text")))
                 seeds.append(seed)
                 ids.append(part.column("doc_id").to_numpy()[row])
-            if not seeds:
-                continue
             seed, doc = np.concatenate(seeds), np.concatenate(ids)
             order = np.lexsort((doc, seed))
             seed, doc = seed[order], doc[order]
             new = np.ones(len(seed), dtype=bool)
             new[1:] = (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])
             seed, doc = seed[new], doc[new]
-            begin = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(seed) else np.zeros(0, np.int64)
+            new = np.ones(len(seed), dtype=bool)
+            new[1:] = seed[1:] != seed[:-1]
+            begin = np.flatnonzero(new)
             size = np.diff(np.append(begin, len(seed)))
-            shared = np.repeat(size > 1, size)
+            known = np.repeat(size > 1, size)
             notes = seed[begin[size > 1]]
-            place = np.concatenate([np.where(shared, mix(seed, doc.view(np.uint64)), seed), notes])
+            place = np.concatenate([np.where(known, mix(seed, doc.view(np.uint64)), seed), notes]) >> np.uint64(16)
+            note = np.arange(len(place)) >= len(doc)
             yield pa.record_batch({
                 "place": pa.array(place.view(np.int64)),
-                "doc_id": pa.array(np.concatenate([doc, np.zeros(len(notes), np.int64)]), mask=np.arange(len(place)) >= len(doc)),
-                "seed": pa.array(np.concatenate([seed, notes]).view(np.int64)),
-                "known": pa.array(np.concatenate([shared, np.ones(len(notes), bool)])),
+                "doc_id": pa.array(np.concatenate([doc, np.zeros(len(notes), np.int64)]), mask=note),
+                "seed": pa.array(np.concatenate([_short(seed), _short(notes)]), mask=note | ~np.concatenate([known, note[len(doc) :]])),
             })
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and the minimizers (seeds) it shares with another document."""
-    rows = docs.mapInArrow(_sampled, "place bigint, doc_id bigint, seed bigint, known boolean")
+    """doc_id and the minimizers (upper bits) it shares with another document."""
+    rows = docs.mapInArrow(_sampled, "place bigint, doc_id bigint, seed int")
     # At most a row for each batch of documents has a minimizer's place.
-    same = Window.partitionBy("place")
-    rows = rows.withColumn("n", F.count("*").over(same)).where("doc_id is not null and (known or n > 1)")
-    return rows.groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("place")))
+    rows = rows.where("doc_id is not null and (seed is not null or n > 1)")
+    own = F.shiftright("place", 16).cast("int")
+    return rows.groupBy("doc_id").agg(F.collect_list(F.coalesce("seed", own)).alias("seeds"))
 
 
 def _chosen(piece: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The segments of the rows whose minimizer is among the row's seeds."""
     found = words(piece.column("text"))
     seed, row, first, count = segments(found)
-    own = piece.column("seeds")
-    wanted = mix(own.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(own)), own.value_lengths().to_numpy(zero_copy_only=False)).astype(np.uint64))
-    keep = np.isin(mix(seed, row.astype(np.uint64)), wanted)
+    seed, own = _short(seed), piece.column("seeds")
+    owner = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy(zero_copy_only=False))
+    wanted = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + (owner << 32)
+    keep = np.isin(seed + (row << 32), wanted)
     return found, seed[keep], row[keep], first[keep], count[keep]
 
 
-def _codes(found: Words, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The segments' words as 32-bit codes, their numbers, and a 64-bit key of each segment."""
-    sizes = count + WINDOW - 1
-    full = ragged(found.hashes(), first, sizes)
+def _keys(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each segment."""
     if not len(sizes):
-        return np.zeros(0, np.uint32), sizes, np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64)
     begin = np.cumsum(sizes) - sizes
-    place = np.arange(len(full)) - np.repeat(begin, sizes)
-    keys = mix(np.add.reduceat(mix(full, place.astype(np.uint64)), begin), sizes.astype(np.uint64))
-    return (full >> np.uint64(32)).astype(np.uint32), sizes, keys
+    place = (np.arange(len(codes)) - np.repeat(begin, sizes)).astype(np.uint64)
+    return mix(np.add.reduceat(mix(codes.astype(np.uint64), place), begin), sizes.astype(np.uint64))
+
+
+def _codes(found: Words, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The segments' words as 32-bit codes, one after the other, and their numbers."""
+    sizes = count + WINDOW - 1
+    return ragged((found.hashes() >> np.uint64(32)).astype(np.uint32), first, sizes), sizes
 
 
 def _to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each distinct segment of a piece with its smallest and largest id."""
+    """Each distinct segment of a piece with its smallest id and, if others have it too, its largest."""
     for batch in batches:
         for piece in slices(batch, "text", 8 << 20):
             found, seed, row, first, count = _chosen(piece)
-            codes, sizes, keys = _codes(found, first, count)
-            if not len(keys):
+            codes, sizes = _codes(found, first, count)
+            if not len(sizes):
                 continue
-            doc = piece.column("doc_id").to_numpy()[row]
+            keys, doc = _keys(codes, sizes), piece.column("doc_id").to_numpy()[row]
             order = np.lexsort((doc, keys))
             begin = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-            last = np.append(begin[1:], len(order)) - 1
-            one = order[begin]
+            one, low = order[begin], doc[order[begin]]
+            high = doc[order[np.append(begin[1:], len(order)) - 1]]
             starts = np.cumsum(sizes) - sizes
             packed = ragged(codes, starts[one], sizes[one]).astype("<u4").tobytes()
             offsets = np.concatenate([[0], np.cumsum(sizes[one] * 4)]).astype(np.int32)
             yield pa.record_batch({
-                "seed": pa.array(seed[one].view(np.int64)), "key": pa.array(keys[one].view(np.int64)),
-                "low": pa.array(doc[one]), "high": pa.array(doc[order[last]]),
+                "shard": pa.array(seed[one]), "low": pa.array(low), "high": pa.array(high, mask=high == low),
                 "codes": pa.BinaryArray.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]),
             })
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Where each segment is: doc_id, version of the text, first word of the row."""
+    """Where each segment is: doc_id, version (hash) of its text, first word, and its key."""
     for batch in batches:
         for piece in slices(batch, "text", 8 << 20):
             found, _, row, first, count = _chosen(piece)
-            _, _, keys = _codes(found, first, count)
+            keys = _keys(*_codes(found, first, count))
             yield pa.record_batch({
                 "doc_id": piece.column("doc_id").take(pa.array(row)), "version": piece.column("version").take(pa.array(row)),
-                "first": pa.array((first - found.first[row]).astype(np.int64)), "key": pa.array(keys.view(np.int64)),
+                "first": pa.array((first - found.first[row]).astype(np.int32)), "key": pa.array(keys.view(np.int64)),
             })
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key and, for each window of the segment, the smallest id; batches are sorted by seed."""
+    """key and, for each window of the segment, the smallest id; batches are sorted by shard."""
     held: list[pa.RecordBatch] = []
 
     def answer() -> pa.RecordBatch:
@@ -267,7 +277,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A segment of one document that nobody has earlier needs no answer.
         wanted = np.minimum.reduceat(firsts, np.cumsum(counts) - counts) < high
         return pa.record_batch({
-            "key": pa.array(table.column("key").to_numpy()[wanted]),
+            "key": pa.array(_keys(codes, sizes)[wanted].view(np.int64)),
             "firsts": lists(firsts[np.repeat(wanted, counts)], counts[wanted], pa.int64()),
         })
 
@@ -275,9 +285,10 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        seed = batch.column("seed").to_numpy()
-        cut = int(np.searchsorted(seed != seed[0], True)) if held and held[-1].column("seed")[-1].as_py() == seed[0] else 0
-        if held and size > SYMBOLS and cut < len(seed):
+        shard = batch.column("shard").to_numpy()
+        same = held and held[-1].column("shard")[-1].as_py() == shard[0]
+        cut = int(np.searchsorted(shard != shard[0], True)) if same else 0
+        if held and size > SYMBOLS and cut < len(shard):
             if cut:
                 held.append(batch.slice(0, cut))
             yield answer()
@@ -313,17 +324,17 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the kept words, joined by a space) of every row with an id."""
-    rows = texts(docs, id_column, text_column).withColumn("version", F.xxhash64("text"))
+    rows = texts(docs, id_column, text_column).withColumn("version", F.hash("text"))
     shared = rows.join(candidates(rows.select("doc_id", "text")), "doc_id")
-    shards = shared.mapInArrow(_to_shards, "seed bigint, key bigint, low bigint, high bigint, codes binary")
-    # Grouped where it is: the shards are the partitions by seed.
+    shards = shared.mapInArrow(_to_shards, "shard int, low bigint, high bigint, codes binary")
+    # Grouped where it is: the shards are the partitions by the column.
     distinct = (
-        shards.repartition("seed").groupBy("seed", "key", "codes")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        .sortWithinPartitions("seed")
+        shards.repartition("shard").groupBy("shard", "codes")
+        .agg(F.min("low").alias("low"), F.max(F.coalesce("high", "low")).alias("high"))
+        .sortWithinPartitions("shard")
     )
     answers = distinct.mapInArrow(_indexed, "key bigint, firsts array<bigint>")
-    places = shared.mapInArrow(_occurrences, "doc_id bigint, version bigint, first bigint, key bigint")
+    places = shared.mapInArrow(_occurrences, "doc_id bigint, version int, first int, key bigint")
     at = F.filter(
         F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("first") + i)), lambda p: p.isNotNull()
     )
