@@ -154,7 +154,7 @@ def segments(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 def _short(seed: np.ndarray) -> np.ndarray:
     """The upper 32 bits of a minimizer: enough to find it again in its document and to place it."""
-    return (seed >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return (seed >> np.uint64(32)).astype(np.int64)
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,11 +194,11 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and the minimizers (upper bits) it shares with another document."""
-    rows = docs.mapInArrow(_sampled, "place bigint, doc_id bigint, seed int")
+    rows = docs.mapInArrow(_sampled, "place bigint, doc_id bigint, seed bigint")
     # At most a row for each batch of documents has a minimizer's place.
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("place")))
     rows = rows.where("doc_id is not null and (seed is not null or n > 1)")
-    own = F.shiftright("place", 16).cast("int")
+    own = F.shiftright("place", 16)
     return rows.groupBy("doc_id").agg(F.collect_list(F.coalesce("seed", own)).alias("seeds"))
 
 
@@ -326,7 +326,7 @@ def remove(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """doc_id, n_words, n_removed and kept_text (the kept words, joined by a space) of every row with an id."""
     rows = texts(docs, id_column, text_column).withColumn("version", F.hash("text"))
     shared = rows.join(candidates(rows.select("doc_id", "text")), "doc_id")
-    shards = shared.mapInArrow(_to_shards, "shard int, low bigint, high bigint, codes binary")
+    shards = shared.mapInArrow(_to_shards, "shard bigint, low bigint, high bigint, codes binary")
     # Grouped where it is: the shards are the partitions by the column.
     distinct = (
         shards.repartition("shard").groupBy("shard", "codes")
