@@ -5,8 +5,8 @@ sequences and a rest.  Rests and short documents are dealt by hash over partitio
 `ITEMS` and packed there best-fit decreasing.  Dual feasible
 functions over the partition's lengths give a number of sequences that no packing of
 it can beat.  A partition that reaches its bound is certified and done.  One with a
-gap keeps its fullest sequences and gives up the emptiest, as many as have
-twice the gap's room; what all partitions give up is dealt anew, over as few
+gap keeps its fullest sequences and gives up the emptiest, `EXCHANGE` for each sequence of the
+gap but half of all at most; what all partitions give up is dealt anew, over as few
 partitions as hold it, and packed again, until nothing is given up or after `ROUNDS` rounds.
 
 Each task holds one partition's lengths and no texts.  A null text is empty
@@ -33,6 +33,7 @@ LENGTH = 2048
 END_ID = 0
 ITEMS = 200_000
 ROUNDS = 4
+EXCHANGE = 8
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -96,14 +97,13 @@ def fill(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, in
 
 
 def given_up(lengths: np.ndarray, names: np.ndarray, count: int, capacity: int) -> np.ndarray:
-    """Which bins are exchanged: none at the lower bound, else the emptiest with twice the gap's room."""
+    """Which bins are exchanged: none at the lower bound, else the emptiest, by the size of the gap."""
     gap = count - lower_bound(lengths, capacity)
     room = capacity - np.bincount(names, weights=lengths, minlength=count).astype(np.int64)
     out = np.zeros(count, dtype=bool)
     if gap > 0:
         emptiest = np.argsort(-room, kind="stable")
-        enough = int(np.searchsorted(np.cumsum(room[emptiest]), 2 * gap * capacity)) + 1
-        out[emptiest[:enough]] = True
+        out[emptiest[: min(EXCHANGE * gap, -(-count // 2))]] = True
     return out
 
 
