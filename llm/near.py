@@ -9,7 +9,7 @@ compared exhaustively, a larger one is branched by the next chosen token, `DEPTH
 documents at 0.75 meet in a leaf of one tree with probability 0.75 to the power of its depth, so sixteen trees miss one of 4e9 such
 pairs at depth one and one of 430 at depth four.  Nodes that stay large hold documents with the same chosen tokens,
 mostly one group of near copies; they are dealt at random into small blocks first, and what is not connected
-then is compared with the whole node, in chunks.
+then is compared with the whole node, in chunks, by a product of incidence matrices over the full sets.
 
 Comparing inside a node is by signatures and gives a spanning forest of the pairs that
 could be links, the likeliest first; a forest edge is then confirmed on the full sets.  If all
@@ -43,7 +43,7 @@ MINHASHES = 48
 DEPTH = 4
 NODE = 48
 BLOCK = 24
-CHUNK, PART = 512, 4096
+CHUNK, PART = 512, 2048
 # Pairs whose signatures agree in fewer places are no links: 4.8 standard deviations below 0.75.
 AGREE = 22
 _SET_BYTES = 6
@@ -241,19 +241,38 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _pairs(node, ids, x[apart], y[apart])
 
 
+def common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with all others."""
+    sizes = np.array([len(x) for x in [*sets, *others]])
+    values, column, times = np.unique(np.concatenate([*sets, *others]), return_inverse=True, return_counts=True)
+    shared = times > 1  # a value of one set is in no intersection
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = np.repeat(np.arange(len(sizes)), sizes)[keep], place[column[keep]]
+    out = np.zeros((len(sets), len(others)), np.float32)
+    for low in range(0, int(shared.sum()), 2048):
+        here = (column >= low) & (column < low + 2048)
+        incidence = np.zeros((len(sizes), 2048), np.float32)
+        incidence[row[here], column[here] - low] = 1
+        out += incidence[: len(sets)] @ incidence[len(sets) :].T
+    return out.astype(np.int64)
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a chunk of outsiders with a part of their node that could be links and have different labels."""
+    """Links between a chunk of outsiders and a part of their node, one for each outsider and label."""
     for table in _groups(batches):
         node, ids, label, outside = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "id", "label", "outside"))
-        marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, MINHASHES)
         edges = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
         for a, b in zip(edges, edges[1:]):
-            members = a + np.flatnonzero(~outside[a:b])
-            for i in a + np.flatnonzero(outside[a:b]):
-                agree = (marks[members] == marks[i]).sum(axis=1)
-                good = members[(agree >= AGREE) & (label[members] != label[i])]
-                if len(good):
-                    yield _pairs(node, ids, np.full(len(good), i), good)
+            inside, out = a + np.flatnonzero(~outside[a:b]), a + np.flatnonzero(outside[a:b])
+            if not (len(inside) and len(out)):
+                continue
+            members, outsiders = ([_unpacked(x.as_py()) for x in table.column("set").take(pa.array(i))] for i in (inside, out))
+            both = common(outsiders, members)
+            union = np.array([len(x) for x in outsiders])[:, None] + np.array([len(x) for x in members]) - both
+            x, y = np.nonzero((100 * both >= PERCENT * union) & (label[out][:, None] != label[inside]))
+            _, one = np.unique(np.stack([x, label[inside][y]]), axis=1, return_index=True)
+            yield _pairs(node, ids, out[x[one]], inside[y[one]])
 
 
 _PAIRS = "node bigint, a bigint, b bigint"
@@ -286,7 +305,7 @@ class Join:
 
     def _by_node(self, members: DataFrame, run) -> DataFrame:
         count = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        columns = [c for c in ("node", "id", "signature", "label", "outside") if c in members.columns]
+        columns = [c for c in ("node", "id", "signature", "label", "outside", "set") if c in members.columns]
         return members.select(*columns).repartition(count, "node").sortWithinPartitions("node").mapInArrow(run, _PAIRS)
 
     def leaves(self) -> tuple[DataFrame, DataFrame]:
@@ -307,11 +326,8 @@ class Join:
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """a, b, linked of the distinct pairs, judged on the full sets."""
         pairs = self.work.write(pairs.select("a", "b").where("a <> b").distinct(), self._name("pairs"))
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = self.rows.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, set binary")
-        sets = self.work.write(sets, self._name("sets"))
-        left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("left"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("right"))
+        left = self.sets.select(F.col("doc_id").alias("a"), F.col("set").alias("left"))
+        right = self.sets.select(F.col("doc_id").alias("b"), F.col("set").alias("right"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
         judged = both.mapInArrow(_confirmed, "a bigint, b bigint, linked boolean")
         return self.work.write(judged.groupBy("a", "b").agg(F.max("linked").alias("linked")), self._name("judged"))
@@ -324,6 +340,10 @@ class Join:
         blocks = F.greatest(F.lit(1), F.ceil(F.col("count") / BLOCK))
         dealt = large.withColumn("node", F.xxhash64("node", F.pmod(F.xxhash64("id", "tree"), blocks))).select("tree", "node", "id")
         forest = self.work.write(self._by_node(self._signed(small.unionByName(dealt)), _forest), self._name("forest"))
+        # Whatever is confirmed later is in a forest or in a large node.
+        needed = forest.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(large.select(F.col("id").alias("doc_id")))
+        sets = self.rows.join(needed.distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, set binary")
+        self.sets = self.work.write(sets, self._name("sets"))
         judged = self.confirm(forest)
         links = judged.where("linked").select("a", "b")
         refuted = judged.where("not linked").select("a", "b")
@@ -338,13 +358,12 @@ class Join:
             return known.withColumn("label", F.coalesce("label", "id"))
 
         found = self._by_node(self._signed(labelled(small.join(open_, "node"))), _apart)
-        if some_large:
-            found = found.unionByName(self._outsiders(labelled(large)))
         more = found.select("a", "b").distinct().join(refuted, ["a", "b"], "left_anti")
-        return links.unionByName(self.confirm(more).where("linked").select("a", "b"))
+        links = links.unionByName(self.confirm(more).where("linked").select("a", "b"))
+        return links.unionByName(self._outsiders(labelled(large))) if some_large else links
 
     def _outsiders(self, large: DataFrame) -> DataFrame:
-        """Pairs of large nodes between what belongs to the node's main component and what doesn't, or both don't."""
+        """Links in large nodes between what belongs to the node's main component and what doesn't, or both don't."""
         large = self.work.write(large.select("node", "id", "label"), self._name("labelled"))
         counts = large.groupBy("node", "label").count()
         main = counts.groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
@@ -358,7 +377,8 @@ class Join:
         outside = members.where("outside").withColumn("chunk", F.pmod(F.xxhash64("id"), chunks)).withColumn("part", each(parts))
         inside = members.withColumn("outside", F.lit(False)).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), parts)).withColumn("chunk", each(chunks))
         cells = outside.unionByName(inside).withColumn("node", F.xxhash64("node", "chunk", "part"))
-        return self._by_node(self._signed(cells.select("node", "id", "label", "outside")), _across)
+        filled = cells.join(self.sets.withColumnRenamed("doc_id", "id"), "id")
+        return self.work.write(self._by_node(filled, _across).select("a", "b").distinct(), self._name("outsiders"))
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id (smallest id reachable), kept of every row with an id."""
