@@ -131,7 +131,7 @@ def _class(length: Column) -> Column:
 
 
 def _matches(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, start, end, value of every match (failing ones too)."""
+    """doc_id, copy (hash of the text), kind, found, p, start, end of every match (failing ones too)."""
 
     def part(kind: str) -> Column:
         gaps = F.transform(F.split("text", PATTERNS[kind], -1), lambda g: F.length(g))
@@ -145,11 +145,12 @@ def _matches(docs: DataFrame) -> DataFrame:
     each = docs.select("doc_id", F.xxhash64("text").alias("copy"), F.explode_outer(every).alias("m")).where(
         F.col("m.found").isNotNull()
     )
-    each = each.select("doc_id", "copy", "m.*").distinct()  # a repeated row once
+    p = F.when(F.col("kind") == "random", p_value(F.col("found")))
+    each = each.select("doc_id", "copy", "m.*").withColumn("p", p).distinct()  # a repeated row once
     before = Window.partitionBy("doc_id", "copy", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("found")).over(before)
-    return each.select("doc_id", "copy", "kind", "found", end.cast("bigint").alias("end")).select(
-        "doc_id", "copy", "kind", "found", (F.col("end") - F.length("found")).alias("start"), "end"
+    return each.select("doc_id", "copy", "kind", "found", "p", end.cast("bigint").alias("end")).select(
+        "doc_id", "copy", "kind", "found", "p", (F.col("end") - F.length("found")).alias("start"), "end"
     )
 
 
@@ -184,8 +185,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     work = Workspace(docs.sparkSession, "secrets")
     rows = texts(docs, id_column, text_column)
     matches = _matches(rows).where(_kept(F.col("kind"), F.col("found")))
-    p = F.when(F.col("kind") == "random", p_value(F.col("found")))
-    matches = work.write(matches.withColumn("p", p).where("kind != 'random' or p is not null"), "matches")
+    matches = work.write(matches.where("kind != 'random' or p is not null"), "matches")
     candidates = matches.where("kind = 'random'").select("p", F.length("found").alias("length"))
     cuts = cut_offs(candidates)
     # Fixed spans that overlap a candidate: by the latest end before and the first start behind it.
