@@ -94,7 +94,6 @@ DEFAULT_EXTENSIONS = [
 # The settings a scan starts from when a settings file leaves them out.
 SETTINGS_EXTENSIONS = [".css", ".mp4"]
 SETTINGS_MAX_DEPTH = 5
-SETTINGS_MAX_URLS = 10000
 
 # Keywords that mark a link as dangerous to call.
 DANGER_KEYWORDS = [

@@ -26,11 +26,17 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
 
 
+_WINDOWS = [ord(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(128, 160)]
+
+
 def _code_point(token: Column) -> Column:
     """Character for a numeric reference; invalid numbers give U+FFFD."""
     digits = F.regexp_replace(token, "[&#xX;]", "")
     is_hex = token.rlike("^&#[xX]")
-    number = F.when(is_hex, F.conv(F.right(digits, F.lit(15)), 16, 10)).otherwise(digits).try_cast("bigint")
+    plain = F.regexp_replace(digits, "^0+", "")
+    number = F.when(~is_hex, plain).when(F.length(plain) <= 8, F.conv(plain, 16, 10)).try_cast("bigint")
+    # The standard reads these 32 numbers as Windows-1252.
+    number = F.when(number.between(128, 159), F.element_at(F.array(*map(F.lit, _WINDOWS)), (number - 127).cast("int"))).otherwise(number)
     valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
     hexed = F.lpad(F.hex(F.when(valid, number).otherwise(F.lit(0xFFFD))), 8, "0")
     return F.decode(F.unhex(hexed), "UTF-32")

@@ -40,22 +40,27 @@ def flag_duplicates(results: DataFrame, by: list[str] = ["target", "signature"],
     The first row of each signature is found by a minimum, which is
     pre-aggregated, and marked through the row key.  No task ever holds all
     rows of a signature, however many there are (all failed requests of a scan
-    share one).  ``key`` must identify a row and ``order`` a row within its group.
+    share one).  Rows that redirects lead to one URL differ in the URL asked for;
+    of rows alike in all of these one is the first, by its place in the table, which should be a stored one.
     """
+    asked = ["original_url"] if "original_url" in results.columns else []
+    ordered = list(dict.fromkeys([*order, *key, *asked, "_row"]))
+    whole = list(dict.fromkeys([*by, *ordered]))
+    columns, results = results.columns, results.withColumn("_row", F.monotonically_increasing_id())
     firsts = (
         results.groupBy(*by)
-        .agg(F.min(F.struct(*order, *[c for c in key if c not in order])).alias("first"))
-        .select(*[F.col(f"first.{c}" if c not in by else c).alias(f"_{c}") for c in key], F.lit(True).alias("_first"))
+        .agg(F.min(F.struct(*ordered)).alias("first"))
+        .select(*[F.col(c if c in by else f"first.{c}").alias(f"_{c}") for c in whole], F.lit(True).alias("_first"))
     )
     same = None
-    for c in key:
+    for c in whole:
         test = F.col(c).eqNullSafe(F.col(f"_{c}"))
         same = test if same is None else same & test
     duplicate = F.col("_first").isNull()
     if not dedup_errors:
         duplicate = duplicate & F.col("status_code").isNotNull()
     joined = results.join(firsts, same, "left")
-    return joined.select(*results.columns, duplicate.alias("is_duplicate_signature"))
+    return joined.select(*columns, duplicate.alias("is_duplicate_signature"))
 
 
 def live_rows(flagged: DataFrame) -> DataFrame:

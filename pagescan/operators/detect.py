@@ -26,7 +26,6 @@ from pagescan.functions.match import (
 FINDING = "struct<ord:int,rule:string,type:string,count:int,samples:array<string>,total:int>"
 
 # A rule table is part of the query plan, so its size is bounded.
-MAX_RULES = 2000
 
 
 @dataclass(frozen=True)
@@ -172,31 +171,35 @@ def default_rules() -> list[Rule]:
 def custom_rules(patterns: Mapping[str, str] | DataFrame) -> list[Rule]:
     """Rules from a name -> expression mapping or a (type, pattern) table.
 
-    A rule whose expression does not compile is left out with a warning, the
-    others go on.
+    All rows of a table are rules, also those with one type, in the order of its
+    ``ord`` column or else of type and pattern.  A rule whose expression does
+    not compile is left out with a warning, the others go on.
     """
     if isinstance(patterns, DataFrame):
-        rows = patterns.select("type", "pattern").limit(MAX_RULES + 1).collect()
-        if len(rows) > MAX_RULES:
-            raise ValueError(f"a rule table may hold at most {MAX_RULES} rules")
-        patterns = {row["type"]: row["pattern"] for row in rows}
-    rules = []
-    for name, pattern in patterns.items():
-        try:
-            rule = Rule(name, name, pattern)
-            _probe(rule)
-        except Exception as error:  # a bad expression must not stop the others
-            warnings.warn(f"rule {name!r} left out: {str(error).splitlines()[0]}", stacklevel=2)
-            continue
-        rules.append(rule)
-    return rules
-
-
-def _probe(rule: Rule) -> None:
+        order = ["ord"] if "ord" in patterns.columns else ["type", "pattern"]
+        named = [(row["type"], row["pattern"]) for row in patterns.orderBy(*order).select("type", "pattern").collect()]
+    else:
+        named = list(patterns.items())
+    return _compiled([Rule(name, name, re.sub(r"\(\?P<\w+>", "(", pattern)) for name, pattern in named])
+
+
+def _compiled(rules: list[Rule]) -> list[Rule]:
+    """The rules that compile: all are tried at once, and a bad half is tried in halves."""
     from pyspark.sql import SparkSession
 
-    re.compile(rule.pattern)
-    SparkSession.active().range(1).select(F.lit("x").rlike(rule.regex)).collect()
+    if not rules:
+        return []
+    try:
+        for rule in rules:
+            re.compile(rule.pattern)
+        SparkSession.active().range(1).select(*[F.lit("x").rlike(rule.regex).alias(f"r{i}") for i, rule in enumerate(rules)]).collect()
+        return rules
+    except Exception as error:  # a bad expression must not stop the others
+        if len(rules) == 1:
+            warnings.warn(f"rule {rules[0].label!r} left out: {str(error).splitlines()[0]}", stacklevel=2)
+            return []
+    half = len(rules) // 2
+    return _compiled(rules[:half]) + _compiled(rules[half:])
 
 
 _UNPRINTABLE = r"[\p{C}\p{Zl}\p{Zp}\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"

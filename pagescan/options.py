@@ -27,6 +27,7 @@ class ScanOptions:
     ``scope_mode``: 0 target domain only; 1 target domain, other domains once
     without following them; 2 everything; 3 white-listed domains only.
     An empty ``extension_blacklist`` means the default list.
+    ``max_urls=None``: no budget; with one, URLs past it become error rows.
     ``public_suffixes=None`` compares host names instead of registered domains.
     ``signature``: ``length_status`` or ``content``.
     ``sample_mode``: ``findall`` reports what the groups of a rule captured,
@@ -47,7 +48,7 @@ class ScanOptions:
     path_routes: tuple[str, ...] = ()
     api_routes: tuple[str, ...] = ()
     max_depth: int = 1
-    max_urls: int = 5000
+    max_urls: int | None = None
     share_visited: bool = True
     public_suffixes: tuple[str, ...] | None = tuple(catalog.PUBLIC_SUFFIXES)
     signature: str = "length_status"
@@ -78,12 +79,11 @@ class ScanOptions:
     def from_json(cls, text: str) -> "ScanOptions":
         """Options from a JSON settings file; keys about fetching are ignored.
 
-        A file leaves more out than a plain constructor call does: depth, URL
-        budget and extensions then start from the file defaults.
+        A file leaves more out than a plain constructor call does: depth and
+        extensions then start from the file defaults.
         """
         settings = {
             "max_depth": catalog.SETTINGS_MAX_DEPTH,
-            "max_urls": catalog.SETTINGS_MAX_URLS,
             "extension_blacklist": catalog.SETTINGS_EXTENSIONS,
         }
         for key, value in json.loads(text).items():

@@ -118,7 +118,10 @@ def scan(targets: DataFrame, responses: DataFrame, options: ScanOptions = ScanOp
         routed_links(pages.select("original_url", "full", "resolved", "chunks"), options), "links"
     )
     walked = walk.reachable(start, walk.edges_of(routed, options, "original_url"), options)
-    kept = walk.within_budget(walked, options.max_urls).where("within_budget").select("target", "url", "depth")
+    kept, refused = walked, None
+    if options.max_urls is not None:
+        asked = space.write(walk.within_budget(walked, options.max_urls).select("target", "url", "depth", "within_budget"), "asked")
+        kept, refused = (asked.where(test).drop("within_budget") for test in ("within_budget", "not within_budget"))
     kept = space.write(kept, "kept")
     signed = space.write(visited_results(kept, records, options), "results")
     results = flag_duplicates(signed, dedup_errors=options.dedup_errors)
@@ -150,7 +153,13 @@ def scan(targets: DataFrame, responses: DataFrame, options: ScanOptions = ScanOp
             {"signature": F.lit(None).cast("string"), "is_duplicate_signature": F.lit(False)}
         )
     columns = [*RESULT_COLUMNS, "signature", "is_duplicate_signature"]
-    return Scan(results.select(*columns), external.select(*columns), danger, options)
+    results = results.select(*columns)
+    if refused is not None:
+        over = placeholder_rows(refused, catalog.OVER_BUDGET, F.col("depth"))
+        results = results.unionByName(
+            over.withColumns({"signature": F.lit(None).cast("string"), "is_duplicate_signature": F.lit(False)}).select(*columns)
+        )
+    return Scan(results, external.select(*columns), danger, options)
 
 
 def _untargeted(responses: DataFrame) -> DataFrame:

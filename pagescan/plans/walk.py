@@ -116,11 +116,11 @@ def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOpt
     return levels().select("target", "url", "depth")
 
 
-def within_budget(rows: DataFrame, max_urls: int, by: list[str] = ["target"],
+def within_budget(rows: DataFrame, max_urls: int | None, by: list[str] = ["target"],
                   order: list[str] = ["depth", "url"]) -> DataFrame:
     """Rows with their request number; past ``max_urls`` per target ``within_budget``
-    is false and ``refused`` says why."""
-    within = F.col("request") <= max_urls
+    is false and ``refused`` says why.  Without a budget all are within it."""
+    within = F.lit(True) if max_urls is None else F.col("request") <= max_urls
     return numbered(rows, order, by, "request").withColumns(
         {"within_budget": within, "refused": F.when(~within, catalog.OVER_BUDGET)}
     )

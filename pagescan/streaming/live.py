@@ -116,10 +116,15 @@ def duplicate_flagger(space: Workspace, table: str = "flagged", key: list[str] =
             earlier = (
                 spark.read.schema(seen_schema).option("basePath", space.folder("seen"))
                 .parquet(space.folder("seen")).where(F.col("batch") < batch_id)
-                .select(*by, F.lit(True).alias("seen")).distinct()
+                .select(*by).distinct()
             )
             firsts = flagged.where(~F.col("is_duplicate_signature")).select(*key, *[b for b in by if b not in key])
-            known = firsts.join(earlier, by).select(*[F.col(k).alias(f"_{k}") for k in key], F.lit(True).alias("_known"))
+            earlier = earlier.select(*[F.col(b).alias(f"_seen_{b}") for b in by])
+            alike = None
+            for b in by:
+                test = F.col(b).eqNullSafe(F.col(f"_seen_{b}"))
+                alike = test if alike is None else alike & test
+            known = firsts.join(earlier, alike).select(*[F.col(k).alias(f"_{k}") for k in key], F.lit(True).alias("_known"))
             same = None
             for k in key:
                 test = F.col(k).eqNullSafe(F.col(f"_{k}"))

@@ -534,7 +534,7 @@ def external_unvisited(spark, sf_dir):
 @query
 def batch_summary(spark, sf_dir):
     plain = linked_pages(pages(spark, sf_dir))
-    options = replace(OPTIONS, max_depth=2, max_urls=5000)
+    options = replace(OPTIONS, max_depth=2, max_urls=None)
     done = scan.scan(start_urls(pages(spark, sf_dir)), responses(plain).drop("page_id"), options)
     return done.summary()
 

@@ -134,10 +134,15 @@ def test_whole_match_mode(spark):
 def test_custom_rules_skip_bad_ones(spark):
     with warnings.catch_warnings(record=True) as caught:
         warnings.simplefilter("always")
-        rules = detect.custom_rules({"bad": "(", "no java": "(?P<x>a)", "it's": r"(it's)|x(\d+)"})
-    assert [r.key for r in rules] == ["it's"]
-    assert sum("left out" in str(w.message) for w in caught) == 2
-    assert found(spark, ["it's x12"], rules=rules) == {0: {"it's": ["(\"it's\", '')", "('', '12')"]}}
+        rules = detect.custom_rules({"bad": "(", "named": "(?P<x>b)", "it's": r"(it's)|x(\d+)"})
+    assert [r.key for r in rules] == ["named", "it's"]
+    assert sum("left out" in str(w.message) for w in caught) == 1
+    assert found(spark, ["it's x12 b"], rules=rules) == {0: {"named": ["b"], "it's": ["(\"it's\", '')", "('', '12')"]}}
+
+
+def test_custom_rules_keep_every_row(spark):
+    table = spark.createDataFrame([(2, "t", "b+"), (1, "t", "a+")], "ord int, type string, pattern string")
+    assert [(r.label, r.pattern) for r in detect.custom_rules(table)] == [("t", "a+"), ("t", "b+")]
 
 
 def test_custom_rules_read_as_written(spark):

@@ -265,7 +265,7 @@ def test_options_from_json():
         '{"url_scope_mode": "1", "danger_api_list": ["x"], "danger_filter_enabled": 0, "custom_base_url": "https://e.com/", "fuzz": 1, "delay": 3}'
     )
     assert (options.scope_mode, options.danger_keywords, options.active_danger_keywords) == (1, ("x",), ())
-    assert (options.custom_base_urls, options.fuzz, options.max_depth, options.max_urls) == (("https://e.com/",), True, 5, 10000)
+    assert (options.custom_base_urls, options.fuzz, options.max_depth, options.max_urls) == (("https://e.com/",), True, 5, None)
     assert options.extensions == (".css", ".mp4") and len(ScanOptions().extensions) == 32
     with pytest.raises(ValueError):
         ScanOptions(scope_mode=4)

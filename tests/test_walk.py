@@ -154,7 +154,26 @@ def test_scan_budget(spark):
     done = scan.scan(
         spark.createDataFrame([(u(0),)], "url string"), spark.createDataFrame(pages, readers.RESPONSES), ScanOptions(max_depth=3, max_urls=4)
     )
-    assert sorted((r.depth, r.url) for r in done.results.collect()) == [(0, u(0)), (1, u(0)), (1, u(1)), (1, u(2))]
+    rows = done.results.collect()
+    refused = [r for r in rows if r.status == catalog.OVER_BUDGET]
+    assert sorted((r.depth, r.url) for r in rows if r not in refused) == [(0, u(0)), (1, u(0)), (1, u(1)), (1, u(2))]
+    assert {r.url for r in refused} == {u(i) for i in range(3, 10)}
+
+
+def test_redirects_to_one_page(spark):
+    """Two URLs that end at one page: equal bodies are duplicates, different ones are not, and no row is multiplied."""
+    for second, flags in (("same", [False, True]), ("another body", [False, False])):
+        a, b = list(page(u(1), "same")), list(page(u(2), second))
+        a[0] = b[0] = u("z")
+        responses = spark.createDataFrame([tuple(a), tuple(b)], readers.RESPONSES)
+        got = scan.flagged_results(responses.withColumn("depth", F.lit(0)).withColumn("target", F.lit("t"))).collect()
+        assert [r.is_duplicate_signature for r in sorted(got, key=lambda r: r.original_url)] == flags
+
+
+def test_a_page_captured_twice(spark):
+    responses = spark.createDataFrame([page(u(1), "same")] * 3, readers.RESPONSES)
+    got = scan.flagged_results(responses.withColumn("depth", F.lit(0)).withColumn("target", F.lit("t"))).collect()
+    assert sorted(r.is_duplicate_signature for r in got) == [False, True, True]
 
 
 def test_externals(spark):
