@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,10 +164,6 @@ def learn(docs: DataFrame, lang_column: str = "lang", id_column: str = "doc_id",
     return Model(languages, np.log(grams / grams.sum(axis=0)).astype(np.float32), possible)
 
 
-def _has_letter(text: str | None) -> bool:
-    return text is not None and any(c.isalpha() for c in text)
-
-
 def _labels(batch: pa.RecordBatch, model: Model, switch: float, text_column: str = "text"):
     """For each row of a batch its language and score, and of its words the first in the batch and the labels."""
     rows, size = batch.num_rows, len(model.languages)
@@ -185,12 +182,9 @@ def _labels(batch: pa.RecordBatch, model: Model, switch: float, text_column: str
     row = np.repeat(np.arange(rows), counts)
     share = np.bincount(row * size + path, weights=np.concatenate(letters), minlength=rows * size).reshape(-1, size)
     total = share.sum(axis=1)
-    known = total > 0
-    # Bytes beyond ASCII count as letters above; without ASCII letters the characters themselves are asked.
-    text = batch.column(text_column)
-    for i in np.flatnonzero(known):
-        if total[i] < 64 and not _has_letter(text[int(i)].as_py()):
-            known[i] = False
+    # All bytes beyond ASCII count as letters above, so the characters are asked as well; the first letter answers.
+    letter = pc.match_substring_regex(batch.column(text_column), r"\p{L}").fill_null(False)
+    known = (total > 0) & letter.to_numpy(zero_copy_only=False)
     score = np.where(known, (share.max(axis=1) + 1) / (total + size), 0.0)
     return [model.languages[p] if k else NONE for p, k in zip(share.argmax(axis=1).tolist(), known.tolist())], score, first, path
 

@@ -295,13 +295,13 @@ def test_language(spark, empty):
         return " ".join("".join(RANDOM.choice(letters) for _ in range(5)) for _ in range(n))
 
     rows = [(i, sentence("abcde" if i % 2 else "vwxyz", 40), "aa" if i % 2 else "zz") for i in range(60)]
-    rows += [(100, None, None), (101, "", "aa"), (102, "12 34 !", "aa"), (103, "—", "zz"), (104, sentence("абв", 20), "ru"), (None, "abc", "aa")]
+    rows += [(100, None, None), (101, "", "aa"), (102, "12 34 !", "aa"), (103, "—", "zz"), (106, "— … " * 500, "zz"), (104, sentence("абв", 20), "ru"), (None, "abc", "aa")]
     rows += [(105, sentence("abcde", 30) + " " + sentence("vwxyz", 20), None)]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("spans", F.lit(1))
     model = language.learn(table)
     got = {r.doc_id: r for r in language.identify(table, model).collect()}
     assert all(got[i].lang_pred == lang for i, _, lang in rows[:60])
-    assert [(got[i].lang_pred, got[i].score) for i in (100, 101, 102, 103)] == [("und", 0.0)] * 4
+    assert [(got[i].lang_pred, got[i].score) for i in (100, 101, 102, 103, 106)] == [("und", 0.0)] * 5
     assert got[104].lang_pred == "ru" and got[105].lang_pred == "aa"
     assert [(s.first, s.last, s.lang) for s in got[105].spans] == [(0, 30, "aa"), (30, 50, "zz")]
     kept = language.with_language(table, model)
