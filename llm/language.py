@@ -33,6 +33,7 @@ SAMPLE = 20_000
 SWITCH = 8.0
 WORST = 6.0  # a word counts at most this much against a language
 SHORT = 8
+SLICE = 2 << 20  # bytes of text whose words are scored at a time
 NONE = "und"
 # Lead-byte ranges of scripts in UTF-8: fixed values.
 SCRIPTS = [
@@ -137,7 +138,7 @@ def learn(docs: DataFrame, lang_column: str = "lang", id_column: str = "doc_id",
         sums: dict[str, np.ndarray] = {}
         width = BUCKETS + len(SCRIPTS)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SLICE):
                 found = words(piece.column("text"), lower=True)
                 grams, first, letters, script = _features(found)
                 own = _whole(found)
@@ -169,18 +170,16 @@ def _labels(batch: pa.RecordBatch, model: Model, switch: float, text_column: str
     rows, size = batch.num_rows, len(model.languages)
     if not size:
         return [NONE] * rows, np.zeros(rows), np.zeros(rows + 1, np.int64), np.zeros(0, np.uint8)
-    scores, letters, counts = [np.zeros((0, size), np.float32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for piece in slices(batch, text_column):
+    share, counts, path = [np.zeros((0, size))], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+    for piece in slices(batch, text_column, SLICE):
         found = words(piece.column(text_column), lower=True)
-        own, n = word_scores(found, model)
-        scores.append(own)
-        letters.append(n)
+        scores, letters = word_scores(found, model)
+        best = viterbi(scores, found.first, switch)
+        share.append(np.bincount(found.row * size + best, weights=letters, minlength=piece.num_rows * size).reshape(-1, size))
         counts.append(np.diff(found.first))
-    counts = np.concatenate(counts)
-    first = np.concatenate([[0], np.cumsum(counts)])
-    path = viterbi(np.concatenate(scores), first, switch)
-    row = np.repeat(np.arange(rows), counts)
-    share = np.bincount(row * size + path, weights=np.concatenate(letters), minlength=rows * size).reshape(-1, size)
+        path.append(best)
+    share, path = np.concatenate(share), np.concatenate(path)
+    first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
     total = share.sum(axis=1)
     # All bytes beyond ASCII count as letters above, so the characters are asked as well; the first letter answers.
     letter = pc.match_substring_regex(batch.column(text_column), r"\p{L}").fill_null(False)
