@@ -233,5 +233,14 @@ REPORT_HEADER = [
 # Fixed value: body encodings tried for titles, in order.
 TITLE_ENCODINGS = ["utf-8", "gbk", "gb2312", "utf-16"]
 
-# A starter table of public suffixes; callers pass their own for real scans.
-PUBLIC_SUFFIXES = ["com", "net", "org", "co.uk", "com.cn"]
+# Public suffixes as rules, in the notation of the public list (``*`` a label, ``!`` an exception) plus
+# ``?`` for a character.  ``*`` alone is the list's own default: the last label of an unlisted name is its suffix.
+# A generic label below a country code is taken as a suffix everywhere, which only narrows a scope where the list
+# lacks it; callers pass the full list to be exact, and suffixes of hosting services if they count as separate owners.
+PUBLIC_SUFFIXES = [
+    "*", "com", "net", "org", "edu", "gov", "mil", "int", "info", "biz", "??",
+    *(f"{label}.??" for label in ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "mil", "ne", "net", "nom", "or", "org", "sch")),
+    "ltd.uk", "me.uk", "nhs.uk", "plc.uk", "police.uk", "ad.jp", "ed.jp", "gr.jp", "lg.jp", "id.au", "asn.au", "re.kr", "pe.kr",
+    *(f"*.{name}" for name in ("bd", "ck", "er", "fk", "jm", "kh", "mm", "np", "pg")), "!www.ck",
+    *(rule for city in ("kawasaki", "kitakyushu", "kobe", "nagoya", "sapporo", "sendai", "yokohama") for rule in (f"*.{city}.jp", f"!city.{city}.jp")),
+]

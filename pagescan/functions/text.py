@@ -54,11 +54,16 @@ def decode_entities(text: Column) -> Column:
     simple = F.replace(simple, F.lit("&amp;"), F.lit("&"))
     names = {f"&{name}": chars for name, chars in html5.items()}
     table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    # Names the standard also knows without their semicolon; the longest that begins a token counts.
+    bare = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True))
+
+    def named(token: Column) -> Column:
+        known = F.regexp_extract(token, rf"^&(?:{bare})", 0)
+        return F.coalesce(table[token], F.concat(table[known], F.substr(token, F.length(known) + 1)), token)
+
     tokens = F.transform(
         all_matches(text, _ENTITY, 0),
-        lambda t: F.when(t.rlike("^&#[xX0-9]"), _code_point(t))
-        .when(t.rlike("^&[a-zA-Z]"), F.coalesce(table[t], t))
-        .otherwise(t),
+        lambda t: F.when(t.rlike("^&#[xX0-9]"), _code_point(t)).when(t.rlike("^&[a-zA-Z]"), named(t)).otherwise(t),
     )
     rare = text.rlike(r"&#(?!39;)|&(?!lt;|gt;|quot;|nbsp;|amp;)[a-zA-Z]")
     return F.when(~F.contains(text, F.lit("&")), text).when(rare, F.array_join(tokens, "")).otherwise(simple)
@@ -80,7 +85,9 @@ def title_of(html: Column) -> Column:
         F.contains(ahead, F.lit("<!--")) | F.contains(ahead, F.lit("<script")) | F.contains(ahead, F.lit("<style")),
         hide_inactive(html),
     ).otherwise(html)
-    raw = F.regexp_extract(visible, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1)
+    # Up to the last bracket every open tag closes, so the first one found is the one, without a second try.
+    closed = F.left(visible, F.length(visible) - F.length(F.substring_index(visible, ">", -1)))
+    raw = F.regexp_extract(closed, r"(?is)\A(?>.*?<title(?:\s[^>]*+)?+>)(.*?)</title\s*+>", 1)
     plain = F.when(raw.rlike(r"<[a-zA-Z/!]"), F.lit("")).otherwise(raw)
     return F.regexp_replace(strip(decode_entities(plain)), r"[\r\n]", "")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -250,20 +251,36 @@ def is_valid(url: Column) -> Column:
     )
 
 
+def any_suffix(rules: Iterable[str]) -> str:
+    """A regex for the suffixes that the rules make."""
+    rules = sorted(rule for rule in rules if not rule.startswith("!"))
+    wild = [rule for rule in rules if "*" in rule or "?" in rule]
+    parts = [re.escape(rule).replace(r"\*", "[^.]+").replace(r"\?", "[^.]") for rule in wild]
+    plain = any_word(rule for rule in rules if rule not in wild)
+    return f"(?:{'|'.join([plain, *parts])})" if parts else plain
+
+
 def registered_domain(url: Column, suffixes: Iterable[str]) -> Column:
     """Domain plus public suffix, found by the longest matching suffix.
 
     The suffix table becomes one regex that shares common beginnings; the
-    leftmost label it can start after belongs to the longest suffix.  An
+    leftmost label it can start after belongs to the longest suffix.  Rules may hold ``*`` for a
+    label and ``?`` for a character; ``!`` names a domain that is none of the
+    suffixes a rule makes; ``*`` alone makes the last label a suffix.  An
     address or a name without known suffix keeps an empty suffix, that is a
     trailing dot.
     """
-    known = any_word(sorted({s.lower() for s in suffixes}))
+    rules = {s.lower() for s in suffixes}
+    listed = any_suffix(rules - {"*"})
+    known = any_suffix(rules)
     name = host(url)
     found = F.regexp_extract(name, rf"(?i)(?:^|\.)([^.]*\.{known})$", 1)
+    named = sorted(rule[1:] for rule in rules if rule.startswith("!"))
+    excepted = F.regexp_extract(name, rf"(?i)(?:^|\.)({any_word(named)})$", 1) if named else F.lit("")
     return (
         F.when(name.rlike(_IPV4), F.concat(name, F.lit(".")))
-        .when(name.rlike(rf"(?i)^{known}$"), F.concat(F.lit("."), name))
+        .when(excepted != "", excepted)
+        .when(name.rlike(rf"(?i)^{listed}$"), F.concat(F.lit("."), name))
         .when(found != "", found)
         .otherwise(F.concat(F.substring_index(name, ".", -1), F.lit(".")))
     )

@@ -47,21 +47,18 @@ def single_target(spark: SparkSession, url: str) -> DataFrame:
     return spark.createDataFrame([(url,)], "url string")
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows over at least as many partitions as there are cores.
+def spread(rows: DataFrame, key: str, partitions: int) -> DataFrame:
+    """Rows dealt by key over so many partitions.
 
-    Page text costs far more to scan than to read.  A table of a few large row
-    groups would keep most cores idle, so it is spread by key once; a table
-    with enough splits is left as it is.
+    Page text costs far more to scan than to read, and a table of a few large row groups keeps
+    most cores idle.  This shuffles the text, so it is only for a caller who knows
+    the table to be one of these; others set ``spark.sql.files.maxPartitionBytes``.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.isStreaming or rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores, key)
+    return rows.repartition(partitions, key)
 
 
-def pages(spark: SparkSession, path: str, key: str = "page_id") -> DataFrame:
-    return spread(spark.read.parquet(path), key)
+def pages(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def responses_from_pages(captured: DataFrame, target: Column | None = None) -> DataFrame:
@@ -83,13 +80,23 @@ def responses_from_pages(captured: DataFrame, target: Column | None = None) -> D
     )
 
 
+def declared_charset(headers: Column) -> Column:
+    """The charset that a ``Content-Type`` header names, null if there is none."""
+    kind = F.map_filter(headers, lambda name, _: F.lower(name) == "content-type")
+    value = F.try_element_at(F.map_values(kind), F.lit(1))
+    return F.nullif(F.regexp_extract(value, r"""(?i)charset\s*=\s*["']?([^\s"';,]+)""", 1), F.lit(""))
+
+
 def decoded(responses: DataFrame) -> DataFrame:
-    """Responses with a binary ``body`` and ``charset`` turned into text.
+    """Responses with a binary ``body`` turned into text by ``charset`` or else by what their headers declare.
 
     ``content`` is what detection reads, ``link_text`` what links are looked for in.
     """
+    charset = F.nullif(F.col("charset"), F.lit(""))
+    if "headers" in responses.columns:
+        charset = F.coalesce(charset, declared_charset(F.col("headers")))
     texts = {
-        "content": decode_body(F.col("body"), F.col("charset")),
+        "content": decode_body(F.col("body"), charset),
         "link_text": text_for_links(F.col("body")),
     }
     return responses.withColumns(texts).drop("body", "charset")
@@ -100,7 +107,11 @@ def responses(spark: SparkSession, path: str, source: str = "parquet") -> DataFr
 
     Files hold the `RESPONSES` columns; a binary ``body`` with its ``charset``
     may take the place of ``content``.  What a file leaves out is null.
+    Files that name their columns and have no body are read without a decoding step.
     """
+    if source in ("parquet", "orc") and "body" not in spark.read.format(source).load(path).columns:
+        rows = spark.read.format(source).schema(RESPONSES).load(path)
+        return rows.withColumns({"original_url": F.coalesce("original_url", "url"), "link_text": F.col("content")})
     schema = StructType([*RESPONSES, StructField("body", BinaryType()), StructField("charset", StringType())])
     rows = spark.read.format(source).schema(schema).load(path)
     rows = rows.withColumn("original_url", F.coalesce("original_url", "url"))

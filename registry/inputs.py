@@ -72,7 +72,8 @@ def seeded_documents(plain: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), key)
+    # The given tables are single files of few row groups.
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), key, spark.sparkContext.defaultParallelism)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,10 @@ TITLES = [
     ("<title>&amp;lt;</title>", "&lt;"),
     ("<title>&copy;&amp;lt;</title>", "©&lt;"),
     ("<title>&#0;&#xD800;&#128512;</title>", "��😀"),
+    ("<title>&ampfoo &ltdiv &notit; &notin; &#128; &#x1000000000000041;</title>", "&foo <div ¬it; ∉ € �"),
+    ("<title>open <title >next", ""),
+    ("<title>a</title\n> <title b", "a"),
+    ("</title> <title x='>'>y</title>", "'>y"),
 ]
 
 
@@ -288,6 +292,22 @@ def test_responses_from_files(spark, tmp_path):
     assert row.content.startswith("标") and "标" not in row.link_text and row.status_code is None
 
 
+def test_charset_from_headers(spark, tmp_path):
+    """A declared charset counts where the row names none; files of ready text need no decoding."""
+    body = "标题".encode("gbk")
+    rows = spark.createDataFrame(
+        [(1, body, None, {"content-type": 'text/html; Charset="GBK"'}), (2, body, "utf-8", {"Content-Type": "text/html; charset=gbk"}),
+         (3, "é".encode(), "", {"Content-Type": "text/html"}), (4, "é".encode(), None, None)],
+        "depth int, body binary, charset string, headers map<string,string>",
+    )
+    got = {r.depth: r.content for r in readers.decoded(rows).collect()}
+    assert got[1] == "标题" and got[2] != "标题" and got[3] == got[4] == "é"
+    spark.createDataFrame([("http://a/", "x")], "url string, content string").write.parquet(str(tmp_path / "t"))
+    ready = readers.responses(spark, str(tmp_path / "t"))
+    assert (ready.first().content, ready.first().link_text, ready.first().original_url) == ("x", "x", "http://a/")
+    assert "_decode_declared(" not in ready._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_only_other_charsets_reach_python(spark):
     rows = spark.createDataFrame([(b"x", None)], "body binary, charset string")
     plan = readers.decoded(rows)._jdf.queryExecution().optimizedPlan().toString()

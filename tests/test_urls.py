@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pagescan import catalog
 from pagescan.functions import urls
 from pagescan.operators import links
 
@@ -171,6 +172,32 @@ def test_registered_domain(spark):
     assert [(r.url, r.got) for r in got] == DOMAINS
 
 
+DEFAULT_DOMAINS = [
+    ("http://a.example.de/", "example.de"),
+    ("http://b.other.de/", "other.de"),
+    ("http://w.gov.cn/", "w.gov.cn"),
+    ("http://x.w.gov.cn/", "w.gov.cn"),
+    ("http://a.example.io/", "example.io"),
+    ("http://a.example.co.jp/", "example.co.jp"),
+    ("http://a.example.com.br/", "example.com.br"),
+    ("http://me.github.io/", "github.io"),
+    ("http://a.b.example.unlisted/", "example.unlisted"),
+    ("http://a.b.c.ck/", "b.c.ck"),
+    ("http://x.www.ck/", "www.ck"),
+    ("http://a.b.kobe.jp/", "a.b.kobe.jp"),
+    ("http://a.city.kobe.jp/", "city.kobe.jp"),
+    ("http://com.br/", ".com.br"),
+    ("http://localhost/", "localhost."),
+    ("http://10.1.2.3/", "10.1.2.3."),
+]
+
+
+def test_registered_domain_by_default_rules(spark):
+    rows = spark.createDataFrame(DEFAULT_DOMAINS, "url string, expected string")
+    got = rows.select("url", urls.registered_domain(F.col("url"), catalog.PUBLIC_SUFFIXES).alias("got")).collect()
+    assert [(r.url, r.got) for r in got] == DEFAULT_DOMAINS
+
+
 def test_report_name(spark):
     rows = spark.createDataFrame([("http://a-b.example.com:80/x",), ("a_b.example.com:1",)], "url string")
     got = [r[0] for r in rows.select(urls.report_name(F.col("url"))).collect()]
