@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot if it holds more than 1/HOT_SHARE of the rows, so there are
-# fewer than HOT_SHARE hot keys however large the table is.
-HOT_SHARE = 1000
+# fewer than HOT_SHARE hot keys however large the table is: some 10 MB of URLs on the driver.
+HOT_SHARE = 100_000
 HOT_ROWS = 100_000
 
 
