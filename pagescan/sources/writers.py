@@ -20,10 +20,13 @@ def write_report(report: DataFrame, path: str, partition: str | None = None, ord
     """Overwrite a report: CSV with a header, the eleven report columns.
 
     ``partition`` names a column that gives one folder per value, ``order``
-    the columns that rows are sorted by (a range-partitioned sort).
+    the columns that rows are sorted by (a range-partitioned sort).  Rows are
+    sorted by folder first: a task then writes to few folders, only large folders get
+    several files, and the order holds inside each folder.
     """
-    rows = report.orderBy(*order) if order else report
     extra = [partition] if partition else []
+    by = [*extra, *order]
+    rows = report.orderBy(*by) if by else report
     writer = titled(rows, *extra).write.mode("overwrite").options(**_CSV)
     (writer.partitionBy(partition) if partition else writer).csv(path)
 
