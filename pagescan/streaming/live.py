@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,13 +21,15 @@ from pagescan.storage import Workspace
 
 
 def page_stream(spark: SparkSession, folder: str, schema: StructType | str, files: str = "*.parquet",
-                spread_by: str | None = None) -> DataFrame:
+                spread_by: str | None = None, max_files: int | None = None) -> DataFrame:
     """Captured pages as they arrive in a folder.
 
+    ``max_files`` bounds the files of one batch; what is more waits for the next.
     ``spread_by`` names a key to spread each batch by, for sources whose files
     are few and large; scanning text costs far more than reading it.
     """
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
+    stream = (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(folder)
     return stream if spread_by is None else stream.repartition(spark.sparkContext.defaultParallelism, spread_by)
 
 
@@ -37,13 +41,12 @@ def combined(rows: DataFrame, keys: list[str]) -> DataFrame:
     """
 
     def first_rows(batches):
+        names = [f"key{number}" for number in range(len(keys))]
         for batch in batches:
-            seen, kept = set(), []
-            for place, key in enumerate(zip(*[batch.column(k).to_pylist() for k in keys])):
-                if key not in seen:
-                    seen.add(key)
-                    kept.append(place)
-            yield batch.take(kept)
+            places = pa.array(range(batch.num_rows), pa.int64())
+            table = pa.table([*(batch.column(k) for k in keys), places], [*names, "place"])
+            firsts = table.group_by(names).aggregate([("place", "min")])["place_min"].combine_chunks()
+            yield batch.take(firsts.take(pc.sort_indices(firsts)))
 
     return rows.mapInArrow(first_rows, rows.schema)
 

@@ -484,7 +484,7 @@ ORACLES["route_expand"] = select(
      f"cands AS (SELECT DISTINCT page_id, url, {clean('raw')} AS c FROM raws)",
      f"rels AS (SELECT page_id, url, {ready('c', scheme('url'))} AS rel FROM cands WHERE c IS NOT NULL AND NOT contains(c, 'http'))",
      f"""variants AS (SELECT page_id, unnest([{resolve('url', 'rel')},
-    'https://example.com/melody/api/v1/' || ltrim(rel, '/'), 'https://example.com/' || ltrim(rel, '/'),
+    'https://example.com/gateway/api/v1/' || ltrim(rel, '/'), 'https://example.com/' || ltrim(rel, '/'),
     'https://example.com/#/' || ltrim(rel, '/')]) AS link, unnest([1, 2, 3, 4]) AS place, rel, url FROM rels)""",
      f"valid_variants AS (SELECT * FROM variants WHERE {valid('link')})",
      f"""cut AS (SELECT *, min(CASE WHEN {dangerous('link', catalog.DANGER_KEYWORDS)} THEN place END)
@@ -627,6 +627,19 @@ ORACLES["dup_content"] = select(
     """SELECT doc_id, target, signature,
     row_number() OVER (PARTITION BY target, signature ORDER BY doc_id) > 1 AS is_duplicate_signature FROM signed""",
 )
+ORACLES["dup_redirect"] = select(
+    [
+        responses(),
+        """moved AS (SELECT page_id, 't' AS target, (page_id % 2)::INT AS depth, url AS original_url, status_code, error_type, error_message,
+        CASE WHEN page_id % 5 = 1 THEN 'http://r.example.com/' || (page_id % 3) ELSE url END AS url,
+        CASE WHEN page_id % 10 = 1 THEN '<p>moved</p>' ELSE content END AS content FROM responses)""",
+        "twice AS (SELECT * FROM moved UNION ALL SELECT * FROM moved WHERE page_id % 11 = 0)",
+        f"records AS (SELECT *, {STATUS} AS status, length(content)::INT AS length FROM twice)",
+        SIGNED,
+    ],
+    """SELECT page_id, url, original_url, signature,
+    row_number() OVER (PARTITION BY target, signature ORDER BY depth, url, original_url) > 1 AS is_duplicate_signature FROM signed""",
+)
 ORACLES["live_rows"] = select(
     [responses(), RECORDS, SIGNED, FLAGGED],
     "SELECT target, url, depth, signature FROM flagged WHERE NOT is_duplicate_signature",
@@ -733,6 +746,11 @@ ORACLES["stream_dup_flag"] = select(
     [responses(), RECORDS, SIGNED],
     "SELECT target, signature, count(*) AS n, count(*) - 1 AS n_duplicates FROM signed GROUP BY target, signature",
 )
+ORACLES["stream_dup_untargeted"] = select(
+    [responses(), RECORDS, SIGNED],
+    """SELECT CASE WHEN page_id % 3 <> 0 THEN target END AS target, signature, count(*) AS n, count(*) - 1 AS n_duplicates
+    FROM signed GROUP BY ALL""",
+)
 ORACLES["stream_findings"] = select(
     [hits("documents", "doc_id", "text")], "SELECT doc_id, rule, len(samples)::INT AS count FROM hits"
 )

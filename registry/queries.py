@@ -38,7 +38,7 @@ ROUTES = ScanOptions(
     scope_mode=2,
     custom_base_urls=["https://example.com/"],
     path_routes=["/#/"],
-    api_routes=["/melody/api/v1", "/"],
+    api_routes=["/gateway/api/v1", "/"],
     extension_blacklist=[".css"],
     public_suffixes=SUFFIXES,
 )
@@ -451,6 +451,22 @@ def dup_content(spark, sf_dir):
     return dedup.flag_duplicates(rows, order=["doc_id"], key=["doc_id"])
 
 
+@query
+def dup_redirect(spark, sf_dir):
+    """Duplicate flags where redirects lead many requests to one URL and some pages were captured twice."""
+    i = F.col("page_id")
+    rows = responses(pages(spark, sf_dir))
+    rows = rows.withColumn("url", F.when(i % 5 == 1, F.concat(F.lit("http://r.example.com/"), i % 3)).otherwise(F.col("url")))
+    # Half of the redirected bodies are alike.
+    rows = rows.withColumn("content", F.when(i % 10 == 1, F.lit("<p>moved</p>")).otherwise(F.col("content")))
+    rows = rows.withColumns({"target": F.lit("t"), "depth": (i % 2).cast("int")})
+    twice = rows.unionByName(rows.where(i % 11 == 0))
+    signed = dedup.with_signature(results.result_records(twice, rules=[]))
+    signed = signed.select("page_id", "target", "depth", "url", "original_url", "signature", "status_code")
+    signed = Workspace(spark, "signed").write(signed, "rows")
+    return dedup.flag_duplicates(signed).select("page_id", "url", "original_url", "signature", "is_duplicate_signature")
+
+
 @query
 def live_rows(spark, sf_dir):
     flagged = scan.flagged_results(responses(pages(spark, sf_dir)), OPTIONS, rules=[])
@@ -542,9 +558,12 @@ def batch_summary(spark, sf_dir):
 # Streams
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return live.page_stream(spark, sf_dir, schema, f"{name}.parquet", spread_by=schema.names[0])
+def _stream(spark: SparkSession, sf_dir: str, name: str, batches: int = 4) -> DataFrame:
+    """A table as the files of several batches, one for each core in a batch."""
+    rows, width = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    space = Workspace(spark, "arriving")
+    space.write(rows.repartition(batches * width, rows.columns[0]), name)
+    return live.page_stream(spark, space.folder(name), rows.schema, max_files=width)
 
 
 @query
@@ -562,6 +581,17 @@ def stream_dup_flag(spark, sf_dir):
     )
 
 
+@query
+def stream_dup_untargeted(spark, sf_dir):
+    """Duplicate flags across batches where a part of the rows has no target."""
+    signed = dedup.with_signature(results.result_records(responses(_stream(spark, sf_dir, "pages")), rules=[]))
+    signed = signed.withColumn("target", F.when(F.col("page_id") % 3 != 0, F.col("target")))
+    flagged = live.run_flagged(signed.select("target", "depth", "url", "signature", "status_code"), Workspace(spark, "stream"))
+    return flagged.groupBy("target", "signature").agg(
+        F.count("*").alias("n"), F.sum(F.col("is_duplicate_signature").cast("bigint")).alias("n_duplicates")
+    )
+
+
 @query
 def stream_findings(spark, sf_dir):
     found = live.live_findings(_stream(spark, sf_dir, "documents").select("doc_id", "text"), "text")
