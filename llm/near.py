@@ -5,9 +5,11 @@ are one shingle.  Two documents are linked if 100 * intersection >= 75 * union.
 
 Equal sets are one vertex.  The others get `MINHASHES` minwise tokens.  Each of `TREES` independent
 trees branches the vertices by a chosen minwise token; a node of at most `NODE` vertices is
-compared exhaustively, a larger one is branched by the next chosen token, `DEPTH` times at most.  Two
-documents at 0.75 meet in a leaf of one tree with probability 0.75 to the power of its depth, so sixteen trees miss one of 4e9 such
-pairs at depth one and one of 430 at depth four.  Nodes that stay large hold documents with the same chosen tokens,
+compared exhaustively, a larger one is branched by `BRANCHES` further tokens, and each of these paths by one token more,
+`DEPTH` tokens at most.  Every step of every path has a token of its own; those beyond the first `MINHASHES` are
+made for vertices of large nodes only.  Two documents at 0.75 agree in a token with probability 0.75, so sixteen trees miss one of 4e9 such
+pairs if their nodes are small, and (1 - 0.75 * (1 - (1 - 0.75 ** 3) ** 3)) ** 16, one of 3e6, if all their nodes are
+branched down to depth four.  Nodes that stay large hold documents with the same chosen tokens,
 mostly one group of near copies; they are dealt at random into small blocks first, and what is not connected
 then is compared with the whole node, in chunks, by a product of incidence matrices over the full sets.
 
@@ -39,13 +41,15 @@ from pagescan.storage import Workspace
 SHINGLE = 5
 PERCENT = 75
 TREES = 16
-MINHASHES = 48
+BRANCHES = 3
+MINHASHES = 48  # places that are compared
 DEPTH = 4
+PLACES = TREES + TREES * BRANCHES * (DEPTH - 1)
 NODE = 48
 BLOCK = 24
 CHUNK, PART = 512, 2048
-# Pairs whose signatures agree in fewer places are no links: 4.8 standard deviations below 0.75.
-AGREE = 22
+# Pairs whose signatures agree in fewer places are no links: of pairs at 0.75, one of 4.7 million agrees in fewer.
+AGREE = 20
 _SET_BYTES = 6
 
 
@@ -75,8 +79,8 @@ def shingles(found: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
 def signatures(values: np.ndarray, offsets: np.ndarray, count: int = MINHASHES) -> np.ndarray:
     """Rows x count minwise tokens; rows without shingles get zeros."""
     random = np.random.default_rng(5)
-    factors = random.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    masks = random.integers(0, 1 << 63, count, dtype=np.uint64)
+    factors, masks = random.integers(0, 1 << 63, (PLACES, 2), dtype=np.uint64).T
+    factors = factors * np.uint64(2) + np.uint64(1)
     out = np.zeros((len(offsets) - 1, count), np.uint32)
     filled = np.flatnonzero(np.diff(offsets))
     if len(filled):
@@ -92,16 +96,19 @@ def _row_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words]]
             yield part, words(part.column("text"), lower=True)
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, found in _row_slices(batch):
-            values, offsets = shingles(found)
-            marks = signatures(values, offsets)
-            keys = [hashlib.blake2b(values[a:b], digest_size=16).hexdigest() if b > a else None for a, b in zip(offsets, offsets[1:])]
-            yield pa.record_batch({
-                "doc_id": part.column("doc_id"), "n_shingles": pa.array(np.diff(offsets), pa.int64()),
-                "set_key": pa.array(keys, pa.string()), "signature": pa.array([m.tobytes() for m in marks], pa.binary()),
-            })
+def _profiles(count: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, found in _row_slices(batch):
+                values, offsets = shingles(found)
+                marks = signatures(values, offsets, count)
+                keys = [hashlib.blake2b(values[a:b], digest_size=16).hexdigest() if b > a else None for a, b in zip(offsets, offsets[1:])]
+                yield pa.record_batch({
+                    "doc_id": part.column("doc_id"), "n_shingles": pa.array(np.diff(offsets), pa.int64()),
+                    "set_key": pa.array(keys, pa.string()), "signature": pa.array([m.tobytes() for m in marks], pa.binary()),
+                })
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,13 +138,13 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_())})
 
 
-def _token(tree: int, depth: int) -> int:
-    """The minwise token by which a tree branches at a depth; trees share none at one depth."""
-    return (tree + TREES * (depth % 3) + 5 * (depth // 3)) % MINHASHES
+def _token(path: int, depth: int) -> int:
+    """The minwise token by which a path (at depth 0: a tree) branches at a depth; no two share one."""
+    return path if depth == 0 else TREES + TREES * BRANCHES * (depth - 1) + path
 
 
-def _marks(batch: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, MINHASHES)
+def _marks(batch: pa.RecordBatch, count: int = MINHASHES) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, count)
 
 
 def _first_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +162,14 @@ def _deeper(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                tree = batch.column("tree").to_numpy()
-                chosen = np.array([_token(t, depth) for t in range(TREES)])[tree]
-                token = _marks(batch)[np.arange(len(tree)), chosen].astype(np.uint64)
-                node = mix(batch.column("node").to_numpy().view(np.uint64), token)
-                yield pa.record_batch({"tree": batch.column("tree"), "node": pa.array(node.view(np.int64)), "id": batch.column("id")})
+                marks, tree = _marks(batch, PLACES), batch.column("tree").to_numpy()
+                node = batch.column("node").to_numpy().view(np.uint64)
+                # The first step from a tree's root makes a path of each branch; a path goes on as one.
+                for branch in range(BRANCHES if depth == 1 else 1):
+                    path = tree + TREES * branch
+                    token = marks[np.arange(len(path)), _token(path, depth)].astype(np.uint64)
+                    next_ = mix(mix(node, path.astype(np.uint64)), token)
+                    yield pa.record_batch({"tree": pa.array(path, pa.int32()), "node": pa.array(next_.view(np.int64)), "id": batch.column("id")})
 
     return run
 
@@ -277,6 +287,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _PAIRS = "node bigint, a bigint, b bigint"
 _MEMBERS = "tree int, node bigint, id bigint"
+_PROFILES = "doc_id bigint, n_shingles bigint, set_key string, signature binary"
 
 
 class Join:
@@ -285,23 +296,29 @@ class Join:
     def __init__(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"):
         self.work = Workspace(docs.sparkSession, "near")
         self.rows = texts(docs, id_column, text_column)
-        self.profiles = self.work.write(
-            self.rows.mapInArrow(_profiles, "doc_id bigint, n_shingles bigint, set_key string, signature binary"), "profiles"
-        )
+        self.profiles = self.work.write(self.rows.mapInArrow(_profiles(MINHASHES), _PROFILES), "profiles")
         keys = self.profiles.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
         self.keys = self.work.write(keys, "keys")
-        ids = self.keys.select(F.col("id").alias("doc_id"), "set_key")
-        self.vertices = self.work.write(
-            self.profiles.join(ids, ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"]).select("doc_id", "signature"), "vertices"
-        )
+        self.vertices = self.work.write(self._first_of_sets(self.profiles), "vertices")
         self._steps = 0
 
+    def _first_of_sets(self, profiles: DataFrame) -> DataFrame:
+        """doc_id and signature of the vertices among the rows."""
+        ids = self.keys.select(F.col("id").alias("doc_id"), "set_key")
+        return profiles.join(ids, ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"]).select("doc_id", "signature")
+
     def _name(self, what: str) -> str:
         self._steps += 1
         return f"{what}{self._steps}"
 
-    def _signed(self, members: DataFrame) -> DataFrame:
-        return members.join(self.vertices.withColumnRenamed("doc_id", "id"), "id")
+    def _signed(self, members: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
+        vertices = self.vertices if vertices is None else vertices
+        return members.join(vertices.withColumnRenamed("doc_id", "id"), "id")
+
+    def _all_places(self, members: DataFrame) -> DataFrame:
+        """doc_id and the signature of `PLACES` tokens of the members."""
+        rows = self.rows.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        return self.work.write(self._first_of_sets(rows.mapInArrow(_profiles(PLACES), _PROFILES)), "places")
 
     def _by_node(self, members: DataFrame, run) -> DataFrame:
         count = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -320,7 +337,9 @@ class Join:
             if depth < DEPTH:
                 if sizes.where(F.col("count") > NODE).isEmpty():
                     return small, large.where("false")
-                members = self._signed(large.drop("count")).select("tree", "node", "id", "signature").mapInArrow(_deeper(depth), _MEMBERS)
+                if depth == 1:
+                    places = self._all_places(large)
+                members = self._signed(large.drop("count"), places).select("tree", "node", "id", "signature").mapInArrow(_deeper(depth), _MEMBERS)
         return small, large
 
     def confirm(self, pairs: DataFrame) -> DataFrame:

@@ -151,6 +151,29 @@ def test_near_splits_large_groups(spark, monkeypatch):
     assert got == label
 
 
+def test_near_finds_pairs_in_a_templated_group(spark, monkeypatch):
+    """Documents of one template (0.54 alike) and pairs among them at 0.754: with every node branched no pair is lost."""
+    own = random.Random(2)
+
+    def fresh(n):
+        return " ".join(f"w{own.randrange(10**9)}" for _ in range(n))
+
+    template, rows = fresh(145), []
+    for pair in range(20):
+        mine = fresh(31)
+        rows += [(2 * pair + k, f"{template} {mine} {fresh(28)}") for k in range(2)]
+    monkeypatch.setattr(near, "NODE", 1)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in near.classes(table).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_near_steps_share_no_token():
+    steps = [near._token(t, 0) for t in range(near.TREES)]
+    steps += [near._token(p, d) for d in range(1, near.DEPTH) for p in range(near.TREES * near.BRANCHES)]
+    assert sorted(steps) == list(range(near.PLACES))
+
+
 def test_common():
     sets = [np.array(sorted(RANDOM.sample(range(60), RANDOM.randint(1, 40))), np.uint64) for _ in range(12)]
     got = near.common(sets[:5], sets[5:])
