@@ -11,6 +11,9 @@ segment.  A minimizer that only one document has settles its windows; the segmen
 of all others go to the shard of their minimizer, where the index holds each distinct segment once,
 with its smallest id.  What a batch of documents repeats is combined before it is shuffled, on both ways, so a passage that a
 third of all documents share costs a row for each batch.  A task builds its index over `SYMBOLS` words at a time.
+A minimizer whose segments hold more words than that, as at the border of a passage that many documents have between
+words of their own, is hot: its segments are cut into single windows, which are dealt by their own hash.  These are counted before, from the
+minimizers with `REPORTED` segments or more in a piece of `PIECE` bytes of text.
 
 The text is shuffled once, by id, for the segments and for the result.  Words are told apart by 64-bit hashes on the
 way and by 32 of these bits inside an index, where a mix-up would need twelve equal words around it.
@@ -37,6 +40,8 @@ WINDOW = 13
 SEED = 5  # words whose hash can be a minimizer
 LONGEST = 256  # windows of a segment
 SYMBOLS = 2_000_000
+REPORTED = 4
+PIECE = 16 << 20
 
 
 class FmIndex:
@@ -165,7 +170,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with their seed, take no place of their own.
     """
     for batch in batches:
-        for piece in slices(batch, "text", 16 << 20):
+        for piece in slices(batch, "text", PIECE):
             seeds, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for part in slices(piece, "text"):
                 seed, row, _, _ = segments(words(part.column("text")))
@@ -202,15 +207,41 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list(F.coalesce("seed", own)).alias("seeds"))
 
 
-def _chosen(piece: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The segments of the rows whose minimizer is among the row's seeds."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words in the segments of each minimizer (upper bits) that a piece repeats."""
+    for batch in batches:
+        for piece in slices(batch, "text", PIECE):
+            seeds, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for part in slices(piece, "text"):
+                seed, _, _, count = segments(words(part.column("text")))
+                seeds.append(_short(seed))
+                sizes.append(count + WINDOW - 1)
+            seed, which, times = np.unique(np.concatenate(seeds), return_inverse=True, return_counts=True)
+            total = np.bincount(which, weights=np.concatenate(sizes), minlength=len(seed)).astype(np.int64)
+            often = times >= REPORTED
+            yield pa.record_batch({"seed": pa.array(seed[often]), "n": pa.array(total[often])})
+
+
+def hot_minimizers(docs: DataFrame) -> np.ndarray:
+    """The minimizers (upper bits) of more than `SYMBOLS` words; at most all words / `SYMBOLS` of them."""
+    counted = docs.select("text").mapInArrow(_counted, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
+    return np.array(sorted(row["seed"] for row in counted.where(F.col("n") > SYMBOLS).select("seed").collect()), np.int64)
+
+
+def _chosen(piece: pa.RecordBatch, hot: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The segments of the rows whose minimizer is among the row's seeds, and which are single windows of a hot one."""
     found = words(piece.column("text"))
     seed, row, first, count = segments(found)
     seed, own = _short(seed), piece.column("seeds")
     owner = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy(zero_copy_only=False))
     wanted = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + (owner << 32)
     keep = np.isin(seed + (row << 32), wanted)
-    return found, seed[keep], row[keep], first[keep], count[keep]
+    seed, row, first, count = seed[keep], row[keep], first[keep], count[keep]
+    cut = np.isin(seed, hot)
+    times = np.where(cut, count, 1)
+    inside = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    count = np.where(cut, 1, count)
+    return found, np.repeat(seed, times), np.repeat(row, times), np.repeat(first, times) + inside, np.repeat(count, times), np.repeat(cut, times)
 
 
 def _keys(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -228,38 +259,46 @@ def _codes(found: Words, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarr
     return ragged((found.hashes() >> np.uint64(32)).astype(np.uint32), first, sizes), sizes
 
 
-def _to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_shards(hot: np.ndarray):
     """Each distinct segment of a piece with its smallest id and, if others have it too, its largest."""
-    for batch in batches:
-        for piece in slices(batch, "text", 8 << 20):
-            found, seed, row, first, count = _chosen(piece)
-            codes, sizes = _codes(found, first, count)
-            if not len(sizes):
-                continue
-            keys, doc = _keys(codes, sizes), piece.column("doc_id").to_numpy()[row]
-            order = np.lexsort((doc, keys))
-            begin = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-            one, low = order[begin], doc[order[begin]]
-            high = doc[order[np.append(begin[1:], len(order)) - 1]]
-            starts = np.cumsum(sizes) - sizes
-            packed = ragged(codes, starts[one], sizes[one]).astype("<u4").tobytes()
-            offsets = np.concatenate([[0], np.cumsum(sizes[one] * 4)]).astype(np.int32)
-            yield pa.record_batch({
-                "shard": pa.array(seed[one]), "low": pa.array(low), "high": pa.array(high, mask=high == low),
-                "codes": pa.BinaryArray.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]),
-            })
-
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text", 8 << 20):
+                found, seed, row, first, count, cut = _chosen(piece, hot)
+                codes, sizes = _codes(found, first, count)
+                if not len(sizes):
+                    continue
+                keys, doc = _keys(codes, sizes), piece.column("doc_id").to_numpy()[row]
+                order = np.lexsort((doc, keys))
+                begin = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+                one, low = order[begin], doc[order[begin]]
+                high = doc[order[np.append(begin[1:], len(order)) - 1]]
+                starts = np.cumsum(sizes) - sizes
+                packed = ragged(codes, starts[one], sizes[one]).astype("<u4").tobytes()
+                offsets = np.concatenate([[0], np.cumsum(sizes[one] * 4)]).astype(np.int32)
+                yield pa.record_batch({
+                    "shard": pa.array(np.where(cut, keys.view(np.int64), seed)[one]), "low": pa.array(low), "high": pa.array(high, mask=high == low),
+                    "codes": pa.BinaryArray.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]),
+                })
+
+    return run
+
+
+def _occurrences(hot: np.ndarray):
     """Where each segment is: doc_id, version (hash) of its text, first word, and its key."""
-    for batch in batches:
-        for piece in slices(batch, "text", 8 << 20):
-            found, _, row, first, count = _chosen(piece)
-            keys = _keys(*_codes(found, first, count))
-            yield pa.record_batch({
-                "doc_id": piece.column("doc_id").take(pa.array(row)), "version": piece.column("version").take(pa.array(row)),
-                "first": pa.array((first - found.first[row]).astype(np.int32)), "key": pa.array(keys.view(np.int64)),
-            })
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text", 8 << 20):
+                found, _, row, first, count, _ = _chosen(piece, hot)
+                keys = _keys(*_codes(found, first, count))
+                yield pa.record_batch({
+                    "doc_id": piece.column("doc_id").take(pa.array(row)), "version": piece.column("version").take(pa.array(row)),
+                    "first": pa.array((first - found.first[row]).astype(np.int32)), "key": pa.array(keys.view(np.int64)),
+                })
+
+    return run
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,19 +361,24 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
-def remove(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text (the kept words, joined by a space) of every row with an id."""
-    rows = texts(docs, id_column, text_column).withColumn("version", F.hash("text"))
-    shared = rows.join(candidates(rows.select("doc_id", "text")), "doc_id")
-    shards = shared.mapInArrow(_to_shards, "shard bigint, low bigint, high bigint, codes binary")
+def sharded(shared: DataFrame, hot: np.ndarray) -> DataFrame:
+    """shard, codes, low and high of each distinct segment, each shard in one partition."""
+    shards = shared.mapInArrow(_to_shards(hot), "shard bigint, low bigint, high bigint, codes binary")
     # Grouped where it is: the shards are the partitions by the column.
-    distinct = (
+    return (
         shards.repartition("shard").groupBy("shard", "codes")
         .agg(F.min("low").alias("low"), F.max(F.coalesce("high", "low")).alias("high"))
         .sortWithinPartitions("shard")
     )
-    answers = distinct.mapInArrow(_indexed, "key bigint, firsts array<bigint>")
-    places = shared.mapInArrow(_occurrences, "doc_id bigint, version int, first int, key bigint")
+
+
+def remove(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed and kept_text (the kept words, joined by a space) of every row with an id."""
+    rows = texts(docs, id_column, text_column).withColumn("version", F.hash("text"))
+    shared = rows.join(candidates(rows.select("doc_id", "text")), "doc_id")
+    hot = hot_minimizers(rows)
+    answers = sharded(shared, hot).mapInArrow(_indexed, "key bigint, firsts array<bigint>")
+    places = shared.mapInArrow(_occurrences(hot), "doc_id bigint, version int, first int, key bigint")
     at = F.filter(
         F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("first") + i)), lambda p: p.isNotNull()
     )
