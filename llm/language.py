@@ -10,7 +10,8 @@ document's language is the one with most letters, the score its part of them, sm
 Learning takes at most about `SAMPLE` labelled rows, drawn evenly by the hash of their ids; the model is
 `BUCKETS` numbers for each language.  Prediction covers every row and every word.
 
-A text without a letter, null or empty, is ``und`` with score 0, and so is every text if nothing could be learned.
+A text without a letter, null or empty, is ``und`` with score 0, and so is every text if nothing could be learned;
+`with_language` then keeps the texts with a letter.
 Rows without an id are left out, repeated rows give repeated results, an empty table an empty one.
 """
 
@@ -165,6 +166,10 @@ def learn(docs: DataFrame, lang_column: str = "lang", id_column: str = "doc_id",
     return Model(languages, np.log(grams / grams.sum(axis=0)).astype(np.float32), possible)
 
 
+def _lettered(column: pa.Array) -> pa.Array:
+    return pc.match_substring_regex(column, r"\p{L}").fill_null(False)
+
+
 def _labels(batch: pa.RecordBatch, model: Model, switch: float, text_column: str = "text"):
     """For each row of a batch its language and score, and of its words the first in the batch and the labels."""
     rows, size = batch.num_rows, len(model.languages)
@@ -182,8 +187,7 @@ def _labels(batch: pa.RecordBatch, model: Model, switch: float, text_column: str
     first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
     total = share.sum(axis=1)
     # All bytes beyond ASCII count as letters above, so the characters are asked as well; the first letter answers.
-    letter = pc.match_substring_regex(batch.column(text_column), r"\p{L}").fill_null(False)
-    known = (total > 0) & letter.to_numpy(zero_copy_only=False)
+    known = (total > 0) & _lettered(batch.column(text_column)).to_numpy(zero_copy_only=False)
     score = np.where(known, (share.max(axis=1) + 1) / (total + size), 0.0)
     return [model.languages[p] if k else NONE for p, k in zip(share.argmax(axis=1).tolist(), known.tolist())], score, first, path
 
@@ -218,10 +222,13 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
 
 
 def with_language(docs: DataFrame, model: Model, text_column: str = "text", switch: float = SWITCH) -> DataFrame:
-    """The documents, all columns, whose text has a language; the rows stay where they are."""
+    """The documents, all columns, whose text has a language (or a letter, if none was learned); the rows stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not model.languages:
+                yield batch.filter(_lettered(batch.column(text_column)))
+                continue
             names, _, _, _ = _labels(batch, model, switch, text_column)
             yield batch.filter(pa.array([name != NONE for name in names], pa.bool_()))
 
