@@ -104,7 +104,7 @@ def _profiles(count: int):
                 marks = signatures(values, offsets, count)
                 keys = [hashlib.blake2b(values[a:b], digest_size=16).hexdigest() if b > a else None for a, b in zip(offsets, offsets[1:])]
                 yield pa.record_batch({
-                    "doc_id": part.column("doc_id"), "n_shingles": pa.array(np.diff(offsets), pa.int64()),
+                    "doc_id": part.column("doc_id"), "version": part.column("version"), "n_shingles": pa.array(np.diff(offsets), pa.int64()),
                     "set_key": pa.array(keys, pa.string()), "signature": pa.array([m.tobytes() for m in marks], pa.binary()),
                 })
 
@@ -287,7 +287,11 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _PAIRS = "node bigint, a bigint, b bigint"
 _MEMBERS = "tree int, node bigint, id bigint"
-_PROFILES = "doc_id bigint, n_shingles bigint, set_key string, signature binary"
+_PROFILES = "doc_id bigint, version bigint, n_shingles bigint, set_key string, signature binary"
+
+
+def _version(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 class Join:
@@ -295,7 +299,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"):
         self.work = Workspace(docs.sparkSession, "near")
-        self.rows = texts(docs, id_column, text_column)
+        self.rows = texts(docs, id_column, text_column).withColumn("version", _version(F.col("text")))
         self.profiles = self.work.write(self.rows.mapInArrow(_profiles(MINHASHES), _PROFILES), "profiles")
         keys = self.profiles.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
         self.keys = self.work.write(keys, "keys")
@@ -399,24 +403,26 @@ class Join:
         filled = cells.join(self.sets.withColumnRenamed("doc_id", "id"), "id")
         return self.work.write(self._by_node(filled, _across).select("a", "b").distinct(), self._name("outsiders"))
 
-    def classes(self) -> DataFrame:
-        """doc_id, n_shingles, component_id (smallest id reachable), kept of every row with an id."""
+    def verdicts(self) -> DataFrame:
+        """doc_id, version (hash of the text), n_shingles, component_id (smallest id reachable), kept of every row with an id."""
         labels = self.work.write(components(self.links()), self._name("labels"))
         keys = self.keys.join(labels, "id", "left").select("set_key", F.coalesce("label", "id").alias("component"))
         keys = self.work.write(keys, self._name("classes"))
-        out = self.profiles.select("doc_id", "n_shingles", "set_key").join(keys, "set_key", "left")
-        out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        out = self.profiles.select("doc_id", "version", "n_shingles", "set_key").join(keys, "set_key", "left")
+        out = out.select("doc_id", "version", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row with an id."""
-    return Join(docs, id_column, text_column).classes()
+    return Join(docs, id_column, text_column).verdicts().drop("version")
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents, all columns, that have the smallest id of their component; rows without an id stay."""
-    dropped = classes(docs, id_column, text_column).where("not kept").select(F.col("doc_id").alias("_dropped"))
-    # An id with texts of its own component and of another stays if one of its rows is kept.
-    dropped = Workspace(docs.sparkSession, "near").write(dropped.distinct(), "dropped")
-    return docs.join(dropped, F.col(id_column).cast("bigint") == F.col("_dropped"), "left_anti")
+    dropped = Join(docs, id_column, text_column).verdicts().where("not kept")
+    # Of an id with several texts only those go that are not kept.
+    dropped = dropped.select(F.col("doc_id").alias("_dropped"), F.col("version").alias("_version")).distinct()
+    dropped = Workspace(docs.sparkSession, "near").write(dropped, "dropped")
+    version = _version(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
+    return docs.join(dropped, (F.col(id_column).cast("bigint") == F.col("_dropped")) & (version == F.col("_version")), "left_anti")
