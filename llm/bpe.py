@@ -55,14 +55,14 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     hidden = [b for b in range(256) if b not in shown]
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class _Cache(dict):
+class Cache(dict):
     """Ids (little-endian 32-bit) by word; emptied when full."""
 
     def __init__(self, make, limit: int):
@@ -85,7 +85,7 @@ class Codec:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
-        byte = _byte_letters()
+        byte = byte_letters()
 
         def raw(token: str) -> bytes:
             end = token.endswith(END)
@@ -106,7 +106,7 @@ class Codec:
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self._openings = {s.encode()[:2] for s in self.special}
         self.table = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(True))]
-        self._words = _Cache(self._by_library, WORDS)
+        self._words = Cache(self._by_library, WORDS)
         self._empty_pool()
 
     @staticmethod

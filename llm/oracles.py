@@ -102,4 +102,155 @@ FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') AS
 WINDOW same AS (PARTITION BY t)
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_fingerprints": OP2, "op6_near_dedup": OP6, "op7_exact_dedup": OP7}
+
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte, reflected polynomial."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return table
+
+
+_CRC = (
+    f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(k, ''), lambda c: ascii(c))), "
+    f"lambda s, b: xor(s >> 8, {_crc_table()}[xor(s, b) % 256 + 1])), 4294967295)"
+)
+_BLANKS = r"[\x20\x09-\x0D]"
+# Costs to go before position p, by state of the grammar: 0 nothing yet, 1 after system, 2 after user, 3 after assistant.
+_X = "(sign = 'x')"
+_EXTRA = "CASE WHEN sign BETWEEN 'A' AND 'Z' THEN 5 ELSE 0 END"
+
+
+def _kept(state: int) -> str:
+    ways = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[state]
+    cases = " ".join(f"WHEN lower(sign) = '{initial}' THEN c{to} + {_EXTRA}" for initial, to in ways.items())
+    return f"CASE {cases} ELSE 1000000 END"
+
+
+def _rerole(state: int) -> str:
+    return f"CASE WHEN {_X} THEN 1000000 ELSE 1 + c{3 if state == 2 else 2} + {_EXTRA} END"
+
+
+def _taken(state: int) -> str:
+    return f"least(2 + c{state}, {_kept(state)}, {_rerole(state)})"
+
+
+_HERE = "c.c0, c.c1, c.c2, c.c3"
+OP11 = f"""
+WITH RECURSIVE crc AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations
+),
+kinds AS (SELECT *, {_CRC} % 20 AS kind FROM crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) FROM kinds WHERE kind <> 0)
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS p, left(role, 1) AS initial,
+    regexp_replace(text, '{_BLANKS}+$', '') AS t
+  FROM damaged
+),
+signed AS (
+  SELECT conv_id, turn, role, text, p, initial,
+    CASE WHEN t = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    CASE WHEN t = '' OR again THEN 'x' WHEN right(t, 1) IN ('.', '!', '?') THEN r ELSE upper(r) END AS sign,
+    p > 1 AND lag(initial) OVER (PARTITION BY conv_id ORDER BY p) || initial NOT IN ('su', 'ua', 'au') AS illegal
+  FROM (
+    SELECT *, CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END AS r,
+      row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS again
+    FROM ranked
+  )
+),
+counts AS (
+  SELECT conv_id, count(*) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM signed GROUP BY conv_id
+),
+costs(conv_id, p, c0, c1, c2, c3) AS (
+  SELECT conv_id, n + 1, 0, 10, 5, 0 FROM counts
+  UNION ALL
+  SELECT conv_id, p, least(t0, 5 + t2, 10 + t3), least(t1, 5 + t2, 10 + t3), least(t2, 5 + t3), least(t3, 5 + t2)
+  FROM (
+    SELECT c.conv_id, s.p, {', '.join(f'{_taken(i)} AS t{i}' for i in range(4))}
+    FROM costs c JOIN signed s ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.p = c.p - 1
+  )
+),
+walk(conv_id, p, state, audit, lines) AS (
+  SELECT conv_id, CAST(1 AS BIGINT), 0, '', CAST([] AS VARCHAR[]) FROM counts
+  UNION ALL
+  SELECT conv_id, CASE WHEN edit = 'I' THEN p ELSE p + 1 END,
+    CASE WHEN edit = 'D' THEN state WHEN edit = 'K' THEN CASE lower(sign) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END
+      WHEN state = 2 THEN 3 ELSE 2 END,
+    audit || edit,
+    CASE edit WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+      ELSE list_append(lines, CASE WHEN state = 2 THEN 'assistant:' ELSE 'user:' END || CASE WHEN edit = 'R' THEN text ELSE '' END) END
+  FROM (
+    SELECT w.*, s.sign, s.role, s.text,
+      CASE WHEN s.p IS NOT NULL AND 2 + [c0, c1, c2, c3][state + 1] = [b0, b1, b2, b3][state + 1] THEN 'D'
+        WHEN 5 + [b2, b2, b3, b2][state + 1] = [b0, b1, b2, b3][state + 1] THEN 'I'
+        WHEN CASE state {' '.join(f'WHEN {i} THEN {_kept(i)}' for i in range(4))} END = [b0, b1, b2, b3][state + 1] THEN 'K' ELSE 'R' END AS edit
+    FROM walk w
+    JOIN (SELECT conv_id, p, c0 AS b0, c1 AS b1, c2 AS b2, c3 AS b3 FROM costs) b ON b.conv_id IS NOT DISTINCT FROM w.conv_id AND b.p = w.p
+    LEFT JOIN costs c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.p = w.p + 1
+    LEFT JOIN signed s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.p = w.p
+    WHERE s.p IS NOT NULL OR w.state IN (1, 2)
+  )
+),
+last_ AS (
+  SELECT w.conv_id, w.audit, w.lines FROM walk w JOIN counts n ON n.conv_id IS NOT DISTINCT FROM w.conv_id
+  WHERE w.p = n.n + 1 AND w.state IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY length(w.audit) DESC) = 1
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(c.c0, 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN costs c ON c.conv_id IS NOT DISTINCT FROM o.conv_id AND c.p = 1
+LEFT JOIN last_ l ON l.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+def _round(number: int) -> str:
+    """Assign every vector to a centroid of the round before, and move the centroids."""
+    before = f"centroids{number - 1}"
+    return f"""
+assigned{number} AS (
+  SELECT id, vec_id, x, min_by(c, (list_sum(list_transform(list_zip(x, centre), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c)) AS c,
+    CAST(min(list_sum(list_transform(list_zip(x, centre), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS BIGINT) AS distance
+  FROM vectors, {before} GROUP BY id, vec_id, x
+),
+moved{number} AS (
+  SELECT c, list((s - ((s % n + n) % n)) // n ORDER BY place) AS centre FROM (
+    SELECT c, place, CAST(sum(value) AS BIGINT) AS s, count(*) AS n
+    FROM (SELECT c, unnest(x) AS value, unnest(range(1, 65)) AS place FROM assigned{number}) GROUP BY c, place
+  ) GROUP BY c
+),
+centroids{number} AS (SELECT c, coalesce(m.centre, b.centre) AS centre FROM {before} b LEFT JOIN moved{number} m USING (c))"""
+
+
+OP12 = f"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda v: CAST(floor(64 * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64
+),
+centroids0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), x) - 1 AS c, x AS centre
+  FROM vectors ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), x LIMIT 16
+),{','.join(_round(i) for i in (1, 2, 3, 4))}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(centre, ',')) AS centroid_sha256
+FROM assigned4 JOIN centroids3 USING (c)
+"""
+
+ORACLES = {
+    "op1_substring_dedup": OP1, "op2_fingerprints": OP2, "op6_near_dedup": OP6, "op7_exact_dedup": OP7,
+    "op11_conversation_repair": OP11, "op12_clusters": OP12,
+}

@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, each over its whole table."""
+"""The registered queries of the operators, each over its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, exact, fingerprints, language, near, packing, quality, secrets, sharding, substrings
+from llm import bisector, bpe, dialogue, exact, fingerprints, harmonic, language, near, packing, quality, secrets, sharding, substrings
 from llm.tables import bucket, documents
 
 THRESHOLD = 0.3  # of op8's prediction
@@ -17,6 +17,12 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substrings.remove(documents(spark, folder))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -73,10 +79,33 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(documents(spark, folder))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/conversations.parquet")
+    repair = dialogue.Repair(dialogue.damage(rows))
+    found = repair.summary().join(repair.digests().withColumnRenamed("conv_id", "_digested"), F.col("conv_id").eqNullSafe(F.col("_digested")), "left")
+    every = rows.select(F.col("conv_id").cast("bigint").alias("_conv")).distinct()
+    out = every.join(found, F.col("_conv").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(
+        F.col("_conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def op12_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    found = bisector.cluster(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_harmonic_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return harmonic.pack(documents(spark, folder), byte_tokenizer())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_fingerprints, op3_bpe, op4_secrets, op5_packing, op6_near_dedup,
-        op7_exact_dedup, op8_quality, op9_language, op10_sharding,
+        op7_exact_dedup, op8_quality, op9_language, op10_sharding, op11_conversation_repair, op12_clusters, op13_harmonic_packing,
     )
 }
