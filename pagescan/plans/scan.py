@@ -117,11 +117,10 @@ def scan(targets: DataFrame, responses: DataFrame, options: ScanOptions = ScanOp
     routed = space.write(
         routed_links(pages.select("original_url", "full", "resolved", "chunks"), options), "links"
     )
-    walked = walk.reachable(start, walk.edges_of(routed, options, "original_url"), options)
+    walked = walk.reachable(start, walk.edges_of(routed, options, "original_url"), options, budget=options.max_urls)
     kept, refused = walked, None
     if options.max_urls is not None:
-        asked = space.write(walk.within_budget(walked, options.max_urls).select("target", "url", "depth", "within_budget"), "asked")
-        kept, refused = (asked.where(test).drop("within_budget") for test in ("within_budget", "not within_budget"))
+        kept, refused = (walked.where(test).drop("request", "within_budget") for test in ("within_budget", "not within_budget"))
     kept = space.write(kept, "kept")
     signed = space.write(visited_results(kept, records, options), "results")
     results = flag_duplicates(signed, dedup_errors=options.dedup_errors)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagescan import catalog
 from pagescan.functions import urls
 from pagescan.functions.match import contains_any
+from pagescan.operators import filters
 from pagescan.operators.links import dispositions, link_sets, routed_links
 from pagescan.operators.ranking import numbered
 from pagescan.operators.results import placeholder_rows
@@ -15,7 +16,7 @@ from pagescan.operators.skew import HOT_ROWS, absent, balanced_join, hot_keys
 from pagescan.options import SCOPE_ALL, ScanOptions
 from pagescan.storage import Workspace
 
-_LEVEL = "target string, domain string, url string"
+_LEVEL = "target string, domain string, url string, request bigint, within_budget boolean"
 
 
 def seeds(targets: DataFrame) -> DataFrame:
@@ -68,14 +69,17 @@ def _inside(options: ScanOptions) -> Column:
 
 
 def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOptions(),
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+              hot_rows: int = HOT_ROWS, budget: int | None = None) -> DataFrame:
     """URLs each target's walk scans, with the depth of their first discovery.
 
-    All targets advance together, one level per round, down to ``max_depth``
-    (`within_budget` then cuts what exceeds the URL budget).  A start URL is scanned at depth 0
+    All targets advance together, one level per round, down to ``max_depth``.  A start URL is scanned at depth 0
     and once more if a page links to it.  With ``share_visited`` a URL belongs
     to the first target that finds it (lowest depth, then target).
 
+    With a ``budget`` each target has so many requests: the URLs of a level are numbered on from those of the levels
+    before, in URL order (``request``), and those past the budget are refused (``within_budget``): they count as
+    visited but nothing they link to is found through them.  What the black or white list refuses is no request.
+
     Each level is written to the shared folder, which cuts the plan and lets a
     lost executor read it again.  Hot sources and hot frontier URLs are cut
     into slices before the join.
@@ -86,6 +90,7 @@ def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOpt
     edges = edges.withColumnRenamed("src_url", "url")
     edges_hot = hot_keys(edges, "url", hot_rows)
     owner = ["url"] if options.share_visited else ["target", "url"]
+    ration = _Ration(space, budget, options)
 
     def level(depth: int) -> str:
         return space.folder(f"levels/depth={depth}")
@@ -97,9 +102,11 @@ def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOpt
     first = start.select(
         "target", urls.target_domain(F.col("target"), options.public_suffixes).alias("domain"), "url"
     )
-    first.write.mode("overwrite").parquet(level(0))
+    ration.numbered(first).write.mode("overwrite").parquet(level(0))
     for depth in range(1, options.max_depth + 1):
-        frontier = spark.read.schema(_LEVEL).parquet(level(depth - 1))
+        before = spark.read.schema(_LEVEL).parquet(level(depth - 1))
+        ration.spend(before, depth - 1)
+        frontier = before.where("within_budget").select("target", "domain", "url")
         if frontier.isEmpty():
             break
         # With shared visits a URL is in one frontier once.
@@ -112,8 +119,37 @@ def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOpt
         )
         if depth > 1:
             new = absent(new, levels().where(F.col("depth") > 0), owner)
-        new.select("by.target", "by.domain", "url").write.mode("overwrite").parquet(level(depth))
-    return levels().select("target", "url", "depth")
+        ration.numbered(new.select("by.target", "by.domain", "url")).write.mode("overwrite").parquet(level(depth))
+    return levels().select("target", "url", "depth", *([] if budget is None else ["request", "within_budget"]))
+
+
+class _Ration:
+    """What each target has spent of its budget so far."""
+
+    def __init__(self, space: Workspace, budget: int | None, options: ScanOptions):
+        self.space, self.budget, self.options = space, budget, options
+        self.spent: DataFrame | None = None
+
+    def numbered(self, rows: DataFrame) -> DataFrame:
+        """A level's rows with their request numbers; those past the budget are refused."""
+        if self.budget is None:
+            return rows.withColumns({"request": F.lit(None).cast("bigint"), "within_budget": F.lit(True)})
+        asks = filters.request_error(F.col("url"), self.options).isNull()
+        rows = numbered(rows.withColumn("_asks", asks), ["url"], ["target", "_asks"], "request")
+        request = F.col("request")
+        if self.spent is not None:
+            rows = rows.join(self.spent, "target", "left")
+            request = request + F.coalesce("spent", F.lit(0))
+        request = F.when(F.col("_asks"), request)
+        return rows.select("target", "domain", "url", request.alias("request"), (~F.col("_asks") | (request <= self.budget)).alias("within_budget"))
+
+    def spend(self, level: DataFrame, depth: int) -> None:
+        """Count the requests of a written level; one row per target."""
+        if self.budget is not None:
+            counts = level.groupBy("target").agg(F.max("request").alias("spent")).where("spent is not null")
+            if self.spent is not None:
+                counts = self.spent.unionByName(counts).groupBy("target").agg(F.max("spent").alias("spent"))
+            self.spent = self.space.write(counts, f"spent{depth}")
 
 
 def within_budget(rows: DataFrame, max_urls: int | None, by: list[str] = ["target"],

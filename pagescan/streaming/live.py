@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from pagescan.operators.dedup import ROW_KEY, flag_duplicates, with_signature
+from pagescan.operators.dedup import ROW_KEY, with_signature
 from pagescan.operators.detect import Rule, findings
 from pagescan.operators.links import page_links
 from pagescan.operators.results import result_records
@@ -19,6 +19,8 @@ from pagescan.options import ScanOptions
 from pagescan.sources.writers import titled
 from pagescan.storage import Workspace
 
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def page_stream(spark: SparkSession, folder: str, schema: StructType | str, files: str = "*.parquet",
                 spread_by: str | None = None, max_files: int | None = None) -> DataFrame:
@@ -99,60 +101,110 @@ def write_live_csv(stream: DataFrame, path: str, progress: str) -> StreamingQuer
     )
 
 
-def duplicate_flagger(space: Workspace, table: str = "flagged", key: list[str] = ROW_KEY) -> Callable:
-    """A foreachBatch function that flags duplicates across batches.
+def _whole_key(by: list[str]) -> Column:
+    """The columns as one text that is never null and tells null from any value."""
+    return F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+
+
+class _FirstOfKey(StatefulProcessor):
+    """Of the first rows that batches bring of a key, the first of all, now or in any earlier run."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "batch bigint", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        rows = sorted(rows, key=lambda row: row["batch"])
+        known = self.seen.exists()
+        if not known:
+            self.seen.update((rows[0]["batch"],))
+        for place, row in enumerate(rows):
+            yield Row(key=key[0], batch=row["batch"], row=row["row"], first=place == 0 and not known)
+
+    def close(self) -> None:
+        pass
+
 
-    Each batch is flagged by itself and against the signatures of earlier
-    batches.  Rows and new signatures go to one folder per batch, so a batch
-    that is run again overwrites what it wrote.
+class DuplicateFlags:
+    """Duplicate flags across the batches of a stream.
+
+    Two queries work hand in hand.  `arrivals` writes each batch of results once and, for every (target, signature) in it, its
+    first row by (depth, url, key, requested url, place): one row a signature, however many share it.  `flags` reads these first rows as a
+    stream of its own and asks a keyed state, one value for each target and signature, whether the signature is new; then it
+    joins the answers to the batch's rows.  What a batch costs depends on its own rows, not on those of earlier batches.
+
+    Batches go to folders named after them, so one that is run again overwrites what it wrote.  Rows count in
+    batches as in a scan; null targets and signatures are values of their own.  ``keep_ms`` forgets a signature after so long;
+    without it the state keeps every one.
     """
-    by = ["target", "signature"]
-    seen_schema = "target string, signature string, batch bigint"
-
-    def flag(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # Written first: flagging reads the rows twice, the pages are searched once.
-        batch.write.mode("overwrite").parquet(f"{space.folder('arrived')}/batch={batch_id}")
-        batch = spark.read.schema(batch.schema).parquet(f"{space.folder('arrived')}/batch={batch_id}")
-        flagged = flag_duplicates(batch, key=key)
-        if batch_id > 0:
-            earlier = (
-                spark.read.schema(seen_schema).option("basePath", space.folder("seen"))
-                .parquet(space.folder("seen")).where(F.col("batch") < batch_id)
-                .select(*by).distinct()
-            )
-            firsts = flagged.where(~F.col("is_duplicate_signature")).select(*key, *[b for b in by if b not in key])
-            earlier = earlier.select(*[F.col(b).alias(f"_seen_{b}") for b in by])
-            alike = None
-            for b in by:
-                test = F.col(b).eqNullSafe(F.col(f"_seen_{b}"))
-                alike = test if alike is None else alike & test
-            known = firsts.join(earlier, alike).select(*[F.col(k).alias(f"_{k}") for k in key], F.lit(True).alias("_known"))
-            same = None
-            for k in key:
-                test = F.col(k).eqNullSafe(F.col(f"_{k}"))
-                same = test if same is None else same & test
-            flagged = flagged.join(known, same, "left").select(
-                *batch.columns,
-                (F.col("is_duplicate_signature") | F.col("_known").isNotNull()).alias("is_duplicate_signature"),
-            )
-        flagged.write.mode("overwrite").parquet(f"{space.folder(table)}/batch={batch_id}")
-        written = spark.read.schema(flagged.schema).parquet(f"{space.folder(table)}/batch={batch_id}")
-        new = written.where(~F.col("is_duplicate_signature")).select(*by)
-        new.write.mode("overwrite").parquet(f"{space.folder('seen')}/batch={batch_id}")
-
-    return flag
-
-
-def run_flagged(results: DataFrame, space: Workspace, table: str = "flagged", key: list[str] = ROW_KEY) -> DataFrame:
+
+    def __init__(self, space: Workspace, key: list[str] = ROW_KEY, by: list[str] = ["target", "signature"], keep_ms: int | None = None):
+        self.space, self.key, self.by, self.keep_ms = space, key, by, keep_ms
+
+    def _batch(self, table: str, number: int | str) -> str:
+        return f"{self.space.folder(table)}/batch={number}"
+
+    def _arrive(self, batch: DataFrame, number: int) -> None:
+        rows = batch.withColumns({"_row": F.monotonically_increasing_id(), "_key": _whole_key(self.by)})
+        rows.write.mode("overwrite").parquet(self._batch("arrived", number))
+        stored = batch.sparkSession.read.schema(rows.schema).parquet(self._batch("arrived", number))
+        asked = ["original_url"] if "original_url" in batch.columns else []
+        order = list(dict.fromkeys(["depth", "url", *self.key, *asked, "_row"]))
+        firsts = stored.groupBy(F.col("_key").alias("key")).agg(F.min(F.struct(*[c for c in order if c in rows.columns])).alias("least"))
+        firsts = firsts.select("key", F.lit(number).cast("bigint").alias("batch"), F.col("least._row").alias("row"))
+        firsts.write.mode("overwrite").parquet(self._batch("firsts", number))
+
+    def _flag(self, schema: StructType, answers: DataFrame, number: int) -> None:
+        spark = answers.sparkSession
+        # Written first: the state is asked once, and the answers say which batches to read.
+        folder = self._batch("answers", number)
+        answers.write.mode("overwrite").parquet(folder)
+        answers = spark.read.schema(answers.schema).parquet(folder)
+        batches = sorted(r["batch"] for r in answers.select("batch").distinct().collect())
+        if not batches:
+            return
+        # Named one by one: neither the rows nor the list of earlier batches is read.
+        stored = StructType([*schema, StructField("_row", LongType()), StructField("_key", StringType()), StructField("batch", LongType())])
+        rows = spark.read.schema(stored).option("basePath", self.space.folder("arrived")).parquet(*[self._batch("arrived", b) for b in batches])
+        answers = answers.select("batch", F.col("key").alias("_key"), F.col("row").alias("_least"), "first")
+        duplicate = ~(F.col("first") & (F.col("_row") == F.col("_least")))
+        flagged = rows.join(answers, ["_key", "batch"]).select(*schema.names, duplicate.alias("is_duplicate_signature"))
+        flagged.write.mode("overwrite").parquet(self._batch("flagged", number))
+
+    def arrivals(self, results: DataFrame) -> DataStreamWriter:
+        """Result rows with a signature, as they come; call ``start``."""
+        return results.writeStream.foreachBatch(self._arrive).option("checkpointLocation", self.space.folder("arrivals-progress"))
+
+    def flags(self, spark: SparkSession, schema: StructType) -> DataStreamWriter:
+        """The flags of the rows that have arrived (``schema`` is theirs); call ``start``.
+
+        The keyed state needs the RocksDB state store, which is set for the session.
+        """
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+        Path = spark._jvm.org.apache.hadoop.fs.Path
+        folder = Path(self.space.folder("firsts"))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+        firsts = spark.readStream.schema("key string, row bigint, batch bigint").parquet(self.space.folder("firsts"))
+        answers = firsts.groupBy("key").transformWithState(
+            _FirstOfKey(self.keep_ms), "key string, batch bigint, row bigint, first boolean", "Append",
+            "None" if self.keep_ms is None else "ProcessingTime",
+        )
+        return answers.writeStream.foreachBatch(lambda rows, number: self._flag(schema, rows, number)).option(
+            "checkpointLocation", self.space.folder("flags-progress")
+        )
+
+    def flagged(self, spark: SparkSession, schema: StructType) -> DataFrame:
+        """All rows flagged so far."""
+        schema = StructType([*schema, StructField("is_duplicate_signature", BooleanType()), StructField("batch", LongType())])
+        folder = self.space.folder("flagged")
+        return spark.read.schema(schema).option("basePath", folder).parquet(folder).drop("batch")
+
+
+def run_flagged(results: DataFrame, space: Workspace, key: list[str] = ROW_KEY, keep_ms: int | None = None) -> DataFrame:
     """Results of a stream with their duplicate flag, after all that has arrived."""
-    query = (
-        results.writeStream.foreachBatch(duplicate_flagger(space, table, key))
-        .option("checkpointLocation", space.folder(f"{table}-progress"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    spark = results.sparkSession
-    schema = StructType([*results.schema, StructField("is_duplicate_signature", BooleanType()), StructField("batch", LongType())])
-    return spark.read.schema(schema).option("basePath", space.folder(table)).parquet(space.folder(table)).drop("batch")
+    flags, spark = DuplicateFlags(space, key, keep_ms=keep_ms), results.sparkSession
+    flags.arrivals(results).trigger(availableNow=True).start().awaitTermination()
+    flags.flags(spark, results.schema).trigger(availableNow=True).start().awaitTermination()
+    return flags.flagged(spark, results.schema)

@@ -701,6 +701,42 @@ ORACLES["budget"] = select(
     + catalog.OVER_BUDGET
     + """' END AS refused FROM responses""",
 )
+
+
+def rationed(depth: int, scoped: bool, budget: int, source: str = "links") -> list[str]:
+    """CTEs ending in rationed(target, domain, url, depth, request, within_budget), one level after the other."""
+    inside = "AND " + f"{domain('e.link')} = w.domain" if scoped else ""
+    parts = [
+        f"edges AS (SELECT DISTINCT url, link FROM {source} WHERE disposition = 'keep')",
+        STARTS,
+        f"level0 AS (SELECT url AS target, domain, url, 0 AS depth, 1 AS request, {budget} >= 1 AS within_budget FROM starts)",
+    ]
+    for d in range(1, depth + 1):
+        visited = " UNION ALL ".join(f"SELECT url FROM level{i}" for i in range(1, d)) or "SELECT NULL AS url WHERE false"
+        spent = " UNION ALL ".join(f"SELECT target, max(request) AS n FROM level{i} GROUP BY target" for i in range(d))
+        parts += [
+            f"""new{d} AS (SELECT min(w.target) AS target, min_by(w.domain, w.target) AS domain, e.link AS url
+    FROM level{d - 1} w JOIN edges e ON e.url = w.url WHERE w.within_budget {inside} AND e.link NOT IN ({visited}) GROUP BY e.link)""",
+            f"""level{d} AS (SELECT *, request <= {budget} AS within_budget FROM (
+    SELECT n.target, domain, url, {d} AS depth, row_number() OVER (PARTITION BY n.target ORDER BY url) + s.n AS request
+    FROM new{d} n JOIN (SELECT target, max(n) AS n FROM ({spent}) GROUP BY target) s ON s.target = n.target))""",
+        ]
+    return [*parts, "rationed AS (" + " UNION ALL ".join(f"SELECT * FROM level{i}" for i in range(depth + 1)) + ")"]
+
+
+ORACLES["walk_budget"] = select(
+    [LINKED, links("linked", scope="all", danger=False), *rationed(3, False, 7)],
+    "SELECT target, url, depth::INT AS depth, request::BIGINT AS request, within_budget FROM rationed",
+)
+ORACLES["scan_budget"] = select(
+    [LINKED, "answered AS (SELECT * FROM linked WHERE page_id % 20 <> 19)", links("answered"), *rationed(3, True, 3), responses("linked"),
+     """visits AS (SELECT w.target, w.url, w.url AS original_url, r.page_id, r.status_code, r.error_type, r.error_message,
+    coalesce(r.content, '') AS content, coalesce(r.redirects, '') AS redirects, coalesce(r.elapsed, 0) AS elapsed, w.depth
+    FROM rationed w LEFT JOIN responses r ON r.url = w.url WHERE w.within_budget)""",
+     RECORDS.replace("FROM responses", "FROM visits"), SIGNED, FLAGGED],
+    f"""SELECT target, url, depth::INT AS depth, status, is_duplicate_signature FROM flagged
+    UNION ALL SELECT target, url, depth::INT, {q(catalog.OVER_BUDGET)}, false FROM rationed WHERE NOT within_budget""",
+)
 ORACLES["external_once"] = select(
     [responses(), RECORDS, LINKED, links("linked"), EXTERNAL_URLS],
     f"""SELECT e.url AS original_url, coalesce(r.status, {q(catalog.NO_RESPONSE)}) AS status, coalesce(r.title, '') AS title,

@@ -530,6 +530,21 @@ def budget(spark, sf_dir):
     return walk.within_budget(rows, OPTIONS.max_urls)
 
 
+@query
+def walk_budget(spark, sf_dir):
+    """Walks of seven requests a target, which end in the middle of a level."""
+    options = replace(OPTIONS, scope_mode=2, danger_filter=False)
+    return walk.reachable(walk.seeds(start_urls(pages(spark, sf_dir))), _edges(spark, sf_dir, options), options, budget=7)
+
+
+@query
+def scan_budget(spark, sf_dir):
+    """A whole scan of three requests a target."""
+    plain = linked_pages(pages(spark, sf_dir))
+    done = scan.scan(start_urls(pages(spark, sf_dir)), responses(plain).drop("page_id"), replace(OPTIONS, max_urls=3), rules=[])
+    return done.results.select("target", "url", "depth", "status", "is_duplicate_signature")
+
+
 @query
 def external_once(spark, sf_dir):
     plain = pages(spark, sf_dir)

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from pagescan import catalog
@@ -49,10 +52,70 @@ def test_flags_across_batches(spark, tmp_path):
     assert got.where("not is_duplicate_signature").count() == 5
     firsts = got.where("not is_duplicate_signature")
     assert firsts.select("signature").distinct().count() == 5
-    # A batch that is run again gives the same rows.
-    batch = signed(spark.read.schema(SCHEMA).parquet(str(tmp_path / "pages"))).limit(0)
-    live.duplicate_flagger(space)(batch, 3)
-    assert spark.read.parquet(space.folder("flagged/batch=3")).count() == 0
+
+
+FLAG_ROWS = "target string, depth int, url string, original_url string, signature string, status_code int"
+
+
+def in_batches(spark, folder, batches):
+    """A stream whose every batch is one of the lists of rows."""
+    for number, rows in enumerate(batches):
+        spark.createDataFrame(rows, FLAG_ROWS).coalesce(1).write.parquet(f"{folder}/{number}")
+    return spark.readStream.schema(FLAG_ROWS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def row(target, url, original, signature, depth=0):
+    return (target, depth, url, original, signature, 200)
+
+
+def test_flags_of_redirected_rows(spark, tmp_path):
+    """Rows that redirects lead to one URL keep flags of their own, within and across batches."""
+    first = [row("t", "/z", "/a", "1|200|"), row("t", "/y", "/y", "2|200|")]
+    second = [row("t", "/z", "/a2", "1|200|"), row("t", "/z", "/b", "3|200|")]
+    third = [row("t", "/z", "/c", "1|200|"), row("t", "/z", "/d", "2|200|")]
+    got = live.run_flagged(in_batches(spark, str(tmp_path / "in"), [first, second, third]), Workspace(spark, "test")).collect()
+    flags = {r.original_url: r.is_duplicate_signature for r in got}
+    assert len(got) == 6
+    assert flags == {"/a": False, "/y": False, "/a2": True, "/b": False, "/c": True, "/d": True}
+
+
+def test_flags_equal_the_batch_result(spark, tmp_path):
+    """Four batches with null targets and signatures, repeated rows and redirects, against the batch operator."""
+    pick = random.Random(4)
+    rows = [
+        row(pick.choice(["t", "u", None]), pick.choice(["/z", f"/{i}"]), f"/{i}", pick.choice([None, *"abcdefgh", f"s{i}"]), depth=i // 50)
+        for i in range(200)
+    ]
+    batches = [rows[i : i + 50] for i in range(0, 200, 50)]  # depth grows by batch, so that both count in one order
+    batches[1] += batches[1][:5]
+    got = live.run_flagged(in_batches(spark, str(tmp_path / "in"), batches), Workspace(spark, "test"))
+    want = dedup.flag_duplicates(spark.createDataFrame([r for b in batches for r in b], FLAG_ROWS).coalesce(1))
+    columns = [*got.columns]
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.select(*columns).collect()))
+
+
+def test_flags_live_on_in_later_runs(spark, tmp_path):
+    """What one run has seen is known to the next; a batch that is run again gives the same rows."""
+    space, folder = Workspace(spark, "test"), str(tmp_path / "in")
+    stream = in_batches(spark, folder, [[row("t", "/a", "/a", "1"), row("t", "/b", "/b", "1")]])
+    assert live.run_flagged(stream, space).where("is_duplicate_signature").count() == 1
+    spark.createDataFrame([row("t", "/c", "/c", "1"), row("t", "/d", "/d", "2")], FLAG_ROWS).coalesce(1).write.parquet(f"{folder}/9")
+    again = live.run_flagged(stream, space)
+    assert {r.url: r.is_duplicate_signature for r in again.collect()} == {"/a": False, "/b": True, "/c": True, "/d": False}
+    flags = live.DuplicateFlags(space)
+    answers = spark.read.parquet(space.folder("answers/batch=1"))
+    flags._flag(stream.schema, spark.createDataFrame(answers.collect(), answers.schema), 1)
+    assert flags.flagged(spark, stream.schema).count() == 4
+
+
+def test_a_batch_asks_the_state_once_per_signature(spark, tmp_path):
+    """Hot signatures reach the state as one row a batch, and no earlier batch is read."""
+    space = Workspace(spark, "test")
+    batches = [[row("t", f"/{n}{i}", f"/{n}{i}", "hot") for i in range(300)] for n in range(3)]
+    got = live.run_flagged(in_batches(spark, str(tmp_path / "in"), batches), space)
+    assert got.count() == 900 and got.where("not is_duplicate_signature").count() == 1
+    for n in range(3):
+        assert spark.read.parquet(space.folder(f"firsts/batch={n}")).count() == 1
 
 
 def test_bounded_state_needs_an_event_time(spark, tmp_path):

@@ -160,6 +160,52 @@ def test_scan_budget(spark):
     assert {r.url for r in refused} == {u(i) for i in range(3, 10)}
 
 
+def test_refused_pages_are_not_expanded(spark):
+    """A chain where only a refused page links onward: its child is neither scanned nor reported."""
+    pages = [page(u(0), "<a href='/1'><a href='/2'>"), page(u(1), ""), page(u(2), "<a href='/3'>"), page(u(3), "")]
+    done = scan.scan(spark.createDataFrame([(u(0),)], "url string"), spark.createDataFrame(pages, readers.RESPONSES), ScanOptions(max_depth=5, max_urls=2))
+    rows = {(r.url, r.depth, r.status) for r in done.results.collect()}
+    assert rows == {(u(0), 0, "200"), (u(1), 1, "200"), (u(2), 1, catalog.OVER_BUDGET)}
+
+
+def test_listed_urls_cost_no_request(spark):
+    """What the black list refuses is not requested and leaves the budget to others."""
+    pages = [page(u(0), "<a href='/1'><a href='/bad'><a href='/2'>"), page(u(1), ""), page(u("bad"), ""), page(u(2), "")]
+    options = ScanOptions(max_depth=2, max_urls=3, scope_mode=3, whitelist_domains=["h.example.com"], blacklist_domains=["/1"])
+    done = scan.scan(spark.createDataFrame([(u(0),)], "url string"), spark.createDataFrame(pages, readers.RESPONSES), options)
+    rows = {r.url: r.status for r in done.results.collect()}
+    assert rows[u(0)] == rows[u(2)] == rows[u("bad")] == "200" and rows[u(1)].startswith("Error")
+
+
+@pytest.mark.parametrize("budget", [1, 5, 23])
+def test_budget_against_plain_python(spark, budget):
+    """Numbering by level and URL, several targets, a hot source; refused URLs stay visited."""
+    rng = random.Random(budget)
+    nodes = [u(i, f"h{i % 3}.example.com") for i in range(120)]
+    edges = {n: {rng.choice(nodes) for _ in range(3)} for n in nodes}
+    edges[nodes[0]] = set(nodes[1:60])
+    starts, options = [nodes[0], nodes[1], nodes[5]], ScanOptions(scope_mode=2, max_depth=4)
+    want, visited, spent = set(), set(), dict.fromkeys(starts, 0)
+    frontier = [(t, t) for t in starts]
+    for depth in range(options.max_depth + 1):
+        level = frontier if depth == 0 else []
+        if depth:
+            best = {}
+            for t, s in frontier:
+                for d in edges[s] - visited:
+                    best[d] = min(t, best.get(d, t))
+            visited |= set(best)
+            level = [(t, d) for d, t in best.items()]
+        frontier = []
+        for t, d in sorted(level):
+            spent[t] += 1
+            want.add((t, d, depth, spent[t], spent[t] <= budget))
+            frontier += [(t, d)] * (spent[t] <= budget)
+    pairs = spark.createDataFrame([(s, d) for s, ds in edges.items() for d in ds], "src_url string, dst_url string")
+    got = walk.reachable(walk.seeds(spark.createDataFrame([(s,) for s in starts], "url string")), walk.with_domain(pairs, options), options, hot_rows=5, budget=budget)
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_redirects_to_one_page(spark):
     """Two URLs that end at one page: equal bodies are duplicates, different ones are not, and no row is multiplied."""
     for second, flags in (("same", [False, True]), ("another body", [False, False])):
