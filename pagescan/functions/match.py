@@ -141,21 +141,16 @@ def _tree(words: Iterable[str]) -> dict:
     return tree
 
 
-def _tree_regex(node: dict, stop_at_shortest: bool) -> str:
-    ends = "" in node
-    if ends and (stop_at_shortest or len(node) == 1):
+def _tree_regex(node: dict) -> str:
+    if "" in node:
         return ""
-    branches = [
-        re.escape(char) + _tree_regex(child, stop_at_shortest) for char, child in sorted(node.items()) if char
-    ]
-    if len(branches) == 1 and not ends:
-        return branches[0]
-    return "(?:" + "|".join(branches) + ")" + ("?" if ends else "")
+    branches = [re.escape(char) + _tree_regex(child) for char, child in sorted(node.items())]
+    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
 
 
-def any_word(words: Iterable[str]) -> str:
-    """A regex for exactly these words, with common beginnings shared."""
-    return _tree_regex(_tree(words), stop_at_shortest=False)
+def word_tree(words: Iterable[str]) -> str:
+    """A regex for these words, with common beginnings shared; of words that begin alike the shortest is found."""
+    return _tree_regex(_tree(words))
 
 
 def prefix_guard(words: Iterable[str]) -> str:
@@ -167,7 +162,7 @@ def prefix_guard(words: Iterable[str]) -> str:
     """
     tree = _tree(words)
     first = "".join(re.escape(char) for char in sorted(tree))
-    return f"(?=[{first}])(?={_tree_regex(tree, stop_at_shortest=True)})"
+    return f"(?=[{first}])(?={_tree_regex(tree)})"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -70,10 +70,14 @@ def decode_entities(text: Column) -> Column:
 
 
 def hide_inactive(html: Column) -> Column:
-    """Page without comments and without the bodies of scripts and styles."""
+    """Page without comments and without the bodies of scripts and styles.
+
+    A quote without a partner is a character of its tag, and a tag that is never closed runs to the end, so that
+    nothing inside it is tried again.
+    """
     return F.regexp_replace(
         html,
-        r"(?is)<!--.*?(?:-->|\z)|(<(script|style)\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>).*?(?=</\2|\z)",
+        r"(?is)<!--.*?(?:-->|\z)|(<(script|style)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+(?:>|\z)).*?(?=</\2|\z)",
         "$1",
     )
 

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagescan import catalog
-from pagescan.functions.match import all_matches, any_word, empty_strings, let
+from pagescan.functions.match import all_matches, empty_strings, let
 
 # RFC 3986, appendix B, with the scheme restricted to legal scheme characters.
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
@@ -251,39 +251,67 @@ def is_valid(url: Column) -> Column:
     )
 
 
-def any_suffix(rules: Iterable[str]) -> str:
-    """A regex for the suffixes that the rules make."""
-    rules = sorted(rule for rule in rules if not rule.startswith("!"))
-    wild = [rule for rule in rules if "*" in rule or "?" in rule]
-    parts = [re.escape(rule).replace(r"\*", "[^.]+").replace(r"\?", "[^.]") for rule in wild]
-    plain = any_word(rule for rule in rules if rule not in wild)
-    return f"(?:{'|'.join([plain, *parts])})" if parts else plain
+def _suffix_test(rules: set[str]) -> Callable[[Column, Column], Column]:
+    """(tail, tail without its first label) -> is the tail a public suffix?
+
+    Plain rules and the parents of ``*.`` rules become hash sets, so a look-up costs the same for ten rules and for ten thousand.
+    Only the few other forms (``?``, or ``*`` elsewhere) are a regex.
+    """
+    wild = {rule[2:] for rule in rules if rule.startswith("*.") and not set(rule[2:]) & set("*?")}
+    odd = sorted(rule for rule in rules if set(rule) & set("*?") and not (rule.startswith("*.") and rule[2:] in wild))
+    plain = {rule for rule in rules if not set(rule) & set("*?")}
+    shapes = "|".join(re.escape(rule).replace(r"\*", "[^.]+").replace(r"\?", "[^.]") for rule in odd)
+
+    def test(tail: Column, parent: Column) -> Column:
+        found = _among(tail, plain) | (_among(parent, wild) & ~tail.startswith("."))
+        return found | tail.rlike(f"^(?:{shapes})$") if shapes else found
+
+    return test
+
+
+def _among(value: Column, names: set[str]) -> Column:
+    return value.isin(sorted(names)) if names else F.lit(False)
 
 
 def registered_domain(url: Column, suffixes: Iterable[str]) -> Column:
     """Domain plus public suffix, found by the longest matching suffix.
 
-    The suffix table becomes one regex that shares common beginnings; the
-    leftmost label it can start after belongs to the longest suffix.  Rules may hold ``*`` for a
+    The host's tails, from the longest on, are looked up in the suffix rules.  Rules may hold ``*`` for a
     label and ``?`` for a character; ``!`` names a domain that is none of the
     suffixes a rule makes; ``*`` alone makes the last label a suffix.  An
     address or a name without known suffix keeps an empty suffix, that is a
     trailing dot.
     """
     rules = {s.lower() for s in suffixes}
-    listed = any_suffix(rules - {"*"})
-    known = any_suffix(rules)
-    name = host(url)
-    found = F.regexp_extract(name, rf"(?i)(?:^|\.)([^.]*\.{known})$", 1)
-    named = sorted(rule[1:] for rule in rules if rule.startswith("!"))
-    excepted = F.regexp_extract(name, rf"(?i)(?:^|\.)({any_word(named)})$", 1) if named else F.lit("")
-    return (
-        F.when(name.rlike(_IPV4), F.concat(name, F.lit(".")))
-        .when(excepted != "", excepted)
-        .when(name.rlike(rf"(?i)^{listed}$"), F.concat(F.lit("."), name))
-        .when(found != "", found)
-        .otherwise(F.concat(F.substring_index(name, ".", -1), F.lit(".")))
-    )
+    named = {rule[1:] for rule in rules if rule.startswith("!")}
+    is_suffix = _suffix_test({rule for rule in rules if not rule.startswith("!") and rule != "*"})
+    default = F.lit("*" in rules)
+
+    def of(name: Column) -> Column:
+        labels = F.split(name, r"\.")
+        # The name without 0, 1, 2, ... of its first labels; the last one is empty.
+        tails = F.transform(
+            F.sequence(F.lit(1), F.size(labels) + 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+        )
+        return let(tails, lambda tails: let(F.transform(tails, F.lower), lambda lower: chosen(name, tails, lower)))
+
+    def chosen(name: Column, tails: Column, lower: Column) -> Column:
+        places = F.sequence(F.lit(1), F.size(tails) - 1)
+        excepted = F.get(F.filter(tails, lambda t: _among(F.lower(t), named)), F.lit(0)) if named else F.lit(None).cast("string")
+        known = F.filter(places, lambda i: is_suffix(F.get(lower, i - 1), F.get(lower, i)))
+        first = F.get(known, F.lit(0))
+        # Without a rule the last of several labels is the suffix, if the rules say so.
+        count = F.size(tails)
+        last = F.when(default & (count > 2) & (F.get(tails, count - 2) != ""), count - 1)
+        return (
+            F.when(excepted.isNotNull(), excepted)
+            .when(first == 1, F.concat(F.lit("."), name))
+            .when(first > 1, F.get(tails, first - 2))
+            .when(last.isNotNull(), F.get(tails, last - 2))
+            .otherwise(F.concat(F.substring_index(name, ".", -1), F.lit(".")))
+        )
+
+    return let(host(url), lambda name: F.when(name.rlike(_IPV4), F.concat(name, F.lit("."))).otherwise(of(name)))
 
 
 def target_domain(url: Column, suffixes: Iterable[str] | None) -> Column:

@@ -1,13 +1,22 @@
-"""Sensitive-data findings: rules over texts, narrow per row."""
+"""Sensitive-data findings: rules over texts, narrow per row.
+
+The default rules know what to look for before their expression runs; each is an expression of its own behind such tests.  Rules
+from a user's table may be thousands.  They stay data: every rule gets a literal that all its matches hold, its beginning goes into one search
+tree, and one pass of that tree over a text says which few rules can match there.  Only these run, so that a text costs about the
+same for fifty rules and for five thousand.
+"""
 
 from __future__ import annotations
 
+import json
 import re
 import warnings
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from re import _constants as parts_of
+from re import _parser as parser
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescan import catalog
@@ -21,11 +30,12 @@ from pagescan.functions.match import (
     java_regex,
     prefix_guard,
     sql_string,
+    word_tree,
 )
 
 FINDING = "struct<ord:int,rule:string,type:string,count:int,samples:array<string>,total:int>"
 
-# A rule table is part of the query plan, so its size is bounded.
+# A rule table is part of the query plan, so its size is bounded by what a plan can hold: some ten thousand rules.
 
 
 @dataclass(frozen=True)
@@ -35,7 +45,9 @@ class Rule:
     ``needles``: substrings of which every match holds at least one; in lower
     case and searched in the folded text if ``fold``.  ``must``: a cheaper
     regex that any text with a match also matches.  ``start``: look-ahead put
-    before the expression.  All three only save time.
+    before the expression.  ``linear``: a form of the expression that is as fast on hostile text: where a match fails, it
+    passes over the part in which every other start would fail the same way, as a match without ``holds``, which
+    all true matches hold.  All of these only save time.
     """
 
     key: str
@@ -45,6 +57,13 @@ class Rule:
     fold: bool = False
     must: str = ""
     start: str = ""
+    linear: str = ""
+    holds: str = ""
+
+    @property
+    def tuned(self) -> bool:
+        """Does the rule come with tests of its own?"""
+        return bool(self.needles or self.must or self.start or self.linear)
 
     @property
     def groups(self) -> int:
@@ -52,10 +71,18 @@ class Rule:
 
     @property
     def regex(self) -> str:
-        flags = re.match(r"\(\?i\)", self.pattern)
-        body = self.pattern[flags.end():] if flags else self.pattern
-        if self.start:
-            body = f"{self.start}(?:{body})"
+        return self._java(self.linear or self.pattern, self.start)
+
+    @property
+    def inner_regex(self) -> str:
+        """For a text that is one match."""
+        return self._java(self.pattern, "")
+
+    def _java(self, pattern: str, start: str) -> str:
+        flags = re.match(r"\(\?i\)", pattern)
+        body = pattern[flags.end():] if flags else pattern
+        if start:
+            body = f"{start}(?:{body})"
         return java_regex(body, ignore_case=bool(flags))
 
 
@@ -129,7 +156,7 @@ _MUST = {
 _STARTS = {
     "github_url_token": r"(?:\G|(?<![a-zA-Z0-9_-]))",
     "aws_s3": r"(?:\G|(?<![a-zA-Z0-9_-])|(?=s3\.))",
-    "aws_s3_url": r"(?:\G|(?<![a-zA-Z0-9._-])|(?=s3[:.-]))",
+    "private_block": r"(?:\G|(?<!-))",
     "cn_id_card": r"(?=[1-9]\d{5})",
     "cn_mobile": r"(?=1)",
     "cn_credit_code": r"(?=[0-9A-Z]{18})",
@@ -141,6 +168,37 @@ _STARTS = {
     "named_secret": prefix_guard(catalog.SECRET_NAMES),
 }
 
+_SPACED = r"[\s]*[^-]*"
+
+
+def _linear(key: str, pattern: str) -> tuple[str, str]:
+    """The linear form of a rule and what its true matches hold.
+
+    A repeated class with no bound is read again from every start in it.  All those starts come to the same end and fail
+    there alike, so after the first failure the rest of the class is passed over.
+    """
+    if key == "email":
+        # A match ends its local part at an @; without a match no start before that @ has one, and signs that no word touches start none.
+        local = r"[a-zA-Z0-9._%+-]"
+        return rf"{pattern}|\b{local}++|[.%+-]++", "@"
+    if key == "db_url":
+        head, _, tail = pattern.partition("[^@]+@")
+        return rf"{head}(?:[^@]+@{tail}|[^@]*+)", "@"
+    if key == "jdbc":
+        head, _, tail = pattern.partition("[a-z:]+://")
+        return rf"{head}(?:[a-z:]+://{tail}|[a-z:]*+)", "//"
+    if key == "jwt":
+        run = "[A-Za-z0-9-_=]"
+        head, _, tail = pattern.partition(run)
+        return rf"{head}(?:{run}{tail}|{run}*+)", "."
+    if key == "aws_s3_url":
+        # Its first form begins with the class: it is tried at the start of a run or right after the match before.
+        return rf"(?:\G|(?<![a-zA-Z0-9._-])){pattern}", "s3"
+    if key == "private_block":
+        # White space is among the signs that are no dash.
+        return pattern.replace(_SPACED, "[^-]*+"), "BEGIN"
+    return "", ""
+
 
 def _default_pattern(key: str, pattern: str | None) -> str:
     if key == "named_secret":
@@ -163,6 +221,7 @@ def default_rules() -> list[Rule]:
             (pattern or "").startswith("(?i)"),
             _MUST.get(key, ""),
             _STARTS.get(key, ""),
+            *_linear(key, pattern or ""),
         )
         for key, label, pattern in catalog.RULES
     ]
@@ -185,14 +244,14 @@ def custom_rules(patterns: Mapping[str, str] | DataFrame) -> list[Rule]:
 
 def _compiled(rules: list[Rule]) -> list[Rule]:
     """The rules that compile: all are tried at once, and a bad half is tried in halves."""
-    from pyspark.sql import SparkSession
-
     if not rules:
         return []
     try:
         for rule in rules:
             re.compile(rule.pattern)
-        SparkSession.active().range(1).select(*[F.lit("x").rlike(rule.regex).alias(f"r{i}") for i, rule in enumerate(rules)]).collect()
+        # As rows, not as columns: thousands of rules are one small plan.
+        table = SparkSession.active().createDataFrame([(rule.regex,) for rule in rules], "regex string")
+        table.select(F.rlike(F.lit("x"), F.col("regex"))).collect()
         return rules
     except Exception as error:  # a bad expression must not stop the others
         if len(rules) == 1:
@@ -226,13 +285,19 @@ def _repr_sql(text: str) -> str:
 
 def _samples_sql(text: str, rule: Rule, mode: str) -> str:
     """What a rule reports: the whole match, its one group, or its groups as a tuple."""
+    matches = all_matches_sql(text, rule.regex)
+    if rule.holds:
+        matches = f"filter({matches}, m -> contains(m, {sql_string(rule.holds)}))"
     if mode == "match" or rule.groups == 0:
-        return all_matches_sql(text, rule.regex)
-    if rule.groups == 1:
+        return matches
+    if rule.groups == 1 and not rule.linear:
         return all_matches_sql(text, rule.regex, 1)
-    groups = ", ".join(f"regexp_extract(m, {sql_string(rule.regex)}, {i})" for i in range(1, rule.groups + 1))
+    regex = sql_string(rule.inner_regex if rule.linear else rule.regex)
+    if rule.groups == 1:
+        return f"transform({matches}, m -> regexp_extract(m, {regex}, 1))"
+    groups = ", ".join(f"regexp_extract(m, {regex}, {i})" for i in range(1, rule.groups + 1))
     shown = f"array_join(transform(array({groups}), g -> {_repr_sql('g')}), ', ')"
-    return f"transform({all_matches_sql(text, rule.regex)}, m -> concat('(', {shown}, ')'))"
+    return f"transform({matches}, m -> concat('(', {shown}, ')'))"
 
 
 def rule_samples_sql(text: str, low: str, rule: Rule, mode: str = "findall", must: str | None = None) -> str:
@@ -246,17 +311,96 @@ def rule_samples_sql(text: str, low: str, rule: Rule, mode: str = "findall", mus
     return f"CASE WHEN {' AND '.join(tests)} THEN {found} ELSE {NO_MATCHES} END" if tests else found
 
 
+SHORTEST, WORD = 4, 12  # characters of a literal that the search tree holds
+
+
+def needed_literals(pattern: str) -> list[str]:
+    """Lower-case texts of which every match holds one; none if the expression says too little.
+
+    Of several such sets the one whose shortest text is longest.
+    """
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # about readings that a later version may change
+        found = _needed(parser.parse(pattern))
+    return sorted(found) if found and min(map(len, found)) >= SHORTEST else []
+
+
+def _needed(sequence) -> set[str]:
+    sets, run = [], ""
+    for kind, value in [*sequence, (None, None)]:
+        if kind is parts_of.LITERAL and value < 128:
+            run += chr(value).lower()
+            continue
+        if run:
+            sets.append({run})
+            run = ""
+        if kind is parts_of.SUBPATTERN:
+            sets.append(_needed(value[-1]))
+        elif kind in (parts_of.MAX_REPEAT, parts_of.MIN_REPEAT, parts_of.POSSESSIVE_REPEAT) and value[0] > 0:
+            sets.append(_needed(value[2]))
+        elif kind is parts_of.ATOMIC_GROUP:
+            sets.append(_needed(value))
+        elif kind is parts_of.BRANCH:
+            branches = [_needed(branch) for branch in value[1]]
+            sets.append(set().union(*branches) if all(branches) else set())
+    return max(filter(None, sets), key=lambda texts: (min(map(len, texts)), -len(texts)), default=set())
+
+
+def _rule_table(rules: list[tuple[int, Rule]]) -> tuple[list[dict], dict[str, list[int]], list[int]]:
+    """The rules as data, the places of the rules behind each word of the search tree, and those of the rules without one.
+
+    A word is the beginning of a literal.  One that begins with another word is found through that.
+    """
+    literals = [needed_literals(rule.pattern) for _, rule in rules]
+    words: dict[str, list[int]] = {}
+    for word, place in sorted({(text[:WORD], place) for place, texts in enumerate(literals) for text in texts}):
+        shorter = next((word[:size] for size in range(SHORTEST, len(word)) if word[:size] in words), word)
+        words.setdefault(shorter, []).append(place)
+    table = [
+        {"ord": ord_, "key": rule.key, "label": rule.label, "regex": rule.regex, "groups": rule.groups, "literals": texts}
+        for (ord_, rule), texts in zip(rules, literals)
+    ]
+    return table, words, [place for place, texts in enumerate(literals) if not texts]
+
+
+def table_findings_sql(text: str, low: str, rules: list[tuple[int, Rule]], mode: str) -> str:
+    """Findings of the rules that the words found in a text call for; the rules are constants, not expressions."""
+    def constant(value, kind: str) -> str:
+        return f"from_json({sql_string(json.dumps(value))}, '{kind}')"
+
+    table, words, always = _rule_table(rules)
+    of = constant(table, "array<struct<ord:int,key:string,label:string,regex:string,groups:int,literals:array<string>>>")
+    called = constant(always, "array<int>")
+    if words:
+        seen = f"array_distinct(regexp_extract_all({low}, {sql_string(f'(?s)(?=({word_tree(words)}))')}, 1))"
+        called = f"concat({called}, flatten(transform({seen}, w -> try_element_at({constant(words, 'map<string,array<int>>')}, w))))"
+    called = f"transform(array_sort(array_distinct({called})), i -> get({of}, i))"
+    called = f"filter({called}, r -> size(r.literals) = 0 OR exists(r.literals, l -> contains({low}, l)))"
+    groups = f"array_join(transform(transform(sequence(1, r.groups), i -> regexp_extract(m, r.regex, i)), g -> {_repr_sql('g')}), ', ')"
+    whole = "true" if mode == "match" else "r.groups = 0"
+    samples = f"""CASE WHEN {whole} THEN regexp_extract_all({text}, r.regex, 0)
+        WHEN r.groups = 1 THEN regexp_extract_all({text}, r.regex, 1)
+        ELSE transform(regexp_extract_all({text}, r.regex, 0), m -> concat('(', {groups}, ')')) END"""
+    return f"""transform({called}, r -> named_struct('ord', r.ord, 'rule', r.key, 'type', r.label,
+        'samples', array_sort(array_distinct({samples}))))"""
+
+
 def findings_array(text: str, low: str, rules: Iterable[Rule], mode: str, musts: Mapping[str, str]) -> Column:
     """Findings of a text in rule order."""
-    found = []
+    found, others = [], []
     for ord_, rule in enumerate(rules, 1):
+        if not rule.tuned:
+            others.append((ord_, rule))
+            continue
         samples = rule_samples_sql(text, low, rule, mode, musts.get(rule.must))
         found.append(
             f"named_struct('ord', {ord_}, 'rule', {sql_string(rule.key)}, 'type', {sql_string(rule.label)}, "
             f"'samples', {samples})"
         )
+    arrays = ([f"array({', '.join(found)})"] if found else []) + ([table_findings_sql(text, low, others, mode)] if others else [])
+    every = arrays[0] if len(arrays) == 1 else f"array_sort(concat({', '.join(arrays)}))"
     return F.expr(
-        f"""transform(filter(array({', '.join(found)}), f -> size(f.samples) > 0), f -> named_struct(
+        f"""transform(filter({every}, f -> size(f.samples) > 0), f -> named_struct(
             'ord', f.ord, 'rule', f.rule, 'type', f.type, 'count', size(f.samples), 'samples', f.samples,
             'total', size(f.samples)))"""
     )

@@ -86,25 +86,60 @@ _TAGS = sorted({tag for tag, _ in catalog.TAG_ATTRIBUTES})
 _ATTRIBUTES = sorted({attribute for _, attribute in catalog.TAG_ATTRIBUTES})
 
 _ATTRIBUTE = r"""([^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+"""
+# A tag that is never closed runs to the end of the page, so that no tag inside it is tried again.
 _OPEN_TAG = (
-    r"(?i)<(?:" + "|".join(_TAGS) + r""")(?=[\s/>])(?:[\s/=]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+>"""
+    r"(?i)<(?:" + "|".join(_TAGS) + r""")(?=[\s/>])(?:[\s/=]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+(?:>|\Z)"""
 )
+# Forms of patterns that are as fast on hostile text.  Where a pattern fails, every later start before the next
+# character that ends its repeated class fails too; that part is passed over as a match without a group.
+_LINEAR = {
+    "assets_file": r"assets/(?:[a-zA-Z0-9_\-./]+\.(?:js|css|png|jpg|jpeg|svg|gif|woff2?|ttf|eot|mp4|mp3|json|map))",
+    # The quote that ends the class can open the value of a call right before it.
+    "css_url": r"""url\((?:['"]?([^\s'")]+)['"]?\)|['"]?(?:(?!url\(['"])[^\s'")])*+)""",
+}
+_LINEAR["assets_file"] = rf"({_LINEAR['assets_file']})|assets/[a-zA-Z0-9_\-./]*+"
 
 
-def _tag_pattern(tag: str, attribute: str, value: str) -> str:
+_QUOTED, _BARE = r"""(['"])(.*?)\1""", r"([^\s>]+)"
+
+
+def _attribute_pattern(tag: str, attribute: str, value: str) -> str:
     start = r"[^>]*?" if tag == "a" else r"[^>]*?\b"
-    return rf"<{tag}\b{start}{attribute}\s*=\s*{value}"
+    return rf"{start}{attribute}\s*=\s*{value}"
+
+
+def _tag_pattern(tag: str, attribute: str, value: str) -> str:
+    return rf"<{tag}\b{_attribute_pattern(tag, attribute, value)}"
+
+
+def _linear_tag_pattern(tag: str, attribute: str, value: str) -> str:
+    """The same matches, and as matches without a group the tags that lack the attribute.
+
+    If the first tag before a ``>`` has no such attribute ahead of it, no later tag before that ``>`` has; the rest is passed over,
+    so every part between two ``>`` is read at most twice.
+    """
+    return rf"<{tag}\b(?:{_attribute_pattern(tag, attribute, value)}|[^>]*+)"
 
 
 def tag_patterns() -> list[tuple[str, str, str]]:
     """(name, needle, expression): quoted and bare value for each pair."""
+    return _tag_forms(_tag_pattern)
+
+
+def _tag_forms(form) -> list[tuple[str, str, str]]:
     patterns = []
     for tag, attribute in catalog.TAG_ATTRIBUTES:
-        patterns.append((f"{tag}_{attribute}_quoted", f"<{tag}", _tag_pattern(tag, attribute, r"""(['"])(.*?)\1""")))
-        patterns.append((f"{tag}_{attribute}_bare", f"<{tag}", _tag_pattern(tag, attribute, r"([^\s>]+)")))
+        patterns.append((f"{tag}_{attribute}_quoted", f"<{tag}", form(tag, attribute, _QUOTED)))
+        patterns.append((f"{tag}_{attribute}_bare", f"<{tag}", form(tag, attribute, _BARE)))
     return patterns
 
 
+def _with_group(html: str, pattern: str) -> str:
+    """SQL for what the first group of a linear form captured, without the parts passed over."""
+    found = all_matches_sql(html, java_regex(pattern, ignore_case=True), 1)
+    return f"filter({found}, m -> m <> '')"
+
+
 def _path_matches(name: str, low: str, matches: str) -> str:
     """SQL for the matches of a path pattern, behind its cheaper tests."""
     guarded = guarded_sql(low, _NEEDLES.get(name, ()), matches)
@@ -119,7 +154,7 @@ def path_strings(html: str, low: str) -> Column:
     rejects, so those patterns are counted (`pattern_counts`) but not run here.
     """
     found = [
-        _path_matches(name, low, captured_sql(html, pattern))
+        _path_matches(name, low, _with_group(html, _LINEAR[name]) if name in _LINEAR else captured_sql(html, pattern))
         for name, pattern in catalog.PATH_PATTERNS
         if group_count(pattern) > 0
     ]
@@ -132,8 +167,8 @@ def tag_strings(html: str, low: str) -> Column:
     The quoted forms capture the quote first, which cleaning rejects.
     """
     found = [
-        guarded_sql(low, (needle,), captured_sql(html, pattern))
-        for name, needle, pattern in tag_patterns()
+        guarded_sql(low, (needle,), _with_group(html, pattern))
+        for name, needle, pattern in _tag_forms(_linear_tag_pattern)
         if name.endswith("_bare")
     ]
     return F.expr(f"concat({', '.join(found)})")
@@ -173,7 +208,8 @@ def dom_strings(html: str, low: str) -> Column:
         bare = F.when(value.rlike("^[\"']"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
         return decode_entities(bare)
 
-    tags = F.transform(all_matches(visible, java_regex(_OPEN_TAG), 0), attributes)
+    closed = F.filter(all_matches(visible, java_regex(_OPEN_TAG), 0), lambda tag: tag.endswith(">"))
+    tags = F.transform(closed, attributes)
     return F.transform(F.flatten(F.transform(tags, linked)), unquoted)
 
 
@@ -415,8 +451,10 @@ def pattern_counts(pages: DataFrame, text: str = "html") -> DataFrame:
     def found(pattern: str) -> str:
         return all_matches_sql(f"`{text}`", java_regex(pattern, ignore_case=True))
 
-    matches = {name: _path_matches(name, "low", found(p)) for name, p in catalog.PATH_PATTERNS}
-    matches.update({name: guarded_sql("low", (needle,), found(p)) for name, needle, p in tag_patterns()})
+    html = f"`{text}`"
+    matches = {name: _path_matches(name, "low", _with_group(html, _LINEAR[name]) if name in _LINEAR else found(p)) for name, p in catalog.PATH_PATTERNS}
+    # Of a quoted form the first group is the quote: its matches are counted, empty values too.
+    matches.update({name: guarded_sql("low", (needle,), _with_group(html, p)) for name, needle, p in _tag_forms(_linear_tag_pattern)})
     matches["webpack_chunk"] = guarded_sql("low", ("chunk-",), found(catalog.WEBPACK_PATTERN))
     counts = [
         f"named_struct('pattern', '{name}', 'matches', cast(size({sql}) AS bigint))" for name, sql in matches.items()

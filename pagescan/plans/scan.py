@@ -15,10 +15,11 @@ from pagescan.operators.detect import Rule
 from pagescan.functions import urls
 from pagescan.functions.match import exploded
 from pagescan.operators.links import dispositions, link_sets, routed_links
+from pagescan.operators.prune import among
 from pagescan.operators.report import batch_summary, danger_report_rows, report_partition, report_rows
 from pagescan.operators.results import RESULT_COLUMNS, placeholder_rows, result_records
 from pagescan.operators.skew import absent, balanced_join, hot_keys
-from pagescan.options import SCOPE_EXTERNAL_ONCE, ScanOptions
+from pagescan.options import SCOPE_DOMAIN, SCOPE_EXTERNAL_ONCE, ScanOptions
 from pagescan.plans import walk
 from pagescan.sources.readers import RESPONSES, fetched
 from pagescan.storage import Workspace
@@ -101,18 +102,35 @@ def analysed(responses: DataFrame, options: ScanOptions = ScanOptions(),
     return link_sets(records, options, "url", text)
 
 
+def in_reach(responses: DataFrame, start: DataFrame, options: ScanOptions) -> DataFrame:
+    """The captures that a walk from the start URLs can ask for.
+
+    Inside a domain these are the pages of the start URLs' domains, and the bundler chunks that a page may name on another host.
+    Where everything is in scope, or names are compared without suffix rules, every capture can be asked for.
+    """
+    if options.scope_mode not in (SCOPE_DOMAIN, SCOPE_EXTERNAL_ONCE) or options.public_suffixes is None:
+        return responses
+
+    def domain(name: str) -> Column:
+        return urls.registered_domain(F.col(name), options.public_suffixes)
+
+    domains = start.select(F.explode(F.array(domain("target"), domain("url"))).alias("domain"))
+    chunk = F.contains("original_url", F.lit("/" + catalog.WEBPACK_DIRECTORY))
+    return among(responses, domain("original_url"), domains, "domain", also=chunk)
+
+
 def scan(targets: DataFrame, responses: DataFrame, options: ScanOptions = ScanOptions(),
          rules: Iterable[Rule] | None = None) -> Scan:
     """Scan start URLs against captured responses.
 
     ``targets`` holds ``url``; ``responses`` one row per requested URL
-    (``original_url``).  All captured text is searched in one narrow pass that
-    writes records and links; it is never shuffled.  The walk and all joins
-    then run on those slim tables.
+    (``original_url``).  The captures that a walk can reach (`in_reach`) are searched in one narrow pass that
+    writes records and links; text is never shuffled.  The walk and all joins
+    then run on those slim tables.  External pages that are scanned once are searched when they are known.
     """
     space = Workspace(targets.sparkSession, "scan")
     start = walk.seeds(targets)
-    pages = space.write(analysed(responses, options, rules), "pages")
+    pages = space.write(analysed(in_reach(responses, start, options), options, rules), "pages")
     records = pages.drop("full", "resolved", "chunks")
     routed = space.write(
         routed_links(pages.select("original_url", "full", "resolved", "chunks"), options), "links"
@@ -145,7 +163,9 @@ def scan(targets: DataFrame, responses: DataFrame, options: ScanOptions = ScanOp
     outside = absent(outside, walked.where("depth > 0"), ["url"])
     if options.scope_mode == SCOPE_EXTERNAL_ONCE:
         visits = space.write(outside.select("target", "url", F.lit(0).alias("depth")), "visits")
-        outer = space.write(visited_results(visits, records, options), "external")
+        asked = _untargeted(among(responses, F.col("original_url"), visits, "url"))
+        outside_records = space.write(signed_results(gated(asked, options), options, rules), "outside")
+        outer = space.write(visited_results(visits, outside_records, options), "external")
         external = flag_duplicates(outer, dedup_errors=options.dedup_errors)
     else:
         external = placeholder_rows(outside, catalog.EXTERNAL).withColumns(

@@ -600,6 +600,16 @@ ORACLES["findings_all_rules"] = select([seeded(), hits("seeded", "doc_id", "text
 ORACLES["findings_whole_match"] = select(
     [seeded(), hits("seeded", "doc_id", "text", "match")], f"SELECT doc_id, {FINDING_COLUMNS} FROM hits"
 )
+ORACLES["findings_custom"] = select(
+    ["items AS (SELECT item_id, text AS item, row_number() OVER (ORDER BY item_id)::INT AS ord FROM benchmark WHERE length(text) >= 16)",
+     f"""matched AS (SELECT doc_id, item_id, ord, regexp_extract_all(d.text,
+        '(' || regexp_replace(left(item, 16), '([^A-Za-z0-9 ])', '\\\1', 'g') || '[a-z]*)([ .]?)') AS found
+    FROM documents d JOIN items ON contains(d.text, left(item, 16)))""",
+     """samples AS (SELECT doc_id, item_id, ord, list_sort(list_distinct(list_transform(found, lambda m:
+        '(' || chr(39) || regexp_replace(m, '[ .]$', '') || chr(39) || ', ' || chr(39) || regexp_extract(m, '[ .]?$') || chr(39) || ')'))) AS s FROM matched)"""],
+    """SELECT doc_id, ord, 'item ' || item_id AS rule, 'item ' || item_id AS type, len(s)::INT AS count, len(s)::INT AS total,
+    array_to_string(s, '; ') AS samples FROM samples""",
+)
 ORACLES["finding_types"] = select(
     [hits("documents", "doc_id", "text")],
     "SELECT doc_id, count(ord)::INT AS n_types FROM documents LEFT JOIN hits USING (doc_id) GROUP BY doc_id",
@@ -749,6 +759,24 @@ ORACLES["external_unvisited"] = select(
 )
 
 # The batch scan: pages that did not answer have no links.
+ORACLES["scan_bad_targets"] = select(
+    [LINKED, "answered AS (SELECT * FROM linked WHERE page_id % 20 <> 19)", links("answered"), *walk(1, True), responses("linked"),
+     f"""bad AS (SELECT unnest(['no url ' || {netloc('url')}, 'http://gone.' || {netloc('url')}]) AS url FROM starts)""",
+     """visits AS (SELECT w.target, w.url, w.url AS original_url, r.page_id, r.status_code, r.error_type, r.error_message,
+    coalesce(r.content, '') AS content, coalesce(r.redirects, '') AS redirects, coalesce(r.elapsed, 0) AS elapsed, w.depth
+    FROM (SELECT * FROM walked UNION ALL SELECT url, url, 0 FROM bad) w LEFT JOIN responses r ON r.url = w.url)""",
+     RECORDS.replace("FROM responses", "FROM visits")],
+    "SELECT target, url, depth::INT AS depth, status, length FROM records", recursive=True,
+)
+ORACLES["scan_one_domain"] = select(
+    [LINKED, "answered AS (SELECT * FROM linked WHERE page_id % 20 <> 19)", links("answered"),
+     *[part.replace("FROM pages GROUP BY", "FROM pages WHERE url = (SELECT min(url) FROM pages) GROUP BY") for part in walk(3, True)], responses("linked"),
+     """visits AS (SELECT w.target, w.url, w.url AS original_url, r.page_id, r.status_code, r.error_type, r.error_message,
+    coalesce(r.content, '') AS content, coalesce(r.redirects, '') AS redirects, coalesce(r.elapsed, 0) AS elapsed, w.depth
+    FROM walked w LEFT JOIN responses r ON r.url = w.url)""",
+     RECORDS.replace("FROM responses", "FROM visits"), SIGNED, FLAGGED],
+    "SELECT target, url, depth::INT AS depth, status, length, is_duplicate_signature FROM flagged", recursive=True,
+)
 ANSWERED = "answered AS (SELECT * FROM linked WHERE page_id % 20 <> 19)"
 ORACLES["batch_summary"] = select(
     [LINKED, ANSWERED, links("answered"), *walk(2, True), responses("linked"),

@@ -401,6 +401,19 @@ def findings_whole_match(spark, sf_dir):
     return _joined_samples(detect.findings(seeded_documents(documents(spark, sf_dir)), mode="match"), "doc_id")
 
 
+@query
+def findings_custom(spark, sf_dir):
+    """A user's rules, hundreds of them and one that does not compile: the beginning of each benchmark item and what follows it."""
+    beginning = F.regexp_replace(F.substring("text", 1, 16), r"([^A-Za-z0-9 ])", r"\\$1")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) >= 16").select(
+        F.col("item_id").alias("ord"), F.concat(F.lit("item "), "item_id").alias("type"),
+        F.concat(F.lit("("), beginning, F.lit(r"[a-z]*)([ .]?)")).alias("pattern"),
+    )
+    bad = items.agg((F.min("ord") - 1).alias("ord")).select("ord", F.lit("bad").alias("type"), F.lit("(").alias("pattern"))
+    rules = detect.custom_rules(items.unionByName(bad))
+    return _joined_samples(detect.findings(documents(spark, sf_dir).select("doc_id", "text"), rules=rules), "doc_id")
+
+
 @query
 def finding_types(spark, sf_dir):
     return detect.finding_types(documents(spark, sf_dir).select("doc_id", "text"))
@@ -570,6 +583,23 @@ def batch_summary(spark, sf_dir):
     return done.summary()
 
 
+@query
+def scan_bad_targets(spark, sf_dir):
+    """Start URLs that are none, next to those of a scan: each gets a row that says nothing came back, and the others go on."""
+    starts = start_urls(pages(spark, sf_dir))
+    bad = starts.select(F.explode(F.array(F.concat(F.lit("no url "), urls.netloc(F.col("url"))), F.concat(F.lit("http://gone."), urls.netloc(F.col("url"))))).alias("url"))
+    done = scan.scan(starts.unionByName(bad), responses(linked_pages(pages(spark, sf_dir))).drop("page_id"), replace(OPTIONS, max_depth=1, max_urls=None), rules=[])
+    return done.results.select("target", "url", "depth", "status", "length")
+
+
+@query
+def scan_one_domain(spark, sf_dir):
+    """A scan from one start URL: only the captures of its domain are searched."""
+    first = start_urls(pages(spark, sf_dir)).agg(F.min("url").alias("url"))
+    done = scan.scan(first, responses(linked_pages(pages(spark, sf_dir))).drop("page_id"), replace(OPTIONS, max_urls=None), rules=[])
+    return done.results.select("target", "url", "depth", "status", "length", "is_duplicate_signature")
+
+
 # Streams
 
 

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 import warnings
 
 import pytest
@@ -175,3 +177,92 @@ def test_detection_runs_once(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     plan = detect.findings(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("LTAI[a-zA-Z0-9]{12,20}") == 1 and "Exchange" not in plan
+
+
+# Beginnings of matches, over and over: every start would read on to the end.
+HOSTILE = {
+    "email": lambda n: "@ " + "a." * n, "email_at": lambda n: "a." * n + "@x", "email_dots": lambda n: "@" + "." * n + "a@b.com" + "." * n,
+    "email_many": lambda n: "a@b.c.de." * n + "@", "email_plus": lambda n: "é" + "+a" * n + "@b.co ",
+    "db_url": lambda n: "mysql://a:" * n, "db_url_at": lambda n: "redis://a:" * n + "@h:1/ @h:12/d", "jdbc": lambda n: "jdbc:" * n,
+    "jdbc_end": lambda n: "jdbc:" * n + "://h/x", "jwt": lambda n: "ey-" * n, "jwt_dot": lambda n: "ey-" * n + "a.b-c.d",
+    "aws_s3_url": lambda n: "s3." * n, "aws_s3_url_end": lambda n: "s3." * n + "s3.amazonaws.com s3-" + "s3-" * n,
+    "private_block": lambda n: "-" * n + "BEGIN A PRIVATE KEY-----" + " " * n + "-" * n + "x-BEGIN B PRIVATE KEY--" + "z" * n + "--END C PRIVATE KEY--",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_texts_give_the_same_findings(spark, name):
+    same_as_library(spark, [HOSTILE[name](n) for n in (1, 2, 40)] + [f"x {HOSTILE[name](7)} é{HOSTILE[name](3)}\n{HOSTILE[name](5)}"])
+
+
+def test_random_texts_give_the_same_findings(spark):
+    """Texts of pieces of matches, joined at random."""
+    pick = random.Random(6)
+    pieces = [
+        "a", "b1", ".", "-", "_", "+", "%", "@", ":", "/", "//", "=", " ", "\n", "é", "com", "js", "ey", "eyJ", "jdbc:", "mysql://", "redis://u:", "s3.", "s3-", "s3://",
+        ".s3.amazonaws.com", "s3.amazonaws.com/", "host:3306/db", "--", "-----BEGIN ", "RSA", " PRIVATE KEY-----", "-----END ", "x" * 5,
+    ]
+    same_as_library(spark, ["".join(pick.choices(pieces, k=pick.randint(1, 25))) for _ in range(1500)])
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_texts_take_linear_time(spark, name):
+    def seconds(n):
+        rows = spark.createDataFrame([(HOSTILE[name](n),)], "text string")
+        start = time.perf_counter()
+        detect.with_findings(rows).collect()
+        return time.perf_counter() - start
+
+    seconds(10)
+    small = min(seconds(20_000) for _ in range(2))
+    assert min(seconds(80_000) for _ in range(2)) < 4 * 1.6 * small + 1
+
+
+def test_needed_literals():
+    needed = detect.needed_literals
+    assert needed(r"\bSecret_(?:Key|Name)\d+") == ["secret_"]
+    assert needed(r"(?:alpha|betas)x") == ["alpha", "betas"]
+    assert needed(r"(?:alpha|\d+)x") == [] and needed(r"a?b*c") == [] and needed("abc") == []
+    assert needed(r"x{2}(longest text)+y?") == ["longest text"]
+    assert needed(r"(?=ahead)body(?!later)") == ["body"] and needed("größe") == []
+
+
+def test_many_rules_equal_the_library(spark):
+    """A table of rules, with and without literals, groups and flags, next to default rules."""
+    pick = random.Random(9)
+    names = [f"{pick.choice('abcxyz')}{i:03d}key" for i in range(700)]
+    rules = {name: pick.choice([rf"{name}\s*=\s*(\w+)", rf"(?i){name}-(\d)(x?)", rf"\b{name[1:]}\b", rf"(?:{name}|none{name[:4]})\d"]) for name in names}
+    rules |= {"digits": r"\d{6}", "two": r"(\w)=(\W)", "İ": r"(?i)istanbul"}
+    words = [*names, "=", " ", "-1x", "-2", "1", "İSTANBUL", "é", "123456", "a=!", "noneb001", "x" * 3, "\n"]
+    texts = ["".join(pick.choices(words, k=pick.randint(0, 30))) for _ in range(300)]
+    want = [{k: expected_samples(detect.Rule(k, k, p), t) for k, p in rules.items()} for t in texts]
+    got = found(spark, texts, rules=detect.custom_rules(rules))
+    for number, samples in enumerate(want):
+        assert got.get(number, {}) == {k: v for k, v in samples.items() if v}
+    mixed = found(spark, texts[:50], rules=[*detect.custom_rules(rules), *detect.default_rules()])
+    for number, text in enumerate(texts[:50]):
+        both = {k: v for k, v in want[number].items() if v} | {r.key: e for r in detect.default_rules() if (e := expected_samples(r, text))}
+        assert mixed.get(number, {}) == both
+
+
+def test_time_is_nearly_flat_in_the_number_of_rules(spark):
+    pick = random.Random(1)
+    texts = spark.createDataFrame([(" ".join(f"{pick.choice('abcdef')}{pick.randrange(10**6)}" for _ in range(2000)),) for _ in range(200)], "text string").coalesce(1)
+
+    def seconds(count):
+        rules = detect.custom_rules({f"r{i}": rf"secret{i:05d}\s*=\s*(\w+)" for i in range(count)})
+        frame = detect.with_findings(texts, rules=rules).select(F.sum(F.size("sensitive_raw")))
+        frame.collect()
+        start = time.perf_counter()
+        frame.collect()
+        return time.perf_counter() - start
+
+    assert seconds(5000) < 3 * seconds(56) + 2
+
+
+def test_a_bad_rule_among_many_is_left_out(spark):
+    rules = {f"r{i}": f"word{i}" for i in range(300)} | {"bad": "(", "worse": "a**"}
+    with warnings.catch_warnings(record=True) as caught:
+        warnings.simplefilter("always")
+        assert len(detect.custom_rules(rules)) == 300
+    assert len([w for w in caught if "left out" in str(w.message)]) == 2

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from dataclasses import replace
 from html.parser import HTMLParser
 
@@ -305,3 +307,58 @@ def test_pages_are_scanned_once(spark):
     assert plan.count(r"window\.open") == 1
     assert "Exchange" not in plan
     assert "ReadSchema: struct<url:string,html:string>" in plan
+
+
+def library_strings(html, source):
+    """What the fixed patterns capture by the standard library."""
+    patterns = [p for _, p in catalog.PATH_PATTERNS if re.compile(p).groups]
+    if source == "tag":
+        patterns = [p for name, _, p in links.tag_patterns() if name.endswith("_bare")]
+    out = set()
+    for pattern in patterns:
+        for match in re.findall(pattern, html, re.IGNORECASE):
+            out.add(next((g for g in match if g), "") if isinstance(match, tuple) else match)
+    return out - {""}
+
+
+def test_linear_forms_give_the_same_strings(spark):
+    """Pieces of tags and calls, joined at random, and beginnings over and over."""
+    pick = random.Random(11)
+    pieces = [
+        "<a", "<A ", "<link", "<img ", "<input ", "<", ">", " ", "href", "href=", " HREF = ", "src=", "formaction=", "action =", "'", '"', "/x", "y.js", "z)", "url(", "url('", ")",
+        "assets/", "assets/a.", ".js", ".woff2", "é", "\n", "data=", "<object ", "<meta content=", "=", "`", "/",
+    ]
+    htmls = ["".join(pick.choices(pieces, k=pick.randint(1, 30))) for _ in range(1200)]
+    htmls += [piece * 40 for piece in pieces] + ["<a " * 30 + "href=x" + "<a " * 9 + ">" + "<a " * 5, "url(" * 20 + "x)" + "url(" * 9, "assets/" * 9 + "b.js" + "assets/" * 8]
+    rows = links.raw_links(frame(spark, *htmls), ["path", "tag"]).select("page_id", "source", "raw").where("raw <> ''").collect()
+    got = {}
+    for row in rows:
+        got.setdefault((row.page_id, row.source), set()).add(row.raw)
+    for number, html in enumerate(htmls):
+        for source in ("path", "tag"):
+            assert got.get((number, source), set()) == library_strings(html, source), html
+    counts = {r.pattern: r.matches for r in links.pattern_counts(frame(spark, *htmls)).collect()}
+    for name, pattern in [*catalog.PATH_PATTERNS, *[(n, p) for n, _, p in links.tag_patterns()]]:
+        assert counts.get(name, 0) == sum(len(re.findall(pattern, html, re.IGNORECASE)) for html in htmls), name
+
+
+HOSTILE = ["<a ", "<a href", "<a x='", '<a x="', "<script ", "<script '", "<script x=\"<!--", "<input src", "assets/", "url(", "<!-- ", "<a b=c ", "<link href = "]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_hostile_pages_take_linear_time(spark, piece):
+    def seconds(n):
+        pages = frame(spark, piece * n)
+        start = time.perf_counter()
+        links.raw_links(pages).collect()
+        return time.perf_counter() - start
+
+    seconds(10)
+    small = min(seconds(16_000) for _ in range(2))
+    assert min(seconds(64_000) for _ in range(2)) < 4 * 1.6 * small + 1
+
+
+def test_an_unclosed_tag_holds_no_links(spark):
+    assert cleaned(spark, "<a href=/yes><a title='<a href=/no>", "dom") == ["/no", "/yes"]
+    assert cleaned(spark, "<a href=/yes><a title='<a href=/no>' ", "dom") == ["/yes"]
+    assert cleaned(spark, "<script x='>var a='<a href=/no>';</script><a href=/yes>", "dom") == ["/yes"]

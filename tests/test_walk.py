@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagescan import catalog
+from pagescan.operators.prune import among
 from pagescan.operators.skew import absent, balanced_join, hot_keys
 from pagescan.options import ScanOptions
 from pagescan.plans import scan, walk
@@ -259,3 +260,42 @@ def test_bundler_chunks_are_followed(spark):
     )
     done = scan.scan(spark.createDataFrame([(u(1),)], "url string"), responses, ScanOptions(max_depth=2))
     assert {(r.url, r.depth) for r in done.results.collect()} == {(u(1), 0), (chunk, 1), (u("from-chunk"), 2)}
+
+
+def test_only_captures_in_reach_are_searched(spark, monkeypatch):
+    """A scan of one domain among fifty reads its own pages, the chunks they may name, and few false alarms."""
+    pages = [page(f"http://d{d}.example{d}.com/{i}", f"<a href='/{i + 1}'>") for d in range(50) for i in range(20)]
+    pages.append(page("http://cdn.other.net/static/js/chunk-a2d74a98.1ea71fd1.js", "x"))
+    responses = spark.createDataFrame(pages, readers.RESPONSES)
+    start = walk.seeds(spark.createDataFrame([("http://d7.example7.com/0",), ("no url",), (None,)], "url string"))
+    kept = scan.in_reach(responses, start, ScanOptions())
+    found = {r.original_url for r in kept.select("original_url").collect()}
+    assert {f"http://d7.example7.com/{i}" for i in range(20)} | {pages[-1][1]} <= found and len(found) < 100
+    assert kept.schema == responses.schema
+    # The text is not shuffled: the filter comes by broadcast.
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    for options in (ScanOptions(scope_mode=2), ScanOptions(scope_mode=3, whitelist_domains=["x"]), ScanOptions(public_suffixes=None)):
+        assert scan.in_reach(responses, start, options).count() == 1001
+    # What is searched does not depend on the other domains' pages.
+    searched = []
+    real = scan.analysed
+    monkeypatch.setattr(scan, "analysed", lambda rows, *more: searched.append(rows) or real(rows, *more))
+    done = scan.scan(spark.createDataFrame([("http://d7.example7.com/0",)], "url string"), responses, ScanOptions(max_depth=30))
+    assert done.results.count() == 21 and searched[0].count() < 100
+
+
+def test_externals_once_are_searched_when_known(spark):
+    pages = [page(u(1), "<a href='https://o.example.org/x'>"), page("https://o.example.org/x", "1.2.3.4"), page("https://p.example.org/y", "5.6.7.8")]
+    done = scan.scan(spark.createDataFrame([(u(1),)], "url string"), spark.createDataFrame(pages, readers.RESPONSES), ScanOptions(scope_mode=1))
+    assert [(r.url, [s.type for s in r.sensitive_raw]) for r in done.external.collect()] == [("https://o.example.org/x", ["IP地址"])]
+
+
+def test_among_keeps_every_known_key(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, F.col("id").cast("string")).alias("k"), "id")
+    known = spark.range(0, 20_000, 7).select(F.col("id").cast("string").alias("key"))
+    for many in (known, known.limit(0), known.unionByName(known)):
+        got = {r.id for r in among(rows, F.col("k"), many, "key").collect()}
+        want = {r.id for r in rows.join(many.distinct(), F.col("k") == F.col("key")).collect()}
+        assert want <= got and len(got) < len(want) + 800
+    assert among(rows, F.col("k"), known.limit(0), "key", also=F.col("id") < 5).count() == 5
