@@ -82,7 +82,8 @@ def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOpt
 
     Each level is written to the shared folder, which cuts the plan and lets a
     lost executor read it again.  Hot sources and hot frontier URLs are cut
-    into slices before the join.
+    into slices before the join.  Without shared visits or a budget a level has a row for each URL with the set of targets
+    that reach it (`_reachable_bits`).
     """
     spark = start.sparkSession
     space = Workspace(spark, "walk")
@@ -90,6 +91,8 @@ def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOpt
     edges = edges.withColumnRenamed("src_url", "url")
     edges_hot = hot_keys(edges, "url", hot_rows)
     owner = ["url"] if options.share_visited else ["target", "url"]
+    if not options.share_visited and budget is None and (options.scope_mode >= SCOPE_ALL or options.public_suffixes is not None):
+        return _reachable_bits(space, start, edges, edges_hot, options, hot_rows)
     ration = _Ration(space, budget, options)
 
     def level(depth: int) -> str:
@@ -123,6 +126,51 @@ def reachable(start: DataFrame, edges: DataFrame, options: ScanOptions = ScanOpt
     return levels().select("target", "url", "depth", *([] if budget is None else ["request", "within_budget"]))
 
 
+_BITS = 64
+
+
+def _reachable_bits(space: Workspace, start: DataFrame, edges: DataFrame, edges_hot: dict[str, int], options: ScanOptions, hot_rows: int) -> DataFrame:
+    """A walk whose levels hold, for each URL and word of 64 targets, one bit a target.
+
+    Targets that are at the same URL go on together: a level is as long as its URLs are many, times the words.  Edges are followed once
+    for all of them, arrivals are combined by OR, and what was visited before is taken away by AND NOT; in a scope each edge lets the bits of
+    its domain's targets through.  Pairs of target and URL come apart at the end only.
+    """
+    first = start.select("target", urls.target_domain(F.col("target"), options.public_suffixes).alias("domain"), "url").distinct()
+    n = F.col("n") - 1
+    targets = numbered(first.select("target", "domain").distinct(), ["target"], name="n").select(
+        "target", "domain", n.alias("n"), F.floor(n / _BITS).alias("word"), F.expr(f"shiftleft(1L, cast((n - 1) % {_BITS} as int))").alias("own")
+    )
+    targets = space.write(targets, "targets")
+    doors = space.write(targets.groupBy("domain", "word").agg(F.bit_or("own").alias("let")), "doors")
+    named = targets.select(F.col("target").alias("_target"), "word", "own")
+    level = first.join(named, F.col("target").eqNullSafe(F.col("_target"))).groupBy("url", "word").agg(F.bit_or("own").alias("bits"))
+    level = space.write(level, "bits0")
+    levels, visited = level.withColumn("depth", F.lit(0)), None
+    for depth in range(1, options.max_depth + 1):
+        if level.isEmpty():
+            break
+        found = balanced_join(level, edges, "url", hot_keys(level, "url", hot_rows), edges_hot, "word", "dst_url")
+        if options.scope_mode < SCOPE_ALL:
+            door = doors.withColumnRenamed("domain", "dst_domain")
+            let_in = F.col("bits").bitwiseAND(F.coalesce("let", F.lit(0).cast("bigint")))
+            found = found.join(door, ["dst_domain", "word"], "left").withColumn("bits", F.when(F.col("always"), F.col("bits")).otherwise(let_in))
+        new = found.where("bits <> 0").groupBy(F.col("dst_url").alias("url"), "word").agg(F.bit_or("bits").alias("bits"))
+        if visited is not None:
+            # Above the aggregate, on one row for each URL and word.
+            seen = visited.withColumnRenamed("bits", "seen")
+            left = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("bigint"))))
+            new = new.join(seen, ["url", "word"], "left").select("url", "word", left.alias("bits")).where("bits <> 0")
+        level = space.write(new, f"bits{depth}")
+        levels = levels.unionByName(level.withColumn("depth", F.lit(depth)))
+        if depth < options.max_depth:
+            both = level if visited is None else visited.unionByName(level).groupBy("url", "word").agg(F.bit_or("bits").alias("bits"))
+            visited = space.write(both, f"visited{depth}")
+    places = F.filter(F.sequence(F.lit(0), F.lit(_BITS - 1)), lambda i: F.call_function("bit_get", F.col("bits"), i) == 1)
+    apart = levels.select("url", "depth", "word", F.explode(places).alias("bit")).withColumn("n", F.col("word") * _BITS + F.col("bit"))
+    return apart.join(targets.select("n", "target"), "n").select("target", "url", "depth")
+
+
 class _Ration:
     """What each target has spent of its budget so far."""
 

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from pagescan.operators.dedup import ROW_KEY, with_signature
 from pagescan.operators.detect import Rule, findings
 from pagescan.operators.links import page_links
+from pagescan.operators.report import report_rows
 from pagescan.operators.results import result_records
 from pagescan.options import ScanOptions
 from pagescan.sources.writers import titled
@@ -35,36 +34,9 @@ def page_stream(spark: SparkSession, folder: str, schema: StructType | str, file
     return stream if spread_by is None else stream.repartition(spark.sparkContext.defaultParallelism, spread_by)
 
 
-def combined(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """First row of each key in every Arrow batch.
-
-    A streaming duplicate drop shuffles all rows by key; a key that most rows
-    share would pile up in one task.  This thins it out before the shuffle.
-    """
-
-    def first_rows(batches):
-        names = [f"key{number}" for number in range(len(keys))]
-        for batch in batches:
-            places = pa.array(range(batch.num_rows), pa.int64())
-            table = pa.table([*(batch.column(k) for k in keys), places], [*names, "place"])
-            firsts = table.group_by(names).aggregate([("place", "min")])["place_min"].combine_chunks()
-            yield batch.take(firsts.take(pc.sort_indices(firsts)))
-
-    return rows.mapInArrow(first_rows, rows.schema)
-
-
-def live_results(responses: DataFrame, rules: Iterable[Rule] | None = None, hashed: str | None = None,
-                 event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Results with the first row of each signature per target only.
-
-    The state keeps every signature; name an event-time column to keep
-    signatures only for ``delay``.
-    """
-    keys = ["target", "signature"]
-    results = combined(with_signature(result_records(responses, rules), hashed), keys)
-    if event_time is None:
-        return results.dropDuplicates(keys)
-    return results.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
+def signed_results(responses: DataFrame, rules: Iterable[Rule] | None = None, hashed: str | None = None) -> DataFrame:
+    """Results with their signature as they come; stateless."""
+    return with_signature(result_records(responses, rules), hashed)
 
 
 def live_findings(pages: DataFrame, text: str = "html", rules: Iterable[Rule] | None = None) -> DataFrame:
@@ -72,10 +44,9 @@ def live_findings(pages: DataFrame, text: str = "html", rules: Iterable[Rule] |
     return findings(pages, text, rules)
 
 
-def new_links(pages: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Kept links that no earlier page of the stream held."""
-    kept = page_links(pages, options).where(F.col("disposition") == "keep")
-    return combined(kept.select(F.col("link").alias("url")), ["url"]).dropDuplicates(["url"])
+def kept_links(pages: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """Kept links of pages as they come; stateless."""
+    return page_links(pages, options).where(F.col("disposition") == "keep").select(F.col("link").alias("url"))
 
 
 def run_to(stream: DataFrame, space: Workspace, table: str) -> DataFrame:
@@ -90,17 +61,6 @@ def run_to(stream: DataFrame, space: Workspace, table: str) -> DataFrame:
     return space.read(table, stream)
 
 
-def write_live_csv(stream: DataFrame, path: str, progress: str) -> StreamingQuery:
-    """Append live report rows to CSV files as they come."""
-    return (
-        titled(stream).writeStream.format("csv").outputMode("append")
-        .options(header=True, quote='"', escape='"', emptyValue="")
-        .option("checkpointLocation", progress)
-        .trigger(availableNow=True)
-        .start(path)
-    )
-
-
 def _whole_key(by: list[str]) -> Column:
     """The columns as one text that is never null and tells null from any value."""
     return F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
@@ -127,36 +87,42 @@ class _FirstOfKey(StatefulProcessor):
         pass
 
 
-class DuplicateFlags:
-    """Duplicate flags across the batches of a stream.
+class FirstOfKeys:
+    """What is first of its key across the batches of a stream: duplicate flags, live results, new links.
 
-    Two queries work hand in hand.  `arrivals` writes each batch of results once and, for every (target, signature) in it, its
-    first row by (depth, url, key, requested url, place): one row a signature, however many share it.  `flags` reads these first rows as a
-    stream of its own and asks a keyed state, one value for each target and signature, whether the signature is new; then it
+    Two queries work hand in hand.  `arrivals` writes each batch of rows once and, for every value of the key ``by`` in it, its
+    first row by ``order`` and place: one row a key, however many share it, by a pre-aggregated minimum.  `answers` reads these first rows as a
+    stream of its own and asks a keyed state, one value for each key, whether the key is new; then it
     joins the answers to the batch's rows.  What a batch costs depends on its own rows, not on those of earlier batches.
 
+    With ``flag`` all rows come out, with the column ``flag``, false for the first of a key; without it only the first rows do, and no others are written.
     Batches go to folders named after them, so one that is run again overwrites what it wrote.  Rows count in
-    batches as in a scan; null targets and signatures are values of their own.  ``keep_ms`` forgets a signature after so long;
-    without it the state keeps every one.
+    batches as in a scan; null is a value of a key like others.  ``keep_ms`` forgets a key after so long;
+    without it the state keeps every one.  ``sink`` gets the rows of each batch of answers and its number; by default they are
+    written as Parquet and read by `rows`.
     """
 
-    def __init__(self, space: Workspace, key: list[str] = ROW_KEY, by: list[str] = ["target", "signature"], keep_ms: int | None = None):
-        self.space, self.key, self.by, self.keep_ms = space, key, by, keep_ms
+    def __init__(self, space: Workspace, by: list[str] = ["target", "signature"], order: list[str] = ["depth", "url", *ROW_KEY],
+                 flag: str | None = "is_duplicate_signature", keep_ms: int | None = None, sink: Callable[[DataFrame, int], None] | None = None):
+        self.space, self.by, self.order, self.flag, self.keep_ms = space, by, order, flag, keep_ms
+        self.sink = sink or (lambda rows, number: rows.write.mode("overwrite").parquet(self._batch("rows", number)))
 
     def _batch(self, table: str, number: int | str) -> str:
         return f"{self.space.folder(table)}/batch={number}"
 
     def _arrive(self, batch: DataFrame, number: int) -> None:
         rows = batch.withColumns({"_row": F.monotonically_increasing_id(), "_key": _whole_key(self.by)})
+        order = F.struct(*dict.fromkeys(c for c in [*self.order, "original_url", "_row"] if c in rows.columns))
+        if self.flag is None:
+            rows = rows.groupBy("_key").agg(F.min_by(F.struct(*batch.columns, "_row"), order).alias("least")).select("least.*", "_key")
         rows.write.mode("overwrite").parquet(self._batch("arrived", number))
-        stored = batch.sparkSession.read.schema(rows.schema).parquet(self._batch("arrived", number))
-        asked = ["original_url"] if "original_url" in batch.columns else []
-        order = list(dict.fromkeys(["depth", "url", *self.key, *asked, "_row"]))
-        firsts = stored.groupBy(F.col("_key").alias("key")).agg(F.min(F.struct(*[c for c in order if c in rows.columns])).alias("least"))
-        firsts = firsts.select("key", F.lit(number).cast("bigint").alias("batch"), F.col("least._row").alias("row"))
+        firsts = batch.sparkSession.read.schema(rows.schema).parquet(self._batch("arrived", number))
+        if self.flag is not None:
+            firsts = firsts.groupBy("_key").agg(F.min(order).alias("least")).select("_key", "least._row")
+        firsts = firsts.select(F.col("_key").alias("key"), F.lit(number).cast("bigint").alias("batch"), F.col("_row").alias("row"))
         firsts.write.mode("overwrite").parquet(self._batch("firsts", number))
 
-    def _flag(self, schema: StructType, answers: DataFrame, number: int) -> None:
+    def _answer(self, schema: StructType, answers: DataFrame, number: int) -> None:
         spark = answers.sparkSession
         # Written first: the state is asked once, and the answers say which batches to read.
         folder = self._batch("answers", number)
@@ -169,16 +135,15 @@ class DuplicateFlags:
         stored = StructType([*schema, StructField("_row", LongType()), StructField("_key", StringType()), StructField("batch", LongType())])
         rows = spark.read.schema(stored).option("basePath", self.space.folder("arrived")).parquet(*[self._batch("arrived", b) for b in batches])
         answers = answers.select("batch", F.col("key").alias("_key"), F.col("row").alias("_least"), "first")
-        duplicate = ~(F.col("first") & (F.col("_row") == F.col("_least")))
-        flagged = rows.join(answers, ["_key", "batch"]).select(*schema.names, duplicate.alias("is_duplicate_signature"))
-        flagged.write.mode("overwrite").parquet(self._batch("flagged", number))
+        met, first = rows.join(answers, ["_key", "batch"]), F.col("first") & (F.col("_row") == F.col("_least"))
+        self.sink(met.where(first).select(*schema.names) if self.flag is None else met.select(*schema.names, (~first).alias(self.flag)), number)
 
-    def arrivals(self, results: DataFrame) -> DataStreamWriter:
-        """Result rows with a signature, as they come; call ``start``."""
-        return results.writeStream.foreachBatch(self._arrive).option("checkpointLocation", self.space.folder("arrivals-progress"))
+    def arrivals(self, stream: DataFrame) -> DataStreamWriter:
+        """Rows as they come; call ``start``."""
+        return stream.writeStream.foreachBatch(self._arrive).option("checkpointLocation", self.space.folder("arrivals-progress"))
 
-    def flags(self, spark: SparkSession, schema: StructType) -> DataStreamWriter:
-        """The flags of the rows that have arrived (``schema`` is theirs); call ``start``.
+    def answers(self, spark: SparkSession, schema: StructType) -> DataStreamWriter:
+        """What is first among the rows that have arrived (``schema`` is theirs); call ``start``.
 
         The keyed state needs the RocksDB state store, which is set for the session.
         """
@@ -191,20 +156,41 @@ class DuplicateFlags:
             _FirstOfKey(self.keep_ms), "key string, batch bigint, row bigint, first boolean", "Append",
             "None" if self.keep_ms is None else "ProcessingTime",
         )
-        return answers.writeStream.foreachBatch(lambda rows, number: self._flag(schema, rows, number)).option(
-            "checkpointLocation", self.space.folder("flags-progress")
+        return answers.writeStream.foreachBatch(lambda rows, number: self._answer(schema, rows, number)).option(
+            "checkpointLocation", self.space.folder("answers-progress")
         )
 
-    def flagged(self, spark: SparkSession, schema: StructType) -> DataFrame:
-        """All rows flagged so far."""
-        schema = StructType([*schema, StructField("is_duplicate_signature", BooleanType()), StructField("batch", LongType())])
-        folder = self.space.folder("flagged")
-        return spark.read.schema(schema).option("basePath", folder).parquet(folder).drop("batch")
+    def rows(self, spark: SparkSession, schema: StructType) -> DataFrame:
+        """All rows written so far."""
+        flag = [] if self.flag is None else [StructField(self.flag, BooleanType())]
+        folder = self.space.folder("rows")
+        return spark.read.schema(StructType([*schema, *flag, StructField("batch", LongType())])).option("basePath", folder).parquet(folder).drop("batch")
 
+    def run(self, stream: DataFrame) -> None:
+        """Process all that has arrived."""
+        self.arrivals(stream).trigger(availableNow=True).start().awaitTermination()
+        # With a time to live the state wants another batch for ever; one takes all first rows.
+        trigger = {"availableNow": True} if self.keep_ms is None else {"once": True}
+        self.answers(stream.sparkSession, stream.schema).trigger(**trigger).start().awaitTermination()
 
-def run_flagged(results: DataFrame, space: Workspace, key: list[str] = ROW_KEY, keep_ms: int | None = None) -> DataFrame:
+
+def run_flagged(results: DataFrame, space: Workspace, keep_ms: int | None = None) -> DataFrame:
     """Results of a stream with their duplicate flag, after all that has arrived."""
-    flags, spark = DuplicateFlags(space, key, keep_ms=keep_ms), results.sparkSession
-    flags.arrivals(results).trigger(availableNow=True).start().awaitTermination()
-    flags.flags(spark, results.schema).trigger(availableNow=True).start().awaitTermination()
-    return flags.flagged(spark, results.schema)
+    flags = FirstOfKeys(space, keep_ms=keep_ms)
+    flags.run(results)
+    return flags.rows(results.sparkSession, results.schema)
+
+
+def run_firsts(stream: DataFrame, space: Workspace, by: list[str], order: list[str] = [], keep_ms: int | None = None) -> DataFrame:
+    """The first row of each key of a stream, after all that has arrived."""
+    firsts = FirstOfKeys(space, by, order, None, keep_ms)
+    firsts.run(stream)
+    return firsts.rows(stream.sparkSession, stream.schema)
+
+
+def run_live_csv(results: DataFrame, space: Workspace, path: str, keep_ms: int | None = None) -> None:
+    """Report rows of the first result of each signature, as CSV files in a folder for each batch."""
+    def write(rows: DataFrame, number: int) -> None:
+        titled(report_rows(rows)).write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(f"{path}/batch={number}")
+
+    FirstOfKeys(space, flag=None, keep_ms=keep_ms, sink=write).run(results)

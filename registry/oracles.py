@@ -815,6 +815,13 @@ ORACLES["stream_dup_untargeted"] = select(
     """SELECT CASE WHEN page_id % 3 <> 0 THEN target END AS target, signature, count(*) AS n, count(*) - 1 AS n_duplicates
     FROM signed GROUP BY ALL""",
 )
+ORACLES["stream_dup_redirect"] = select(
+    [responses(),
+     """moved AS (SELECT * REPLACE (CASE WHEN page_id % 10 = 1 THEN '<p>moved</p>' ELSE content END AS content) FROM responses)""",
+     f"records AS (SELECT *, {STATUS} AS status, length(content)::INT AS length FROM moved)",
+     SIGNED],
+    "SELECT signature, count(*) AS n, count(*) - 1 AS n_duplicates FROM signed GROUP BY signature",
+)
 ORACLES["stream_findings"] = select(
     [hits("documents", "doc_id", "text")], "SELECT doc_id, rule, len(samples)::INT AS count FROM hits"
 )

@@ -613,8 +613,8 @@ def _stream(spark: SparkSession, sf_dir: str, name: str, batches: int = 4) -> Da
 
 @query
 def stream_live_rows(spark, sf_dir):
-    rows = live.live_results(responses(_stream(spark, sf_dir, "pages")), rules=[]).select("target", "signature")
-    return live.run_to(rows, Workspace(spark, "stream"), "live")
+    rows = live.signed_results(responses(_stream(spark, sf_dir, "pages")), rules=[]).select("target", "signature")
+    return live.run_firsts(rows, Workspace(spark, "stream"), ["target", "signature"])
 
 
 @query
@@ -637,6 +637,19 @@ def stream_dup_untargeted(spark, sf_dir):
     )
 
 
+@query
+def stream_dup_redirect(spark, sf_dir):
+    """Duplicate flags across batches where redirects lead many requests to one URL."""
+    rows, i = responses(_stream(spark, sf_dir, "pages")), F.col("page_id")
+    rows = rows.withColumn("url", F.when(i % 5 == 1, F.concat(F.lit("http://r.example.com/"), i % 3)).otherwise(F.col("url")))
+    rows = rows.withColumns({"content": F.when(i % 10 == 1, F.lit("<p>moved</p>")).otherwise(F.col("content")), "target": F.lit("t")})
+    signed = live.signed_results(rows, rules=[]).select("target", "depth", "url", "original_url", "signature", "status_code")
+    flagged = live.run_flagged(signed, Workspace(spark, "stream"))
+    return flagged.groupBy("signature").agg(
+        F.count("*").alias("n"), F.sum(F.col("is_duplicate_signature").cast("bigint")).alias("n_duplicates")
+    )
+
+
 @query
 def stream_findings(spark, sf_dir):
     found = live.live_findings(_stream(spark, sf_dir, "documents").select("doc_id", "text"), "text")
@@ -645,5 +658,5 @@ def stream_findings(spark, sf_dir):
 
 @query
 def stream_new_links(spark, sf_dir):
-    rows = live.new_links(rich_pages(_stream(spark, sf_dir, "pages")), OPTIONS)
-    return live.run_to(rows, Workspace(spark, "stream"), "links")
+    rows = live.kept_links(rich_pages(_stream(spark, sf_dir, "pages")), OPTIONS)
+    return live.run_firsts(rows, Workspace(spark, "stream"), ["url"])

@@ -1,11 +1,11 @@
 import random
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from pagescan import catalog
 from pagescan.operators import dedup, links, results
-from pagescan.operators.report import report_rows
 from pagescan.options import ScanOptions
 from pagescan.sources import readers
 from pagescan.storage import Workspace
@@ -34,10 +34,11 @@ def test_stream_equals_batch(spark, tmp_path):
     got = live.run_to(live.live_findings(stream.select("page_id", "html")).select(*key), space, "findings")
     want = live.live_findings(pages.select("page_id", "html")).select(*key)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    got = live.run_to(live.new_links(stream, OPTIONS), space, "links")
+    got = live.run_firsts(live.kept_links(stream, OPTIONS), Workspace(spark, "test"), ["url"])
     want = links.kept_links(links.page_links(pages, OPTIONS)).select("link").distinct()
     assert sorted(r.url for r in got.collect()) == sorted(r.link for r in want.collect())
-    got = live.run_to(live.live_results(as_responses(stream), rules=[]).select("target", "signature"), space, "live")
+    signed = live.signed_results(as_responses(stream), rules=[]).select("target", "signature")
+    got = live.run_firsts(signed, Workspace(spark, "test"), ["target", "signature"])
     want = dedup.with_signature(results.result_records(as_responses(pages), rules=[])).select("target", "signature").distinct()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -102,10 +103,10 @@ def test_flags_live_on_in_later_runs(spark, tmp_path):
     spark.createDataFrame([row("t", "/c", "/c", "1"), row("t", "/d", "/d", "2")], FLAG_ROWS).coalesce(1).write.parquet(f"{folder}/9")
     again = live.run_flagged(stream, space)
     assert {r.url: r.is_duplicate_signature for r in again.collect()} == {"/a": False, "/b": True, "/c": True, "/d": False}
-    flags = live.DuplicateFlags(space)
+    flags = live.FirstOfKeys(space)
     answers = spark.read.parquet(space.folder("answers/batch=1"))
-    flags._flag(stream.schema, spark.createDataFrame(answers.collect(), answers.schema), 1)
-    assert flags.flagged(spark, stream.schema).count() == 4
+    flags._answer(stream.schema, spark.createDataFrame(answers.collect(), answers.schema), 1)
+    assert flags.rows(spark, stream.schema).count() == 4
 
 
 def test_a_batch_asks_the_state_once_per_signature(spark, tmp_path):
@@ -118,28 +119,30 @@ def test_a_batch_asks_the_state_once_per_signature(spark, tmp_path):
         assert spark.read.parquet(space.folder(f"firsts/batch={n}")).count() == 1
 
 
-def test_bounded_state_needs_an_event_time(spark, tmp_path):
-    pages, _ = arriving(spark, str(tmp_path / "pages"))
-    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "pages"))
-    timed = as_responses(stream).withColumn("seen_at", F.timestamp_seconds("page_id"))
-    got = live.run_to(live.live_results(timed, rules=[], event_time="seen_at").select("signature"), Workspace(spark, "test"), "live")
-    assert got.count() == got.distinct().count()
+def test_state_can_be_bounded(spark, tmp_path):
+    """A signature that was forgotten is new again."""
+    space, folder = Workspace(spark, "test"), str(tmp_path / "in")
+    stream = in_batches(spark, folder, [[row("t", "/a", "/a", "1")]])
+    assert live.run_flagged(stream, space, keep_ms=1).where("is_duplicate_signature").count() == 0
+    spark.createDataFrame([row("t", "/b", "/b", "1")], FLAG_ROWS).coalesce(1).write.parquet(f"{folder}/9")
+    time.sleep(0.1)
+    assert live.run_flagged(stream, space, keep_ms=1).where("is_duplicate_signature").count() == 0
 
 
 def test_live_csv(spark, tmp_path):
     _, stream = arriving(spark, str(tmp_path / "pages"))
-    rows = report_rows(live.live_results(as_responses(stream), rules=[]))
-    live.write_live_csv(rows, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    live.run_live_csv(live.signed_results(as_responses(stream), rules=[]), Workspace(spark, "test"), str(tmp_path / "out"))
     read = spark.read.options(header=True, escape='"', multiLine=True).csv(str(tmp_path / "out"))
-    assert read.count() == 50 and read.columns == catalog.REPORT_HEADER
+    assert read.count() == 50 and read.columns == [*catalog.REPORT_HEADER, "batch"]
 
 
-def test_hot_keys_are_thinned_before_the_shuffle(spark):
-    rows = spark.range(0, 20_000, 1, 2).select(
+def test_hot_keys_are_combined_in_the_jvm(spark, tmp_path):
+    """Rows of a key are thinned by an aggregate before they are written; no Python sees them."""
+    rows = spark.range(20_000).select(
         F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("target"), F.lit(None).cast("string").alias("signature"),
         F.array(F.struct("id")).alias("more"),
     )
-    got = live.combined(rows, ["target", "signature"])
-    assert got.where("target = 'hot'").count() <= 4
-    assert got.select("target", "signature").distinct().count() == 10_001
-    assert got.schema == rows.schema
+    space = Workspace(spark, "test")
+    live.FirstOfKeys(space, flag=None)._arrive(rows, 0)
+    arrived = spark.read.parquet(space.folder("arrived/batch=0"))
+    assert arrived.count() == 10_001 and arrived.where("target = 'hot'").first().more[0].id == 0

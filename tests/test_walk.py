@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -262,6 +263,24 @@ def test_bundler_chunks_are_followed(spark):
     assert {(r.url, r.depth) for r in done.results.collect()} == {(u(1), 0), (chunk, 1), (u("from-chunk"), 2)}
 
 
+def test_levels_do_not_grow_with_the_targets(spark):
+    """Hundreds of targets in several words of bits, against plain Python; a level has one row for each URL and word."""
+    rng = random.Random(12)
+    nodes = [u(i, f"w.example{i % 2}.com") for i in range(200)]
+    edges = {node: {rng.choice(nodes) for _ in range(4)} for node in nodes}
+    pairs = spark.createDataFrame([(s, d) for s, ds in edges.items() for d in ds], "src_url string, dst_url string")
+    made = {}
+    for scope, count in ((2, 64), (2, 10), (0, 150)):
+        options = ScanOptions(scope_mode=scope, share_visited=False, max_depth=3)
+        starts = nodes[:count]
+        got = walk.reachable(walk.seeds(spark.createDataFrame([(s,) for s in starts], "url string")), walk.with_domain(pairs, options), options)
+        domain = lambda url: url.split("/")[2].split(".", 1)[1]
+        assert sorted(map(tuple, got.collect())) == walk_in_python(starts, edges, options, domain)
+        folder = re.search(r"file:\S*?/walk-[0-9a-f]+", "\n".join(got.inputFiles())).group()
+        made[count] = [spark.read.parquet(f"{folder}/bits{depth}").count() for depth in (1, 2, 3)]
+    assert max(made[64]) <= 200 and max(made[150]) <= 200 * 3
+
+
 def test_only_captures_in_reach_are_searched(spark, monkeypatch):
     """A scan of one domain among fifty reads its own pages, the chunks they may name, and few false alarms."""
     pages = [page(f"http://d{d}.example{d}.com/{i}", f"<a href='/{i + 1}'>") for d in range(50) for i in range(20)]
