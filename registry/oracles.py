@@ -602,11 +602,11 @@ ORACLES["findings_whole_match"] = select(
 )
 ORACLES["findings_custom"] = select(
     ["items AS (SELECT item_id, text AS item, row_number() OVER (ORDER BY item_id)::INT AS ord FROM benchmark WHERE length(text) >= 16)",
-     f"""matched AS (SELECT doc_id, item_id, ord, regexp_extract_all(d.text,
-        '(' || regexp_replace(left(item, 16), '([^A-Za-z0-9 ])', '\\\1', 'g') || '[a-z]*)([ .]?)') AS found
-    FROM documents d JOIN items ON contains(d.text, left(item, 16)))""",
-     """samples AS (SELECT doc_id, item_id, ord, list_sort(list_distinct(list_transform(found, lambda m:
-        '(' || chr(39) || regexp_replace(m, '[ .]$', '') || chr(39) || ', ' || chr(39) || regexp_extract(m, '[ .]?$') || chr(39) || ')'))) AS s FROM matched)"""],
+     rf"""patterns AS (SELECT *, '(' || regexp_replace(left(item, 16), '([!-/:-@\[-`{{-~])', '\\\1', 'g') || '[a-z]*)([ .]?)' AS p FROM items)""",
+     """matched AS (SELECT doc_id, item_id, ord, list_zip(regexp_extract_all(d.text, p, 1), regexp_extract_all(d.text, p, 2)) AS found
+    FROM documents d JOIN patterns ON contains(d.text, left(item, 16)))""",
+     """samples AS (SELECT doc_id, item_id, ord, list_sort(list_distinct(list_transform(found,
+        lambda m: '(' || chr(39) || m[1] || chr(39) || ', ' || chr(39) || m[2] || chr(39) || ')'))) AS s FROM matched)"""],
     """SELECT doc_id, ord, 'item ' || item_id AS rule, 'item ' || item_id AS type, len(s)::INT AS count, len(s)::INT AS total,
     array_to_string(s, '; ') AS samples FROM samples""",
 )

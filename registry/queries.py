@@ -404,7 +404,7 @@ def findings_whole_match(spark, sf_dir):
 @query
 def findings_custom(spark, sf_dir):
     """A user's rules, hundreds of them and one that does not compile: the beginning of each benchmark item and what follows it."""
-    beginning = F.regexp_replace(F.substring("text", 1, 16), r"([^A-Za-z0-9 ])", r"\\$1")
+    beginning = F.regexp_replace(F.substring("text", 1, 16), r"([!-/:-@\[-`{-~])", r"\\$1")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) >= 16").select(
         F.col("item_id").alias("ord"), F.concat(F.lit("item "), "item_id").alias("type"),
         F.concat(F.lit("("), beginning, F.lit(r"[a-z]*)([ .]?)")).alias("pattern"),
