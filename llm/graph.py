@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from pagescan.storage import Workspace
 
+TASK_ROWS = 50_000
+
+
+def sized(rows: DataFrame, count: int) -> DataFrame:
+    """At most one partition for so many rows: a small table is no work for hundreds of tasks, and a large one keeps all of its."""
+    return rows.coalesce(max(1, -(-count // TASK_ROWS)))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """id and label (the smallest id it is connected to, itself included) of every id in the edges ``a``, ``b``.
@@ -23,13 +30,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         step += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = work.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"least{step}")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = work.write(large, f"large{step}")
+        large = work.write(sized(large, print_[0]), f"large{step}")
         # Every id also keeps its link to its smallest neighbour.
-        lower = work.write(large.groupBy("u").agg(F.min("v").alias("m")), f"lower{step}")
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = work.write(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), f"edges{step}")
+        now = work.write(sized(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), print_[0]), f"edges{step}")
         if (found := _print(now)) == print_:
             break
         print_ = found
@@ -38,5 +45,5 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _print(edges: DataFrame) -> tuple:
-    """Equal for equal edge lists."""
+    """The number of edges, and a sum that is equal for equal lists."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.tables import texts
+from llm.tables import sampled, texts
 from llm.words import Words, mix, slices, words
 
 BUCKETS = 1 << 15
@@ -104,10 +104,11 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     begin, counts = first[:-1][order], counts[order]
     steps = int(counts[0]) if len(counts) else 0
     live = np.searchsorted(-counts, -np.arange(steps), side="left")  # rows longer than the step
-    back = np.zeros(scores.shape, np.uint8)
+    kind = np.min_scalar_type(max(scores.shape[1] - 1, 0))
+    back = np.zeros(scores.shape, kind)
     best = np.zeros((len(counts), scores.shape[1]), np.float32)
     rows = np.arange(len(counts))
-    itself = np.arange(scores.shape[1], dtype=np.uint8)
+    itself = np.arange(scores.shape[1], dtype=kind)
     for t in range(steps):
         n = live[t]
         at, state = begin[:n] + t, best[:n]
@@ -116,7 +117,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
         moved = other > state
         back[at] = np.where(moved, top[:, None], itself)
         best[:n] = np.where(moved, other, state) + scores[at]
-    out = np.zeros(len(scores), np.uint8)
+    out = np.zeros(len(scores), kind)
     now = best.argmax(axis=1)
     for t in range(steps - 1, -1, -1):
         n = live[t]
@@ -131,9 +132,7 @@ def learn(docs: DataFrame, lang_column: str = "lang", id_column: str = "doc_id",
     labelled = docs.select(
         F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = labelled.count()
-    if total > sample:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * sample // total)
+    labelled = sampled(labelled, labelled.count(), sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

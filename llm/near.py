@@ -4,20 +4,24 @@ A document's set holds its distinct shingles of five words, A-Z lower-cased; few
 are one shingle.  Two documents are linked if 100 * intersection >= 75 * union.
 
 Equal sets are one vertex.  The others get `MINHASHES` minwise tokens.  Each of `TREES` independent
-trees branches the vertices by a chosen minwise token; a node of at most `NODE` vertices is
-compared exhaustively, a larger one is branched by `BRANCHES` further tokens, and each of these paths by one token more,
-`DEPTH` tokens at most.  Every step of every path has a token of its own; those beyond the first `MINHASHES` are
-made for vertices of large nodes only.  Two documents at 0.75 agree in a token with probability 0.75, so sixteen trees miss one of 4e9 such
-pairs if their nodes are small, and (1 - 0.75 * (1 - (1 - 0.75 ** 3) ** 3)) ** 16, one of 3e6, if all their nodes are
-branched down to depth four.  Nodes that stay large hold documents with the same chosen tokens,
-mostly one group of near copies; they are dealt at random into small blocks first, and what is not connected
-then is compared with the whole node, in chunks, by a product of incidence matrices over the full sets.
-
-Comparing inside a node is by signatures and gives a spanning forest of the pairs that
+trees branches the vertices by a chosen minwise token of its own.  A node of at most `NODE` vertices is
+compared exhaustively.  A larger one is settled first: it is dealt at random into small blocks, whose likely pairs are
+confirmed on the full sets, and the components found so far become labels.  A node with one label, as a group of near
+copies mostly is, holds nothing more to find.  If at most `OUTSIDE` of its vertices lie outside its main component these are compared with
+the whole node, which is linear in its size.  Else it is branched: by `BRANCHES` further tokens, and each of these paths by one token more, or two
+for every third path, until every node is of one of these kinds; there is no last depth.  Every step of every path has a token
+of its own, drawn from the full sets.
+
+Two documents at 0.75 agree in a token with probability 0.75, so sixteen trees miss one of 4e9 such
+pairs if their nodes are small.  A branched path goes on as 4/3 paths on average: a pair at 0.75 keeps one of them on average,
+and trees miss one of 7e5 if all nodes are branched eight steps deep, one of 5e3 at sixteen steps.  Documents that are less alike
+thin out at every step, so the rows of a level fall, and the sizes of its nodes with them.
+
+Comparing inside a small node is by signatures and gives a spanning forest of the pairs that
 could be links, the likeliest first; a forest edge is then confirmed on the full sets.  If all
 edges of a node hold, its other pairs can't change the components.  Nodes with
-a refuted edge are compared again for all pairs whose ends are not connected yet.  So each document takes part in a few confirmations,
-however large its group, and no pair that could connect two components is left out.
+a refuted edge, and the ends of branching, are compared for all pairs whose labels differ, in cells of bounded numbers of vertices and
+shingles: by signatures first, and those that have a likely partner by products of incidence matrices over the full sets.
 
 Null texts are empty; documents without words have no shingles and no links.  Rows without an id are left out; rows that repeat an
 id are linked like others and named by it.  An empty table gives an empty result.
@@ -33,23 +37,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.graph import components
+from llm.graph import components, sized
 from llm.tables import texts
 from llm.words import Words, mix, runs, slices, words
+from pagescan.operators.prune import among
 from pagescan.storage import Workspace
 
 SHINGLE = 5
 PERCENT = 75
 TREES = 16
-BRANCHES = 3
-MINHASHES = 48  # places that are compared
-DEPTH = 4
-PLACES = TREES + TREES * BRANCHES * (DEPTH - 1)
+BRANCHES = 4
+MINHASHES = 48
 NODE = 48
 BLOCK = 24
-CHUNK, PART = 512, 2048
+OUTSIDE = 1024
+CHUNK, PART = 512, 2048  # vertices of a cell: outside the main component, and of the node
+CELL = 2_000_000  # shingles of a cell, about
 # Pairs whose signatures agree in fewer places are no links: of pairs at 0.75, one of 4.7 million agrees in fewer.
 AGREE = 20
+# Settling a large node tries pairs that agree as often as links do.
+LIKELY = 36
 _SET_BYTES = 6
 
 
@@ -79,7 +86,7 @@ def shingles(found: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
 def signatures(values: np.ndarray, offsets: np.ndarray, count: int = MINHASHES) -> np.ndarray:
     """Rows x count minwise tokens; rows without shingles get zeros."""
     random = np.random.default_rng(5)
-    factors, masks = random.integers(0, 1 << 63, (PLACES, 2), dtype=np.uint64).T
+    factors, masks = random.integers(0, 1 << 63, (count, 2), dtype=np.uint64).T
     factors = factors * np.uint64(2) + np.uint64(1)
     out = np.zeros((len(offsets) - 1, count), np.uint32)
     filled = np.flatnonzero(np.diff(offsets))
@@ -96,19 +103,16 @@ def _row_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words]]
             yield part, words(part.column("text"), lower=True)
 
 
-def _profiles(count: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, found in _row_slices(batch):
-                values, offsets = shingles(found)
-                marks = signatures(values, offsets, count)
-                keys = [hashlib.blake2b(values[a:b], digest_size=16).hexdigest() if b > a else None for a, b in zip(offsets, offsets[1:])]
-                yield pa.record_batch({
-                    "doc_id": part.column("doc_id"), "version": part.column("version"), "n_shingles": pa.array(np.diff(offsets), pa.int64()),
-                    "set_key": pa.array(keys, pa.string()), "signature": pa.array([m.tobytes() for m in marks], pa.binary()),
-                })
-
-    return run
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, found in _row_slices(batch):
+            values, offsets = shingles(found)
+            marks = signatures(values, offsets)
+            keys = [hashlib.blake2b(values[a:b], digest_size=16).hexdigest() if b > a else None for a, b in zip(offsets, offsets[1:])]
+            yield pa.record_batch({
+                "doc_id": part.column("doc_id"), "version": part.column("version"), "n_shingles": pa.array(np.diff(offsets), pa.int64()),
+                "set_key": pa.array(keys, pa.string()), "signature": pa.array([m.tobytes() for m in marks], pa.binary()),
+            })
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +121,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, offsets = shingles(found)
             packed = np.ascontiguousarray((values >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :_SET_BYTES])
             yield pa.record_batch({
-                "doc_id": part.column("doc_id"),
+                "doc_id": part.column("doc_id"), "n": pa.array(np.diff(offsets), pa.int64()),
                 "set": pa.array([packed[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary()),
             })
 
@@ -138,38 +142,51 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_())})
 
 
-def _token(path: int, depth: int) -> int:
-    """The minwise token by which a path (at depth 0: a tree) branches at a depth; no two share one."""
-    return path if depth == 0 else TREES + TREES * BRANCHES * (depth - 1) + path
-
-
-def _marks(batch: pa.RecordBatch, count: int = MINHASHES) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, count)
+def _marks(signature: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(signature.to_pylist()), np.uint32).reshape(-1, MINHASHES)
 
 
 def _first_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            marks = _marks(batch).astype(np.uint64)
+            marks = _marks(batch.column("signature")).astype(np.uint64)
             for tree in range(TREES):
-                node = mix(np.full(len(marks), np.uint64(tree)), marks[:, _token(tree, 0)])
+                node = mix(np.full(len(marks), np.uint64(tree)), marks[:, tree])
                 yield pa.record_batch({
-                    "tree": pa.array(np.full(len(marks), tree), pa.int32()), "node": pa.array(node.view(np.int64)), "id": batch.column("doc_id"),
+                    "path": pa.array(np.full(len(marks), tree), pa.int64()), "node": pa.array(node.view(np.int64)), "id": batch.column("doc_id"),
                 })
 
 
-def _deeper(depth: int):
+# Keeps the uses of a path's hash apart, and all of them off zero, which `mix` maps to itself.
+_COUNT, _BRANCH, _FACTOR, _MASK = (np.uint64(0x632BE59BD9B4E019 * i % (1 << 64)) for i in (1, 2, 3, 4))
+
+
+def _next_paths(path: np.ndarray, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the paths that go on, one for each branch, and the paths that they go on as."""
+    count = np.full(len(path), BRANCHES) if first else 1 + (mix(path, _COUNT) % np.uint64(3) == 0)
+    place = np.repeat(np.arange(len(path)), count)
+    branch = np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)
+    return place, mix(mix(path[place], _BRANCH), branch.astype(np.uint64) + _BRANCH)
+
+
+def _branched(first: bool):
+    """Vertices with their sets and the paths and nodes they are in, to the nodes one step below."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                marks, tree = _marks(batch, PLACES), batch.column("tree").to_numpy()
-                node = batch.column("node").to_numpy().view(np.uint64)
-                # The first step from a tree's root makes a path of each branch; a path goes on as one.
-                for branch in range(BRANCHES if depth == 1 else 1):
-                    path = tree + TREES * branch
-                    token = marks[np.arange(len(path)), _token(path, depth)].astype(np.uint64)
-                    next_ = mix(mix(node, path.astype(np.uint64)), token)
-                    yield pa.record_batch({"tree": pa.array(path, pa.int32()), "node": pa.array(next_.view(np.int64)), "id": batch.column("id")})
+            paths, nodes, ids = [], [], []
+            for id_, set_, path, node in zip(*(batch.column(c) for c in ("id", "set", "paths", "nodes"))):
+                values = _unpacked(set_.as_py())
+                path, node = (np.array(x.as_py(), np.int64).view(np.uint64) for x in (path, node))
+                place, path = _next_paths(path, first)
+                factors, masks = mix(path, _FACTOR) | np.uint64(1), mix(path, _MASK)
+                tokens = np.array([((values ^ m) * f >> np.uint64(32)).min() for f, m in zip(factors, masks)], np.uint64)
+                paths.append(path)
+                nodes.append(mix(mix(node[place], path), tokens))
+                ids.append(np.full(len(path), id_.as_py()))
+            if ids:
+                path, node, id_ = (np.concatenate(x) for x in (paths, nodes, ids))
+                yield pa.record_batch({"path": pa.array(path.view(np.int64)), "node": pa.array(node.view(np.int64)), "id": pa.array(id_, pa.int64())})
 
     return run
 
@@ -191,7 +208,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _alike(node: np.ndarray, marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _alike(node: np.ndarray, marks: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places of pairs in one node whose signatures agree often enough, and how often; node by lag."""
     lag = 1
     places = np.arange(len(node))
@@ -203,35 +220,38 @@ def _alike(node: np.ndarray, marks: np.ndarray) -> Iterator[tuple[np.ndarray, np
         for at in range(0, len(places), 1 << 16):
             part = places[at : at + (1 << 16)]
             agree = (marks[part] == marks[part + lag]).sum(axis=1)
-            good = agree >= AGREE
+            good = agree >= least
             if good.any():
                 yield part[good], part[good] + lag, agree[good]
         lag += 1
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per node a spanning forest of the pairs that could be links, the likeliest first."""
-    for table in _groups(batches):
-        node, ids = table.column("node").to_numpy(), table.column("id").to_numpy()
-        marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, MINHASHES)
-        found = list(_alike(node, marks))
-        if not found:
-            continue
-        x, y, agree = (np.concatenate(part) for part in zip(*found))
-        order = np.lexsort((np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y]), -agree))
-        parent = list(range(len(ids)))
+def _forest(least: int):
+    """Per node a spanning forest of the pairs whose signatures agree often enough, the likeliest first."""
 
-        def top(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = i = parent[parent[i]]
-            return i
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            node, ids = table.column("node").to_numpy(), table.column("id").to_numpy()
+            found = list(_alike(node, _marks(table.column("signature")), least))
+            if not found:
+                continue
+            x, y, agree = (np.concatenate(part) for part in zip(*found))
+            order = np.lexsort((np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y]), -agree))
+            parent = list(range(len(ids)))
+
+            def top(i: int) -> int:
+                while parent[i] != i:
+                    parent[i] = i = parent[parent[i]]
+                return i
+
+            kept = []
+            for i, (p, q) in zip(order.tolist(), zip(x[order].tolist(), y[order].tolist())):
+                if (s := top(p)) != (t := top(q)):
+                    parent[s] = t
+                    kept.append(i)
+            yield _pairs(node, ids, x[kept], y[kept])
 
-        kept = []
-        for i, (p, q) in zip(order.tolist(), zip(x[order].tolist(), y[order].tolist())):
-            if (s := top(p)) != (t := top(q)):
-                parent[s] = t
-                kept.append(i)
-        yield _pairs(node, ids, x[kept], y[kept])
+    return run
 
 
 def _pairs(node: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
@@ -240,15 +260,28 @@ def _pairs(node: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> p
     })
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a node that could be links and have different labels."""
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a cell, the vertices outside the main component that could be linked to another label, and those they could be linked to."""
     for table in _groups(batches):
-        node, ids, label = (table.column(c).to_numpy() for c in ("node", "id", "label"))
-        marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, MINHASHES)
-        for x, y, _ in _alike(node, marks):
-            apart = label[x] != label[y]
-            if apart.any():
-                yield _pairs(node, ids, x[apart], y[apart])
+        node, ids, label, outside = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "id", "label", "outside"))
+        marks, n = _marks(table.column("signature")), table.column("n").to_numpy()
+        edges = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
+        wanted = np.zeros(len(ids), bool)
+        for a, b in zip(edges, edges[1:]):
+            inside, out = a + np.flatnonzero(~outside[a:b]), a + np.flatnonzero(outside[a:b])
+            if len(inside):
+                others, sizes = np.ascontiguousarray(marks[inside].T), n[inside]
+                for one in out:
+                    agree = (others == marks[one][:, None]).sum(axis=0, dtype=np.uint8)
+                    # Sets are linked only if the smaller one has so many of the larger one's shingles.
+                    alike = 100 * np.minimum(sizes, n[one]) >= PERCENT * np.maximum(sizes, n[one])
+                    good = (agree >= AGREE) & alike & (label[inside] != label[one])
+                    wanted[inside[good]] = True
+                    wanted[one] |= good.any()
+        if wanted.any():
+            yield pa.record_batch({
+                "node": pa.array(node[wanted]), "id": pa.array(ids[wanted]), "label": pa.array(label[wanted]), "outside": pa.array(outside[wanted]),
+            })
 
 
 def common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -269,7 +302,7 @@ def common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between a chunk of outsiders and a part of their node, one for each outsider and label."""
+    """Links between the outsiders of a node and a part of it, one for each outsider and label."""
     for table in _groups(batches):
         node, ids, label, outside = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "id", "label", "outside"))
         edges = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
@@ -286,7 +319,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _PAIRS = "node bigint, a bigint, b bigint"
-_MEMBERS = "tree int, node bigint, id bigint"
+_MEMBERS = "path bigint, node bigint, id bigint"
 _PROFILES = "doc_id bigint, version bigint, n_shingles bigint, set_key string, signature binary"
 
 
@@ -300,7 +333,7 @@ class Join:
     def __init__(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"):
         self.work = Workspace(docs.sparkSession, "near")
         self.rows = texts(docs, id_column, text_column).withColumn("version", _version(F.col("text")))
-        self.profiles = self.work.write(self.rows.mapInArrow(_profiles(MINHASHES), _PROFILES), "profiles")
+        self.profiles = self.work.write(self.rows.mapInArrow(_profiles, _PROFILES), "profiles")
         keys = self.profiles.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
         self.keys = self.work.write(keys, "keys")
         self.vertices = self.work.write(self._first_of_sets(self.profiles), "vertices")
@@ -315,36 +348,13 @@ class Join:
         self._steps += 1
         return f"{what}{self._steps}"
 
-    def _signed(self, members: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
-        vertices = self.vertices if vertices is None else vertices
-        return members.join(vertices.withColumnRenamed("doc_id", "id"), "id")
-
-    def _all_places(self, members: DataFrame) -> DataFrame:
-        """doc_id and the signature of `PLACES` tokens of the members."""
-        rows = self.rows.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        return self.work.write(self._first_of_sets(rows.mapInArrow(_profiles(PLACES), _PROFILES)), "places")
+    def _signed(self, members: DataFrame) -> DataFrame:
+        return members.join(self.vertices.withColumnRenamed("doc_id", "id"), "id")
 
-    def _by_node(self, members: DataFrame, run) -> DataFrame:
+    def _by_node(self, members: DataFrame, run, schema: str = _PAIRS) -> DataFrame:
         count = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        columns = [c for c in ("node", "id", "signature", "label", "outside", "set") if c in members.columns]
-        return members.select(*columns).repartition(count, "node").sortWithinPartitions("node").mapInArrow(run, _PAIRS)
-
-    def leaves(self) -> tuple[DataFrame, DataFrame]:
-        """Members (tree, node, id) of small nodes, and of those that stayed large."""
-        members, small = self.vertices.mapInArrow(_first_nodes, _MEMBERS), None
-        for depth in range(1, DEPTH + 1):
-            members = self.work.write(members, self._name("members"))
-            sizes = self.work.write(members.groupBy("node").count().where("count > 1"), self._name("sizes"))
-            leaf = members.join(sizes.where(F.col("count") <= NODE).select("node"), "node").select("tree", "node", "id")
-            small = leaf if small is None else small.unionByName(leaf)
-            large = members.join(sizes.where(F.col("count") > NODE), "node")
-            if depth < DEPTH:
-                if sizes.where(F.col("count") > NODE).isEmpty():
-                    return small, large.where("false")
-                if depth == 1:
-                    places = self._all_places(large)
-                members = self._signed(large.drop("count"), places).select("tree", "node", "id", "signature").mapInArrow(_deeper(depth), _MEMBERS)
-        return small, large
+        columns = [c for c in ("node", "id", "signature", "label", "outside", "n", "set") if c in members.columns]
+        return members.select(*columns).repartition(count, "node").sortWithinPartitions("node").mapInArrow(run, schema)
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """a, b, linked of the distinct pairs, judged on the full sets."""
@@ -357,51 +367,75 @@ class Join:
 
     def links(self) -> DataFrame:
         """Confirmed links (a, b) that connect all that is linked."""
-        small, large = self.leaves()
-        small = self.work.write(small, self._name("small"))
-        large = self.work.write(large, self._name("large"))
-        blocks = F.greatest(F.lit(1), F.ceil(F.col("count") / BLOCK))
-        dealt = large.withColumn("node", F.xxhash64("node", F.pmod(F.xxhash64("id", "tree"), blocks))).select("tree", "node", "id")
-        forest = self.work.write(self._by_node(self._signed(small.unionByName(dealt)), _forest), self._name("forest"))
+        members = self.work.write(self.vertices.mapInArrow(_first_nodes, _MEMBERS), "members")
+        sizes = self.work.write(members.groupBy("node").count().where("count > 1"), "sizes")
+        small = self.work.write(members.join(sizes.where(F.col("count") <= NODE).select("node"), "node"), "small")
+        large = self.work.write(members.join(sizes.where(F.col("count") > NODE), "node"), "large")
+        blocks = F.ceil(F.col("count") / BLOCK)
+        dealt = large.withColumn("node", F.xxhash64("node", F.pmod(F.xxhash64("id", "path"), blocks)))
+        forest = self._by_node(self._signed(small), _forest(AGREE)).unionByName(self._by_node(self._signed(dealt), _forest(LIKELY)))
+        forest = self.work.write(forest, "forest")
         # Whatever is confirmed later is in a forest or in a large node.
         needed = forest.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(large.select(F.col("id").alias("doc_id")))
-        sets = self.rows.join(needed.distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id bigint, set binary")
-        self.sets = self.work.write(sets, self._name("sets"))
+        # The texts stay where they are; sets of a few vertices more do no harm.
+        sets = among(self.rows, F.col("doc_id"), needed, "doc_id").mapInArrow(_sets, "doc_id bigint, n bigint, set binary")
+        self.sets = self.work.write(sets, "sets")
         judged = self.confirm(forest)
         links = judged.where("linked").select("a", "b")
-        refuted = judged.where("not linked").select("a", "b")
-        open_ = forest.join(refuted, ["a", "b"]).select("node").distinct()
-        some_open, some_large = not refuted.isEmpty(), not large.isEmpty()
-        if not (some_open or some_large):
+        open_ = forest.join(judged.where("not linked").select("a", "b"), ["a", "b"]).select("node").distinct()
+        members = self.work.write(small.join(open_, "node").unionByName(large.drop("count")), "open")
+        if members.isEmpty():
             return links
-        labels = self.work.write(components(links), self._name("labels"))
-
-        def labelled(members: DataFrame) -> DataFrame:
-            known = members.join(labels, "id", "left")
-            return known.withColumn("label", F.coalesce("label", "id"))
-
-        found = self._by_node(self._signed(labelled(small.join(open_, "node"))), _apart)
-        more = found.select("a", "b").distinct().join(refuted, ["a", "b"], "left_anti")
-        links = links.unionByName(self.confirm(more).where("linked").select("a", "b"))
-        return links.unionByName(self._outsiders(labelled(large))) if some_large else links
-
-    def _outsiders(self, large: DataFrame) -> DataFrame:
-        """Links in large nodes between what belongs to the node's main component and what doesn't, or both don't."""
-        large = self.work.write(large.select("node", "id", "label"), self._name("labelled"))
-        counts = large.groupBy("node", "label").count()
-        main = counts.groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
-        main = self.work.write(main.where("n > most"), self._name("main"))
-        members = large.join(main, "node").withColumn("outside", F.col("label") != F.col("main"))
-        chunks, parts = F.ceil((F.col("n") - F.col("most")) / CHUNK), F.ceil(F.col("n") / PART)
-
-        def each(size: Column) -> Column:
-            return F.explode(F.sequence(F.lit(0).cast("bigint"), size - 1))
-
-        outside = members.where("outside").withColumn("chunk", F.pmod(F.xxhash64("id"), chunks)).withColumn("part", each(parts))
-        inside = members.withColumn("outside", F.lit(False)).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), parts)).withColumn("chunk", each(chunks))
-        cells = outside.unionByName(inside).withColumn("node", F.xxhash64("node", "chunk", "part"))
-        filled = cells.join(self.sets.withColumnRenamed("doc_id", "id"), "id")
-        return self.work.write(self._by_node(filled, _across).select("a", "b").distinct(), self._name("outsiders"))
+        return links.unionByName(self._further(members, self.work.write(components(links), "labels")))
+
+    def _further(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links between the labels of a node; nodes with too many vertices outside their main label are branched."""
+        found, depth = None, 0
+        while True:
+            depth += 1
+            size = members.count()
+            known = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+            known = self.work.write(sized(known, size), self._name("known"))
+            counts = known.groupBy("node", "label").count()
+            main = counts.groupBy("node").agg(
+                F.max_by("label", F.struct("count", "label")).alias("main"), (F.sum("count") - F.max("count")).alias("outside")
+            )
+            main = self.work.write(sized(main.where("outside > 0"), size), self._name("main"))
+            ends = self._across(known.join(main.where(F.col("outside") <= OUTSIDE).drop("outside"), "node"), size)
+            found = ends if found is None else found.unionByName(ends)
+            if main.where(F.col("outside") > OUTSIDE).isEmpty():
+                return found
+            branched = known.join(main.where(F.col("outside") > OUTSIDE).select("node"), "node")
+            of = branched.groupBy("id").agg(F.collect_list("path").alias("paths"), F.collect_list("node").alias("nodes"))
+            filled = of.join(self.sets.select(F.col("doc_id").alias("id"), "set"), "id")
+            members = self.work.write(filled.mapInArrow(_branched(depth == 1), _MEMBERS), self._name("members"))
+
+    def _across(self, members: DataFrame, size: int) -> DataFrame:
+        """Links in nodes between what belongs to the main component and what doesn't, or both don't; ``size`` rows at most."""
+        sizes = self.sets.select(F.col("doc_id").alias("id"), "n")
+        members = members.join(sizes, "id").withColumn("outside", F.col("label") != F.col("main"))
+        members = self.work.write(sized(members.drop("path", "main"), size), self._name("ends"))
+
+        def cells(test: Column, most: int) -> Column:
+            return F.ceil(F.greatest(F.count_if(test) / most, F.sum(F.when(test, F.col("n"))) / CELL))
+
+        counts = members.groupBy("node").agg(cells(F.lit(True), PART).alias("parts"), cells(F.col("outside"), CHUNK).alias("chunks"))
+        members = members.join(counts, "node")
+
+        def dealt(name: str) -> Column:
+            return F.pmod(F.xxhash64("id", F.lit(name)), F.col(name))
+
+        def each(name: str) -> Column:
+            return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(name) - 1))
+
+        # Every chunk of those outside meets every part of the node, which they are in as well.
+        inside = members.withColumn("outside", F.lit(False)).withColumn("part", dealt("parts")).withColumn("chunk", each("chunks"))
+        outside = members.where("outside").withColumn("part", each("parts")).withColumn("chunk", dealt("chunks"))
+        cells_ = inside.unionByName(outside).withColumn("node", F.xxhash64("node", "chunk", "part"))
+        likely = self._by_node(self._signed(cells_), _likely, "node bigint, id bigint, label bigint, outside boolean")
+        likely = self.work.write(likely, self._name("likely"))
+        filled = likely.join(self.sets.select(F.col("doc_id").alias("id"), "set"), "id")
+        return self.work.write(self._by_node(filled, _across).select("a", "b").distinct(), self._name("across"))
 
     def verdicts(self) -> DataFrame:
         """doc_id, version (hash of the text), n_shingles, component_id (smallest id reachable), kept of every row with an id."""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.tables import texts
+from llm.tables import sampled, texts
 from llm.words import Words, runs, slices, words
 from pagescan.storage import Workspace
 
@@ -174,9 +174,8 @@ def isotonic(good: np.ndarray, all_: np.ndarray) -> np.ndarray:
 def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from rows of doc_id, statistics and label (1: good, 0: not)."""
     rows = rows.where("label is not null")
-    total = rows.count()
-    if total > sample:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * sample // total)
+    # Written, as the three sums below read it each.
+    rows = Workspace(rows.sparkSession, "quality").write(sampled(rows, rows.count(), sample), "sample")
     none = Model(np.zeros(STATISTICS), np.ones(STATISTICS), np.zeros(FEATURES), np.zeros(0), np.zeros(0))
 
     moments = _summed(rows, lambda x, y: np.stack([x.sum(0), (x * x).sum(0), np.full(x.shape[1], len(x))]))

@@ -25,3 +25,10 @@ def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 def bucket(column: Column, n: int) -> Column:
     """CRC-32 of a value's text modulo ``n``: the split into folds."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
+
+
+def sampled(rows: DataFrame, total: int, most: int, id_column: str = "doc_id") -> DataFrame:
+    """About ``most`` of ``total`` rows by the hash of their id; all if there are no more.  The share has 62 bits, so no total is too large."""
+    if total <= most:
+        return rows
+    return rows.where(F.xxhash64(id_column).bitwiseAND((1 << 62) - 1) < (most << 62) // total)

@@ -1,6 +1,7 @@
 """The ten operators against plain Python on small tables with awkward rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -140,6 +141,9 @@ def test_near_splits_large_groups(spark, monkeypatch):
     table = spark.createDataFrame(rows, "doc_id bigint, text string")
     monkeypatch.setattr(near, "NODE", 8)
     monkeypatch.setattr(near, "BLOCK", 4)
+    monkeypatch.setattr(near, "OUTSIDE", 8)
+    monkeypatch.setattr(near, "CHUNK", 3)
+    monkeypatch.setattr(near, "PART", 5)
     got = {r.doc_id: r.component_id for r in near.classes(table).collect()}
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(146)} for i, t in rows}
     label = {i: i for i in sets}
@@ -163,15 +167,48 @@ def test_near_finds_pairs_in_a_templated_group(spark, monkeypatch):
         mine = fresh(31)
         rows += [(2 * pair + k, f"{template} {mine} {fresh(28)}") for k in range(2)]
     monkeypatch.setattr(near, "NODE", 1)
+    monkeypatch.setattr(near, "OUTSIDE", 8)
     table = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r.component_id for r in near.classes(table).collect()}
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
 def test_near_steps_share_no_token():
-    steps = [near._token(t, 0) for t in range(near.TREES)]
-    steps += [near._token(p, d) for d in range(1, near.DEPTH) for p in range(near.TREES * near.BRANCHES)]
-    assert sorted(steps) == list(range(near.PLACES))
+    """Every path goes on as paths of its own, 4/3 of them on average."""
+    paths = np.arange(near.TREES, dtype=np.uint64)
+    place, level = near._next_paths(paths, True)
+    assert np.bincount(place).tolist() == [near.BRANCHES] * near.TREES
+    seen = set(paths.tolist()) | set(level.tolist())
+    for _ in range(12):
+        place, following = near._next_paths(level, False)
+        assert not seen & set(following.tolist()) and len(set(following.tolist())) == len(following)
+        seen |= set(following.tolist())
+        level = following
+    assert 64 * (4 / 3) ** 12 / 2 < len(level) < 64 * (4 / 3) ** 12 * 2
+
+
+def test_near_templated_documents_stay_linear(spark, monkeypatch):
+    """Documents of one template, 0.55 alike and none linked but planted pairs: the rows of branching grow with the documents."""
+    own = random.Random(8)
+
+    def fresh(n):
+        return " ".join(f"w{own.randrange(10**9)}" for _ in range(n))
+
+    monkeypatch.setattr(near, "OUTSIDE", 100)
+    template, made = fresh(72), {}
+    for count in (400, 800):
+        rows = [(i, f"{template} {fresh(27)}") for i in range(count)]
+        rows += [(count + i, rows[i][1].rsplit(" ", 5)[0] + " " + fresh(5)) for i in range(10)]
+        table = spark.createDataFrame(rows, "doc_id bigint, text string")
+        join = near.Join(table)
+        got = {r.doc_id: r.component_id for r in join.verdicts().collect()}
+        assert {i: c for i, c in got.items() if i != c} == {count + i: i for i in range(10)}
+        made[count] = sum(spark.read.parquet(join.work.folder(f"members{step}")).count() for step in range(1, 99) if _written(join.work.folder(f"members{step}")))
+    assert made[800] < 2.6 * made[400]
+
+
+def _written(folder):
+    return os.path.exists(f"{folder}/_SUCCESS")
 
 
 def test_common():
