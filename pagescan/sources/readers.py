@@ -34,6 +34,10 @@ RESPONSES = StructType(
 )
 
 
+# Of compressed page text; link extraction takes some seconds of a core for each MB.
+PART_BYTES = 4 << 20
+
+
 def targets(spark: SparkSession, path: str) -> DataFrame:
     """Target list from text files: one URL per line, trimmed, blank lines dropped, repeats kept."""
     return clean_targets(spark.read.text(path))
@@ -57,6 +61,13 @@ def spread(rows: DataFrame, key: str, partitions: int) -> DataFrame:
     return rows.repartition(partitions, key)
 
 
+def text_parts(spark: SparkSession, path: str) -> int:
+    """So many partitions that none has more than some `PART_BYTES` of the files, and every core has one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+
+
 def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -92,7 +92,8 @@ class FirstOfKeys:
 
     Two queries work hand in hand.  `arrivals` writes each batch of rows once and, for every value of the key ``by`` in it, its
     first row by ``order`` and place: one row a key, however many share it, by a pre-aggregated minimum.  `answers` reads these first rows as a
-    stream of its own and asks a keyed state, one value for each key, whether the key is new; then it
+    stream of its own and asks a keyed state, one value for each key, whether the key is new (a streaming aggregate where only the first rows are wanted
+    and no key is forgotten, else a processor of each key); then it
     joins the answers to the batch's rows.  What a batch costs depends on its own rows, not on those of earlier batches.
 
     With ``flag`` all rows come out, with the column ``flag``, false for the first of a key; without it only the first rows do, and no others are written.
@@ -128,15 +129,22 @@ class FirstOfKeys:
         folder = self._batch("answers", number)
         answers.write.mode("overwrite").parquet(folder)
         answers = spark.read.schema(answers.schema).parquet(folder)
+        if self.flag is None:
+            answers = answers.where("first")
         batches = sorted(r["batch"] for r in answers.select("batch").distinct().collect())
         if not batches:
             return
         # Named one by one: neither the rows nor the list of earlier batches is read.
         stored = StructType([*schema, StructField("_row", LongType()), StructField("_key", StringType()), StructField("batch", LongType())])
         rows = spark.read.schema(stored).option("basePath", self.space.folder("arrived")).parquet(*[self._batch("arrived", b) for b in batches])
-        answers = answers.select("batch", F.col("key").alias("_key"), F.col("row").alias("_least"), "first")
-        met, first = rows.join(answers, ["_key", "batch"]), F.col("first") & (F.col("_row") == F.col("_least"))
-        self.sink(met.where(first).select(*schema.names) if self.flag is None else met.select(*schema.names, (~first).alias(self.flag)), number)
+        answers = answers.withColumnsRenamed({"key": "_key", "row": "_least"})
+        met = rows.join(answers, ["_key", "batch"])
+        if self.flag is None:
+            # The only row of its key that the batch has written.
+            self.sink(met.select(*schema.names), number)
+        else:
+            first = F.col("first") & (F.col("_row") == F.col("_least"))
+            self.sink(met.select(*schema.names, (~first).alias(self.flag)), number)
 
     def arrivals(self, stream: DataFrame) -> DataStreamWriter:
         """Rows as they come; call ``start``."""
@@ -152,11 +160,17 @@ class FirstOfKeys:
         folder = Path(self.space.folder("firsts"))
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
         firsts = spark.readStream.schema("key string, row bigint, batch bigint").parquet(self.space.folder("firsts"))
-        answers = firsts.groupBy("key").transformWithState(
-            _FirstOfKey(self.keep_ms), "key string, batch bigint, row bigint, first boolean", "Append",
-            "None" if self.keep_ms is None else "ProcessingTime",
-        )
-        return answers.writeStream.foreachBatch(lambda rows, number: self._answer(schema, rows, number)).option(
+        if self.flag is None and self.keep_ms is None:
+            # A key is new if no earlier batch of answers, each of a time of its own, has met it.
+            met = firsts.withColumn("now", F.current_timestamp()).groupBy("key")
+            met = met.agg(F.min("batch").alias("batch"), F.min("now").alias("since"), F.max("now").alias("now"))
+            answers, mode = met.select("key", "batch", (F.col("since") == F.col("now")).alias("first")), "update"
+        else:
+            answers, mode = firsts.groupBy("key").transformWithState(
+                _FirstOfKey(self.keep_ms), "key string, batch bigint, row bigint, first boolean", "Append",
+                "None" if self.keep_ms is None else "ProcessingTime",
+            ), "append"
+        return answers.writeStream.outputMode(mode).foreachBatch(lambda rows, number: self._answer(schema, rows, number)).option(
             "checkpointLocation", self.space.folder("answers-progress")
         )
 

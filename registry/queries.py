@@ -604,8 +604,9 @@ def scan_one_domain(spark, sf_dir):
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str, batches: int = 4) -> DataFrame:
-    """A table as the files of several batches, one for each core in a batch."""
-    rows, width = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    """A table as the files of several batches, as many for each core in a batch as its text needs."""
+    path, cores = f"{sf_dir}/{name}.parquet", spark.sparkContext.defaultParallelism
+    rows, width = spark.read.parquet(path), cores * -(-readers.text_parts(spark, path) // (batches * cores))
     space = Workspace(spark, "arriving")
     space.write(rows.repartition(batches * width, rows.columns[0]), name)
     return live.page_stream(spark, space.folder(name), rows.schema, max_files=width)
