@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagescan.functions.urls import registered_domain
 from pagescan.options import ScanOptions
-from pagescan.sources.readers import spread
+from pagescan.sources.readers import spread, text_parts
 
 SUFFIXES = ["com", "net", "org", "co.uk", "com.cn"]
 DANGER = ["tion", "un"] + list(ScanOptions().danger_keywords)
@@ -73,7 +73,8 @@ def seeded_documents(plain: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     # The given tables are single files of few row groups.
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), key, spark.sparkContext.defaultParallelism)
+    path = f"{sf_dir}/{name}.parquet"
+    return spread(spark.read.parquet(path), key, text_parts(spark, path))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
