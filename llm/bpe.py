@@ -39,7 +39,7 @@ from llm.words import Words, flat, ragged, slices
 END = "</w>"
 POOL = 2_000_000  # fragments a worker keeps
 WORDS = 100_000  # words of unusual texts a worker keeps
-BATCH = 4 << 20
+BATCH = 1 << 20  # bytes of text that are encoded at a time
 _WHITE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
 
 

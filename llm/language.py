@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.tables import sampled, texts
+from llm.tables import bounded, sampled, texts
 from llm.words import Words, mix, slices, words
 
 BUCKETS = 1 << 15
@@ -34,7 +34,7 @@ SAMPLE = 20_000
 SWITCH = 8.0
 WORST = 6.0  # a word counts at most this much against a language
 SHORT = 8
-SLICE = 2 << 20  # bytes of text whose words are scored at a time
+SLICE = 1 << 20  # bytes of text whose words are scored at a time
 NONE = "und"
 # Lead-byte ranges of scripts in UTF-8: fixed values.
 SCRIPTS = [
@@ -129,7 +129,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
 
 def learn(docs: DataFrame, lang_column: str = "lang", id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> Model:
     """A model from the rows with a language."""
-    labelled = docs.select(
+    labelled = bounded(docs).select(
         F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     labelled = sampled(labelled, labelled.count(), sample)
@@ -231,4 +231,4 @@ def with_language(docs: DataFrame, model: Model, text_column: str = "text", swit
             names, _, _, _ = _labels(batch, model, switch, text_column)
             yield batch.filter(pa.array([name != NONE for name in names], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -54,6 +54,7 @@ BLOCK = 24
 OUTSIDE = 1024
 CHUNK, PART = 512, 2048  # vertices of a cell: outside the main component, and of the node
 CELL = 2_000_000  # shingles of a cell, about
+SLICE = 1 << 20  # bytes of text whose shingles are hashed at a time
 # Pairs whose signatures agree in fewer places are no links: of pairs at 0.75, one of 5.4 million agrees in fewer; of pairs at 0.45 one of 500 agrees in as many.
 AGREE = 91
 # Settling a large node tries pairs that agree as often as links do.
@@ -98,7 +99,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, count: int = MINHASHES)
 
 
 def _row_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    for piece in slices(batch, "text"):
+    for piece in slices(batch, "text", SLICE):
         for at in range(0, piece.num_rows, 1 << 16):
             part = piece.slice(at, 1 << 16)
             yield part, words(part.column("text"), lower=True)

@@ -10,13 +10,25 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+# Rows go to Python in batches of this many bytes: every running task holds a batch three times or more, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """The same rows; the session sends rows to Python in batches of `BATCH_BYTES`, unless it has a size of its own."""
+    if rows.sparkSession.conf.get(_SETTING, None) is None:
+        rows.sparkSession.conf.set(_SETTING, str(BATCH_BYTES))
+    return rows
+
+
 def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id`` and ``text`` of the documents and nothing else.
 
     A null text is empty.  A row without an id can't be named in a result and
     is left out.  Other columns, whatever their names, don't get through.
     """
-    return docs.select(
+    return bounded(docs).select(
         F.col(id_column).cast("bigint").alias("doc_id"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),
     ).where(F.col("doc_id").isNotNull())
