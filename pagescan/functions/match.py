@@ -153,18 +153,35 @@ def word_tree(words: Iterable[str]) -> str:
     return _tree_regex(_tree(words))
 
 
-def prefix_guard(words: Iterable[str]) -> str:
-    """Look-ahead that holds exactly where one of the words starts.
+_LIKE = {"i": "\u0130\u0131", "s": "\u017f", "k": "\u212a"}
+
+
+def prefix_guard(words: Iterable[str], ignore_case: bool = False) -> str:
+    """Look-ahead that holds exactly where one of the words starts; if case is ignored, also where a word starts that equals one of them then.
 
     A long alternation tries every word at every position; the look-ahead
     shares their beginnings, so a position that starts no word is left after
-    one or two characters.
+    one or two characters.  Cases are spelled out, as comparing them costs far more than a class of characters.
     """
+    if ignore_case:
+        tree = _tree(word.lower() for word in words)
+        return f"(?-i:(?=[{''.join(_cases(char) for char in sorted(tree))}])(?={_cased_regex(tree)}))"
     tree = _tree(words)
     first = "".join(re.escape(char) for char in sorted(tree))
     return f"(?=[{first}])(?={_tree_regex(tree)})"
 
 
+def _cases(char: str) -> str:
+    return "".join(map(re.escape, dict.fromkeys(char + char.upper()))) + _LIKE.get(char, "")
+
+
+def _cased_regex(node: dict) -> str:
+    if "" in node:
+        return ""
+    branches = [f"[{_cases(char)}]{_cased_regex(child)}" for char, child in sorted(node.items())]
+    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

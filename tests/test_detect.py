@@ -266,3 +266,29 @@ def test_a_bad_rule_among_many_is_left_out(spark):
         warnings.simplefilter("always")
         assert len(detect.custom_rules(rules)) == 300
     assert len([w for w in caught if "left out" in str(w.message)]) == 2
+
+
+@pytest.mark.parametrize("least", [1, 40, 200])
+def test_cut_texts_give_the_same_findings(spark, monkeypatch, least):
+    """Matches at the edges of pieces, of any length, with spaces, line feeds and other white space between them."""
+    monkeypatch.setattr(detect, "PIECE", least)
+    pick = random.Random(least)
+    words = [w for n in range(3) for w in re.split(r"[ \n]", seeded_text(n)) if w] + ["word", "é", "中文", "'", '"', ":", "=", "@", "-", "key", "basic", "twitter", "fb"]
+    texts = ["".join(pick.choice(words) + pick.choice([" ", " ", "\n", "", "\t", " ", "  \n "]) for _ in range(pick.randint(1, 60))) for _ in range(400)]
+    same_as_library(spark, texts + [seeded_text(n).replace("\n", mark) for n in range(3) for mark in "\n \t"])
+
+
+def test_secrets_in_a_long_text_cost_little_more_than_none(spark):
+    """Where all rules have something to find, they do not read the whole text."""
+    prose = "Nothing to be seen in these words, one after the other.\n" * 700
+
+    def seconds(*ends):
+        rows = spark.createDataFrame([(prose + end,) for end in ends], "text string").coalesce(1)
+        start = time.perf_counter()
+        detect.with_findings(rows).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    ends = [seeded_text(n) for n in range(50)]
+    seconds(*ends)
+    none = min(seconds(*[""] * 50) for _ in range(2))
+    assert min(seconds(*ends) for _ in range(2)) < 3.5 * none
