@@ -292,3 +292,38 @@ def test_secrets_in_a_long_text_cost_little_more_than_none(spark):
     seconds(*ends)
     none = min(seconds(*[""] * 50) for _ in range(2))
     assert min(seconds(*ends) for _ in range(2)) < 3.5 * none
+
+
+def test_reach_of_rules_is_wide_enough():
+    from re import _parser as parser
+
+    for rule in RULES.values():
+        if rule.reach == detect._SHORT:
+            assert parser.parse(plain(rule)).getwidth()[1] < detect.LONGEST, rule.key
+        assert not (rule.reach and rule.cut)
+
+
+@pytest.mark.parametrize("least", [1, 30, 200])
+def test_matches_over_many_pieces_are_found(spark, monkeypatch, least):
+    """Beginnings, ends and fillings of matches that hold spaces and line feeds, in any order, in both modes."""
+    monkeypatch.setattr(detect, "PIECE", least)
+    pick = random.Random(least)
+    parts = [
+        "basic", "bearer ", "Basic abcdef", "abc12/x", "mysql://u:", "redis://a:p@h.example:1/d", "@h:33/db", "@", "-----BEGIN A PRIVATE KEY-----", "-----END A PRIVATE KEY---",
+        "-", "password", "passwd =", "key:", "secret = '", "token=\"abcdefg\"", "access_key", ":", "=", "'", '"', "abcdefg hij", "0123456789abcdef" * 2, "1" * 15,
+        "facebook", "FB", "twitter", "tw|tter", "linkedIn", "github", "ſecret", "é", "x" * 40, "'" + "a" * 38 + "'", "'" + "b1" * 8 + "'", "word", "and",
+    ]
+    gaps = ["", "", " ", " ", "\n", "\t", "  \n  ", " " * 130, "\n" * 50]
+    texts = ["".join(pick.choice(parts) + pick.choice(gaps) for _ in range(pick.randint(1, 50))) for _ in range(600)]
+    same_as_library(spark, texts)
+    got = found(spark, texts, mode="match")
+    for number, text in enumerate(texts):
+        want = {key: sorted({m[0] for m in re.finditer(plain(rule), text)}) for key, rule in RULES.items()}
+        assert got.get(number, {}) == {key: samples for key, samples in want.items() if samples}, text
+
+
+def test_long_texts_have_few_pieces(spark):
+    rows = spark.createDataFrame([("\U0001f600a " * 300_000,), ("a b " * 20,), ("",), (None,)], "text string")
+    pieces = rows.select(F.expr(detect.pieces_sql("text", " \n")).alias("p"))
+    assert [r.n for r in pieces.select(F.size("p").alias("n")).collect()][:3] == [256, 1, 0]
+    assert pieces.select(F.array_join("p", "").alias("t")).collect() == rows.collect()
